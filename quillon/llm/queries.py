@@ -5,12 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import token_counts
 from .common import table, text_of
 from .exact_dedup import exact_groups
 from .mixing import mix
+from .pii import KINDS, digest, pii_spans
+from .quality import fit_quality, score_quality
 from .sharding import histogram_shards
 
 
+def op1_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_spans(table(spark, sf_dir, "documents"))
+    rank = lambda s: f"array_position(array({', '.join(map(repr, KINDS))}), {s}.kind)"
+    order = f"array_sort(concat(base, added), (x, y) -> cast(case when x.start <> y.start then x.start - y.start else {rank('x')} - {rank('y')} end as int))"
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.expr(digest("base")), 256).alias("base_sha256"), F.expr(digest(order)).alias("spans"))
+
+
+def op5_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def held_out(id_col: str):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = fit_quality(docs, table(spark, sf_dir, "labels"), usable=~held_out("id"))
+    out = score_quality(docs, net)
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = histogram_shards(table(spark, sf_dir, "documents"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -26,7 +52,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_histogram_sharding, op9_exact_dedup, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_pii_sanitisation, op5_bpe_token_counts, op6_histogram_sharding, op7_quality_classifier, op9_exact_dedup, op10_source_mixing)}
 
 
 OP9_SQL = """
