@@ -80,3 +80,27 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+#: A bit sieve has 2**SIEVE_BITS bits in words of 32: 131,072 rows at most, a bound that no input changes.
+SIEVE_BITS = 22
+
+
+def _at(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << SIEVE_BITS))
+
+
+def sieve(groups: DataFrame, *keys: str) -> DataFrame:
+    """(_word, _bits): the bit of every row of ``groups`` is set."""
+    at = groups.select(_at(*keys).alias("_at"))
+    bit = F.expr("shiftleft(1L, cast(_at % 32 as int))")
+    return at.groupBy(F.shiftright("_at", 5).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+
+
+def sifted(rows: DataFrame, bits: DataFrame, *keys: str) -> DataFrame:
+    """rows with a boolean _goes_on: true for all keys in the sieve, and for
+    others by chance only. The sieve's size is fixed, so it is broadcast."""
+    rows = rows.withColumn("_at", _at(*keys)).withColumn("_word", F.shiftright("_at", 5))
+    rows = rows.join(F.broadcast(bits), "_word", "left")
+    hit = F.expr("getbit(coalesce(_bits, 0L), cast(_at % 32 as int)) = 1")
+    return rows.withColumn("_goes_on", hit).drop("_at", "_word", "_bits")

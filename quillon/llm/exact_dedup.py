@@ -17,32 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, sieve, sifted, small, text_of
 
-#: The sieve has 2**SIEVE_BITS bits, in words of 32: 131,072 rows at most, a bound that no input changes.
-SIEVE_BITS = 22
 PREFIX_CHARS = 256
 
 
-def _at(*keys: str):
-    return F.pmod(F.xxhash64(*keys), F.lit(1 << SIEVE_BITS))
-
-
-def _sieve(groups: DataFrame, *keys: str) -> DataFrame:
-    """(_word, _bits): bit set for every group."""
-    at = groups.select(_at(*keys).alias("_at"))
-    word, bit = F.shiftright("_at", 5).alias("_word"), F.expr("shiftleft(1L, cast(_at % 32 as int))")
-    return at.groupBy(word).agg(F.bit_or(bit).alias("_bits"))
-
-
-def _sifted(rows: DataFrame, sieve: DataFrame, *keys: str) -> DataFrame:
-    """rows with a boolean _goes_on."""
-    rows = rows.withColumn("_at", _at(*keys)).withColumn("_word", F.shiftright("_at", 5))
-    rows = rows.join(F.broadcast(sieve), "_word", "left")
-    hit = F.expr("getbit(coalesce(_bits, 0L), cast(_at % 32 as int)) = 1")
-    return rows.withColumn("_goes_on", hit).drop("_at", "_word", "_bits")
-
-
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """One row per row of ``docs``: id, keep_id (the largest id of its group),
     group_size, kept, and the columns named in ``carry``."""
@@ -50,18 +29,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shape = [F.octet_length(text).alias("_n"), F.xxhash64(F.substring(text, 1, prefix_chars)).alias("_p")]
     heads = cut(docs.select(*shape))
     lengths = heads.groupBy("_n").count().where("count > 1")
-    heads = _sifted(heads, _sieve(lengths, "_n"), "_n").where("_goes_on")
+    heads = sifted(heads, sieve(lengths, "_n"), "_n").where("_goes_on")
     prefixes = heads.groupBy("_n", "_p").count().where("count > 1")
-    sieve = _sieve(prefixes, "_n", "_p")
+    bits = sieve(prefixes, "_n", "_p")
 
     rows = docs.select(F.col(id_col).alias("_id"), *[F.col(c) for c in carry], text.alias("_text"), *shape)
-    rows = _sifted(rows, sieve, "_n", "_p")
+    rows = sifted(rows, bits, "_n", "_p")
     # The full content is hashed for survivors alone; the others get a key that nothing shares.
     full = F.when(F.col("_goes_on"), F.unhex(F.sha2("_text", 256)))
     rows = cut(rows.withColumn("_full", full).withColumn("_spread", F.when(~F.col("_goes_on"), F.xxhash64("_id", "_n", "_p")).otherwise(F.lit(0))).drop("_text", "_goes_on"))
     groups = rows.where("_full is not null").groupBy("_n", "_p", "_full").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    groups = small(cut(groups.withColumn("_spread", F.lit(0).cast("long"))))
     keys = ["_n", "_p", "_full"]
-    out = rows.join(groups.withColumn("_spread", F.lit(0).cast("long")), [*keys, "_spread"], "left")
+    out = rows.join(groups, [*keys, "_spread"], "left")
     keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
     return out.select(F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"), *[F.col(c) for c in carry])
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import token_counts
 from .common import table, text_of
 from .exact_dedup import exact_groups
+from .minhash import near_groups
 from .mixing import mix
 from .pii import KINDS, digest, pii_spans
 from .quality import fit_quality, score_quality
@@ -42,6 +43,10 @@ def op6_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text_sha256", F.sha2(text_of("text"), 256))
     return exact_groups(docs, carry=("text_sha256",))
@@ -52,7 +57,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_sanitisation, op5_bpe_token_counts, op6_histogram_sharding, op7_quality_classifier, op9_exact_dedup, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_pii_sanitisation, op5_bpe_token_counts, op6_histogram_sharding, op7_quality_classifier, op8_minhash_near_dedup, op9_exact_dedup, op10_source_mixing)}
 
 
 OP9_SQL = """
