@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import token_counts
 from .common import table, text_of
 from .exact_dedup import exact_groups
+from .lattice import embedding_groups
 from .minhash import near_groups
 from .mixing import mix
 from .pii import KINDS, digest, pii_spans
@@ -23,6 +24,10 @@ def op1_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.expr(digest("base")), 256).alias("base_sha256"), F.expr(digest(order)).alias("spans"))
 
 
+def op2_lattice_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op5_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 2048)
 
@@ -57,7 +62,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_sanitisation, op5_bpe_token_counts, op6_histogram_sharding, op7_quality_classifier, op8_minhash_near_dedup, op9_exact_dedup, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_pii_sanitisation, op2_lattice_embedding_dedup, op5_bpe_token_counts, op6_histogram_sharding, op7_quality_classifier, op8_minhash_near_dedup, op9_exact_dedup, op10_source_mixing)}
 
 
 OP9_SQL = """
