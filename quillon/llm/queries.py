@@ -11,6 +11,7 @@ from .exact_dedup import exact_groups
 from .lattice import embedding_groups
 from .minhash import near_groups
 from .mixing import mix
+from .paragraphs import repeated_paragraphs
 from .pii import KINDS, digest, pii_spans
 from .quality import fit_quality, score_quality
 from .sharding import histogram_shards
@@ -28,6 +29,10 @@ def op2_lattice_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 2048)
 
@@ -62,7 +67,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_sanitisation, op2_lattice_embedding_dedup, op5_bpe_token_counts, op6_histogram_sharding, op7_quality_classifier, op8_minhash_near_dedup, op9_exact_dedup, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_pii_sanitisation, op2_lattice_embedding_dedup, op4_paragraph_dedup, op5_bpe_token_counts, op6_histogram_sharding, op7_quality_classifier, op8_minhash_near_dedup, op9_exact_dedup, op10_source_mixing)}
 
 
 OP9_SQL = """
