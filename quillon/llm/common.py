@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,3 +106,14 @@ def sifted(rows: DataFrame, bits: DataFrame, *keys: str) -> DataFrame:
     rows = rows.join(F.broadcast(bits), "_word", "left")
     hit = F.expr("getbit(coalesce(_bits, 0L), cast(_at % 32 as int)) = 1")
     return rows.withColumn("_goes_on", hit).drop("_at", "_word", "_bits")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: for rows too
+    wide for a checkpoint. The table goes when the driver ends."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(at)

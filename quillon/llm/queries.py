@@ -11,6 +11,7 @@ from .exact_dedup import exact_groups
 from .lattice import embedding_groups
 from .minhash import near_groups
 from .mixing import mix
+from .packing import packed
 from .paragraphs import repeated_paragraphs
 from .pii import KINDS, digest, pii_spans
 from .quality import fit_quality, score_quality
@@ -29,6 +30,10 @@ def op2_lattice_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_paragraphs(table(spark, sf_dir, "documents"))
 
@@ -67,7 +72,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_sanitisation, op2_lattice_embedding_dedup, op4_paragraph_dedup, op5_bpe_token_counts, op6_histogram_sharding, op7_quality_classifier, op8_minhash_near_dedup, op9_exact_dedup, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_pii_sanitisation, op2_lattice_embedding_dedup, op3_bm25_packing, op4_paragraph_dedup, op5_bpe_token_counts, op6_histogram_sharding, op7_quality_classifier, op8_minhash_near_dedup, op9_exact_dedup, op10_source_mixing)}
 
 
 OP9_SQL = """
