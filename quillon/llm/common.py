@@ -33,7 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # Shuffle files go when the driver collects its garbage; a long job cuts often and must not wait for that.
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

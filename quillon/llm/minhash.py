@@ -8,11 +8,13 @@ or two rounds for large sets.
 
 Banding: ROWS coordinates make a band; 32 bands of 4 miss a pair at similarity
 0.75 with probability 6e-6. Equal sets are collapsed before banding, so copies
-are never expanded. Buckets are then settled without forming all their pairs:
-each member is compared with one leader of its bucket, components are formed,
-and only members of different components go on, against other leaders; the
-pairs that still stand between components in the end are all compared. Every
-link is confirmed on the full shingle sets.
+are never expanded. Buckets are then settled in two steps. Each member is
+compared with the leader of its bucket, and components are formed. Members of
+one bucket that are still in different components are dealt into blocks, pairs
+of blocks go to tasks, and a task compares the members' sketches; only pairs
+whose estimate is within 4.5 standard errors of the threshold leave it, once,
+in the first band they share. Every link is confirmed on the full shingle sets,
+so no pairs of copies are formed and no bucket is gathered in one task.
 
 Defined cases: null text counts as empty; a set without words is empty and
 links with nothing; fewer words than the width make one shingle; rows that
@@ -23,14 +25,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, sieve, sifted, small, text_of
 
-BINS, ROWS, WIDTH = 128, 4, 5
-STAR_ROUNDS = 6
+BINS, BANDS, ROWS, WIDTH = 256, 32, 4, 5
+BLOCK = 512
 BATCH_BYTES = 4 << 20
 KEPT_WORDS = 400_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -110,11 +113,10 @@ def sketches(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     return got
 
 
-def band_keys(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """(sets, bands) of 64-bit keys; a key tells its band too."""
-    n, bins = sketch.shape
-    parts = sketch.reshape(n, bins // rows, rows)
-    key = np.broadcast_to(_SEEDS[None, : bins // rows], parts.shape[:2]).copy()
+def band_keys(sketch: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """(sets, bands) of 64-bit keys of the first coordinates; a key tells its band too."""
+    parts = sketch[:, : bands * rows].reshape(len(sketch), bands, rows)
+    key = np.broadcast_to(_SEEDS[None, :bands], parts.shape[:2]).copy()
     for r in range(rows):
         key *= U(0x9E3779B97F4A7C15)
         key += parts[:, :, r]
@@ -122,11 +124,11 @@ def band_keys(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _slices(sizes: list[int]):
-    """Stretches of a batch of at most about BATCH_BYTES."""
+def _slices(sizes, most: int = BATCH_BYTES):
+    """Stretches of a batch of at most about ``most`` bytes."""
     a, total = 0, 0
     for i, s in enumerate(sizes):
-        if total and total + s > BATCH_BYTES:
+        if total and total + s > most:
             yield a, i
             a, total = i, 0
         total += s
@@ -134,25 +136,39 @@ def _slices(sizes: list[int]):
         yield a, len(sizes)
 
 
-def sketched(items: DataFrame, text_col: str, bins: int = BINS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
-    """items without the text, with n (shingles), d1 and d2 (digest of the set)
-    and bands (array of keys)."""
+def _parts(batch, at: int):
+    """A batch in slices with the encoded texts of column ``at``."""
+    for a, z in _slices(pc.binary_length(batch.column(at)).to_pylist()):
+        part = batch.slice(a, z - a)
+        yield part, [t.encode("utf-8", "surrogatepass") for t in part.column(at).to_pylist()]
+
+
+SKETCHED = "n long, d1 long, d2 long, bands array<long>, sig binary"
+
+
+def sketch_columns(sets: list[np.ndarray], bins: int, bands: int, rows: int) -> list[pa.Array]:
+    """n (shingles), d1 and d2 (digest of the set), bands (keys), sig (the low
+    byte of every coordinate)."""
+    got = sketches(sets, bins)
+    keys = band_keys(got, bands, rows)
+    d1 = np.array([np.add.reduce(mix(s * _SEEDS[0])) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+    d2 = np.array([np.add.reduce(mix(s ^ _SEEDS[1])) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+    lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.reshape(-1))
+    return [pa.array([len(s) for s in sets], pa.int64()), pa.array(d1), pa.array(d2), lists, pa.array([x.tobytes() for x in got.astype(np.uint8)], pa.binary())]
+
+
+def sketched(items: DataFrame, text_col: str, bins: int = BINS, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
+    """items without the text, with the columns of their sketches."""
     keep = [c for c in items.columns if c != text_col]
 
     def run(batches):
         for b in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in b.column(b.num_columns - 1).to_pylist()]
-            for a, z in _slices([len(t) for t in texts]):
-                sets = shingle_sets(texts[a:z], width)
-                keys = band_keys(sketches(sets, bins), rows)
-                d1 = np.array([np.add.reduce(mix(s * _SEEDS[0])) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-                d2 = np.array([np.add.reduce(mix(s ^ _SEEDS[1])) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-                bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), keys.reshape(-1))
-                n = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, z - a) for c in b.columns[:-1]), n, pa.array(d1), pa.array(d2), bands], names=[*keep, "n", "d1", "d2", "bands"])
+            for part, texts in _parts(b, b.num_columns - 1):
+                columns = sketch_columns(shingle_sets(texts, width), bins, bands, rows)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=[*keep, "n", "d1", "d2", "bands", "sig"])
 
     fields = [f"{c} {items.schema[c].dataType.simpleString()}" for c in keep]
-    return items.select(*keep, text_of(text_col).alias(text_col)).mapInArrow(run, ", ".join([*fields, "n long, d1 long, d2 long, bands array<long>"]))
+    return items.select(*keep, text_of(text_col).alias(text_col)).mapInArrow(run, ", ".join([*fields, SKETCHED]))
 
 
 def full_sets(items: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
@@ -160,10 +176,9 @@ def full_sets(items: DataFrame, id_col: str, text_col: str, width: int = WIDTH)
 
     def run(batches):
         for b in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-            for a, z in _slices([len(t) for t in texts]):
-                s = pa.array([x.tobytes() for x in shingle_sets(texts[a:z], width)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), s], names=["id", "s"])
+            for part, texts in _parts(b, 1):
+                s = pa.array([x.tobytes() for x in shingle_sets(texts, width)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), s], names=["id", "s"])
 
     return items.select(id_col, text_of(text_col).alias("t")).mapInArrow(run, "id long, s binary")
 
@@ -187,57 +202,102 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: int = 75) -> DataFrame:
     return held.mapInArrow(run, "a long, b long")
 
 
-def bucket_components(keys: DataFrame, sets_of, least: int = 75) -> DataFrame:
-    """(id, component) of the linked ones among items with band keys.
+def _likely(rows: dict[str, np.ndarray], least: int, floor: float, band: int):
+    """Pairs of two blocks that may be links: of different components, sizes and
+    estimate near enough, this band the first they share."""
+    left, right = np.flatnonzero(rows["side"] <= 0), np.flatnonzero(rows["side"] != 0)
+    if (rows["side"] < 0).all():
+        right = left
+    sig, c, n, bands, ids = rows["sig"], rows["c"], rows["n"], rows["bands"], rows["id"]
+    for s in range(0, len(left), 32):
+        x = left[s : s + 32]
+        ok = (c[x][:, None] != c[right][None]) & (ids[x][:, None] != ids[right][None])
+        ok &= 100 * np.minimum(n[x][:, None], n[right][None]) >= least * np.maximum(n[x][:, None], n[right][None])
+        if (rows["side"] < 0).all():
+            ok &= ids[x][:, None] < ids[right][None]
+        if not ok.any():
+            continue
+        a, b = np.nonzero(ok)
+        a, b = x[a], right[b]
+        near = (sig[a] == sig[b]).mean(1) >= floor
+        a, b = a[near], b[near]
+        first = (bands[a] == bands[b]).argmax(1) == band
+        yield np.minimum(ids[a[first]], ids[b[first]]), np.maximum(ids[a[first]], ids[b[first]])
+
+
+def likely_pairs(open_: DataFrame, items: DataFrame, least: int, bins: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): pairs worth confirming among ``open_(key, id, c, m)``, the members
+    of buckets that hold several components."""
+    floor = least / 100 - 4.5 * (least / 100 * (1 - least / 100) / bins) ** 0.5
+    blocks = F.ceil(F.col("m") / block)
+    dealt = open_.withColumn("own", F.pmod(F.xxhash64("id", "key"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
+    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "c", side.alias("side"))
+    dealt = dealt.join(items.select("id", "n", "bands", "sig"), "id").select("key", "x", "y", "id", "c", "side", "n", "bands", "sig")
+    dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    ``keys`` has (id, n, key) with unique ids per key; ``sets_of(ids)`` gives the
-    full sets of the items with those ids."""
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("lead")).where("m > 1")
-    multi = cut(keys.join(buckets.drop("m"), "key"))
+    def run(batches):
+        rest, at = [], None
+
+        def settle():
+            if sum(b.num_rows for b in rest) > 1:
+                t = pa.Table.from_batches(rest).combine_chunks()
+                rows = {c: t[c].to_numpy() for c in ("id", "c", "side", "n")}
+                rows["bands"] = t["bands"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+                rows["sig"] = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+                for a, b in _likely(rows, least, floor, int((rows["bands"][0] == at[0]).argmax())):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=out)
+
+        for b in batches:
+            ks = np.stack([b.column(i).to_numpy() for i in range(3)])
+            ends = [*(np.flatnonzero((ks[:, 1:] != ks[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+            start = 0
+            for end in ends:
+                if end > start:
+                    own = tuple(ks[:, start])
+                    if own != at:
+                        yield from settle()
+                        rest, at = [], own
+                    rest.append(b.slice(start, end - start))
+                start = end
+        yield from settle()
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def bucket_components(items: DataFrame, sets_of, least: int = 75, bins: int = BINS) -> DataFrame:
+    """(id, component) of the linked ones among ``items(id, n, bands, sig)``
+    with unique ids; ``sets_of(ids)`` gives the full sets of those with these ids."""
+    keys = items.select("id", "n", F.explode("bands").alias("key"))
+    buckets = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("lead")).where("m > 1"))
+    multi = cut(keys.join(buckets, "key"))
     sets = cut(sets_of(multi.select("id").distinct()))
     near = F.expr(f"100 * least(n, lead.n) >= {least} * greatest(n, lead.n)")
     pairs = multi.where("id <> lead.id").where(near).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
     links = cut(confirmed(pairs, sets, least))
     comps = cut(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-    members = multi.drop("lead")
-    for turn in range(1, STAR_ROUNDS + 1):
-        open_ = members.join(comps, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        sizes = open_.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-        sizes = sizes.groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q")).where("m * m > q")
-        open_ = cut(open_.join(sizes, "key"))
-        facts = open_.agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("m") - F.col("q") / F.col("m")) / 2).alias("pairs")).first()
-        if not facts["rows"]:
-            return comps
-        last = turn == STAR_ROUNDS or facts["pairs"] <= 2 * facts["rows"]
-        if last:  # all that stands between components
-            a, b = open_.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), open_.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            pairs = a.join(b, "key").where(F.expr(f"ca < cb and 100 * least(na, nb) >= {least} * greatest(na, nb)")).select("a", "b").distinct()
-        else:  # another leader for each bucket
-            pick = F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("h"), "id", "n", "c")
-            lead = open_.groupBy("key").agg(F.min(pick).alias("lead"))
-            pairs = open_.join(lead, "key").where("c <> lead.c").where(near).select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
-        links = cut(links.unionByName(confirmed(pairs, sets, least)))
-        comps = cut(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-        if last:
-            return comps
-        members = open_.select("key", "id", "n")
-    return comps
-
-
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 75, bins: int = BINS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
+    open_ = multi.select("key", "id", "m").join(small(comps), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    mixed = open_.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    open_ = open_.select("key", "id", "m", "c").join(small(cut(mixed)), "key")
+    more = confirmed(cut(likely_pairs(open_, items, least, bins)), sets, least)
+    links = cut(links.unionByName(more))
+    return cut(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 75, bins: int = BINS, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest
     id that links lead to), kept (whether that is the row's own)."""
     items = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    told = cut(sketched(items, "text", bins, rows, width))
-    classes = told.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    told = cut(sketched(items, "text", bins, bands, rows, width))
+    classes = told.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = cut(classes)
-    keys = classes.select("id", "n", F.explode("bands").alias("key"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
         some = sifted(items, sieve(ids, "id"), "id").where("_goes_on").drop("_goes_on").join(ids, "id")
         return full_sets(some, "id", "text", width).dropDuplicates(["id"])
 
-    comps = bucket_components(keys, sets_of, least)
+    comps = bucket_components(classes, sets_of, least, bins)
     named = classes.select("d1", "d2", "id", "c").join(comps, "id", "left").where("c > 1 or component is not null")
     named = small(cut(named.select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), F.coalesce("component", "id").alias("component"))))
     told = told.withColumn("k1", F.when(F.col("n") > 0, F.col("d1")).otherwise(F.xxhash64("id"))).withColumn("k2", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("d2")))

@@ -39,7 +39,7 @@ from .common import components, cut, sieve, sifted, small, text_of
 
 MIN_WORDS = 20
 WINDOW, SPAN = 28, 21
-BINS, ROWS = 64, 3
+BINS, BANDS, ROWS = 64, 21, 3
 #: Windows wait in a table of 2**SEEN_BITS bits, one bit set for each repeated digest.
 SEEN_BITS = 23
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -88,40 +88,29 @@ def _rows(batch, values, schema):
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _texts(batch, at: int):
-    return [t.encode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()]
-
-
 def _sketched_lines(docs: DataFrame, least: int) -> DataFrame:
     """docs(id, text) -> id, start, end, n, d1, d2, bands."""
 
     def run(batches):
         for b in batches:
-            for i, j in mh._slices([len(t) for t in b.column(1).to_pylist()]):
-                part = b.slice(i, j - i)
-                found = [(d, a, x) for d, t in zip(part.column(0).to_pylist(), _texts(part, 1)) for a, x in lines(t, least)]
-                if not found:
-                    continue
-                for p, q in mh._slices([len(x) for _, _, x in found]):
+            for part, texts in mh._parts(b, 1):
+                found = [(d, a, x) for d, t in zip(part.column(0).to_pylist(), texts) for a, x in lines(t, least)]
+                for p, q in mh._slices([len(x) for _, _, x in found], mh.BATCH_BYTES // 8):
                     own = found[p:q]
-                    sets = mh.shingle_sets([x for _, _, x in own])
-                    keys = mh.band_keys(mh.sketches(sets, BINS)[:, : BINS // ROWS * ROWS], ROWS)
-                    d1 = np.array([np.add.reduce(mh.mix(s * mh._SEEDS[0])) for s in sets], np.uint64).view(np.int64)
-                    d2 = np.array([np.add.reduce(mh.mix(s ^ mh._SEEDS[1])) for s in sets], np.uint64).view(np.int64)
-                    bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), keys.reshape(-1))
-                    columns = [pa.array([d for d, _, _ in own], pa.int64()), pa.array([a for _, a, _ in own], pa.int32()), pa.array([a + len(x) for _, a, x in own], pa.int32()), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1), pa.array(d2), bands]
-                    yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "end", "n", "d1", "d2", "bands"])
+                    places = [pa.array([d for d, _, _ in own], pa.int64()), pa.array([a for _, a, _ in own], pa.int32()), pa.array([a + len(x) for _, a, x in own], pa.int32())]
+                    columns = mh.sketch_columns(mh.shingle_sets([x for _, _, x in own]), BINS, BANDS, ROWS)
+                    yield pa.RecordBatch.from_arrays([*places, *columns], names=["id", "start", "end", "n", "d1", "d2", "bands", "sig"])
 
-    return docs.mapInArrow(run, "id long, start int, end int, n long, d1 long, d2 long, bands array<long>")
+    return docs.mapInArrow(run, f"id long, start int, end int, {mh.SKETCHED}")
 
 
 def _repeated_lines(docs: DataFrame, least_words: int, least: int) -> DataFrame:
     """id, start, end, node: the paragraphs that repeat and their component."""
     told = cut(_sketched_lines(docs, least_words))
     first = F.min(F.struct("id", "start", "end"))
-    classes = cut(told.groupBy("d1", "d2").agg(first.alias("at"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    classes = cut(told.groupBy("d1", "d2").agg(first.alias("at"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     classes = classes.withColumn("node", F.xxhash64("d1", "d2"))
-    keys = classes.select(F.col("node").alias("id"), "n", F.explode("bands").alias("key"))
+    items = classes.select(F.col("node").alias("id"), "n", "bands", "sig")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         places = classes.join(ids, classes["node"] == ids["id"]).select("node", F.col("at.id").alias("id"), F.col("at.start").alias("a"), F.col("at.end").alias("z"))
@@ -131,10 +120,10 @@ def _repeated_lines(docs: DataFrame, least_words: int, least: int) -> DataFrame:
         own = some.join(places, "id").select(F.col("node").alias("id"), line.alias("text"))
         return mh.full_sets(own, "id", "text").dropDuplicates(["id"])
 
-    comps = mh.bucket_components(keys, sets_of, least)
+    comps = mh.bucket_components(items, sets_of, least, BINS)
     named = classes.select("d1", "d2", "m", "node").join(comps, classes["node"] == comps["id"], "left").where("m > 1 or component is not null")
     named = small(cut(named.select("d1", "d2", F.coalesce("component", "node").alias("node"))))
-    return told.drop("bands", "n").join(named, ["d1", "d2"]).select("id", "start", "end", "node")
+    return told.drop("bands", "sig", "n").join(named, ["d1", "d2"]).select("id", "start", "end", "node")
 
 
 def _window_digests(docs: DataFrame, least: int, window: int, span: int) -> DataFrame:
@@ -142,7 +131,7 @@ def _window_digests(docs: DataFrame, least: int, window: int, span: int) -> Data
 
     def run(batches):
         for b in batches:
-            got = [windows(x, window, span)[1] for t in _texts(b, 1) for _, x in lines(t, least)]
+            got = [windows(x, window, span)[1] for _, texts in mh._parts(b, 1) for t in texts for _, x in lines(t, least)]
             if got:
                 d, m = np.unique(np.concatenate(got), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(m)], schema=schema)
@@ -166,7 +155,7 @@ def _window_places(docs: DataFrame, repeated: DataFrame, least: int, window: int
         bits = seen.value
         for b in batches:
             rows = []
-            for d, t in zip(b.column(0).to_pylist(), _texts(b, 1)):
+            for d, t in ((d, t) for part, texts in mh._parts(b, 1) for d, t in zip(part.column(0).to_pylist(), texts)):
                 for a, x in lines(t, least):
                     w, h = windows(x, window, span)
                     if not len(h):

@@ -104,7 +104,7 @@ def test_sketch_fills_and_estimates():
     g = np.random.default_rng(0)
     a = g.integers(0, 2**63, 900).astype(np.uint64)
     b = np.concatenate([a[:771], g.integers(0, 2**63, 129).astype(np.uint64)])
-    s = mh.sketches([a, b, a[:1], a[:0]], 128)
+    s = mh.sketches([a, b, a[:1], a[:0]])
     assert (s[:3] != np.uint64(2**64 - 1)).all()
     assert abs((s[0] == s[1]).mean() - 0.75) < 0.15
     assert (mh.band_keys(s)[0] == mh.band_keys(mh.sketches([a[::-1]]))[0]).all()
