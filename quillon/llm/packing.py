@@ -25,41 +25,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PLAIN, Pieces, vocabulary
+from .bpe import Pieces, byte_symbols, vocabulary
 from .common import text_of, written
 
 WINDOW, END = 2048, 1
 SHARD_DOCS = 2048
 QUERY_TERMS = 12
 K1, B = 1.2, 0.75
-KEPT_WORDS, KEPT_CHARS = 400_000, 64
+KEPT_PIECES, KEPT_CHARS = 600_000, 64
+SLICE = 512
 
 
 class Ids(dict):
-    """White-space word -> its ids as bytes, from the tokenizer itself; words of
-    plain texts are independent of each other. Emptied when full."""
+    """Piece -> its ids as bytes, from the tokenizer's own model; pieces of plain
+    texts are independent of each other. Emptied when full."""
 
     def __init__(self, path: str):
         super().__init__()
         self.pieces = Pieces(path)
         self.kind = np.dtype("<u2" if self.pieces.lib.get_vocab_size() < 1 << 16 else "<u4")
         self.end = np.array([END], self.kind).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self._encode(word)
-        if len(word) <= KEPT_CHARS:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        self.model = self.pieces.lib.model
+        self.symbols = str.maketrans({chr(b): s for b, s in enumerate(byte_symbols())})
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.pieces.lib.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def of(self, text: str) -> bytes:
-        if PLAIN.fullmatch(text) is None or any(t in text for t in self.pieces.ends):
-            return self._encode(text) + self.end
-        return b"".join(map(self.__getitem__, text.lower().split())) + self.end
+    def _learn(self, new) -> None:
+        for p in new:
+            symbols = p.encode("utf-8").decode("latin-1").translate(self.symbols)
+            self[p] = np.array([t.id for t in self.model.tokenize(symbols)], self.kind).tobytes()
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, with the end id."""
+        split = [self.pieces.plain(t) for t in texts]
+        if len(self) >= KEPT_PIECES:
+            self.clear()
+        new = set().union(*(p for p in split if p)).difference(self)
+        self._learn(new)
+        out = [self._encode(t) + self.end if p is None else b"".join(map(self.__getitem__, p)) + self.end for t, p in zip(texts, split)]
+        for p in new:
+            if len(p) > KEPT_CHARS:
+                del self[p]
+        return out
 
 
 _IDS: dict[str, Ids] = {}
@@ -77,7 +85,9 @@ def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFra
     def run(batches):
         t = ids(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.of(x) for x in b.column(1).to_pylist()], pa.binary())], names=["id", "ids"])
+            for a in range(0, b.num_rows, SLICE):
+                part = b.slice(a, SLICE)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(t.of(part.column(1).to_pylist()), pa.binary())], names=["id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids binary")
