@@ -50,10 +50,10 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``docs`` with one row of each group of equal texts, all columns as they were."""
     tag = "_row_of_text"
     marked = docs.withColumn(tag, F.xxhash64(F.col(id_col), text_of(text_col)))
-    losers = exact_groups(marked, id_col, text_col, carry=(tag,)).where("not kept").select(tag).distinct()
-    twice = exact_groups(marked, id_col, text_col, carry=(tag,)).where("kept and group_size > 1").groupBy(tag).count().where("count > 1").select(tag)
+    told = cut(exact_groups(marked, id_col, text_col, carry=(tag,)))
+    losers = told.where("not kept").select(tag).distinct()
+    twice = cut(told.where("kept and group_size > 1").groupBy(tag).count().where("count > 1").select(tag))
     rest = marked.join(losers, tag, "left_anti")
-    twice = cut(twice)
     if twice.isEmpty():
         return rest.select(*docs.columns)
     lone = rest.join(twice, tag, "left_anti").select(*docs.columns)
