@@ -151,10 +151,12 @@ def sketch_columns(sets: list[np.ndarray], bins: int, bands: int, rows: int) ->
     byte of every coordinate)."""
     got = sketches(sets, bins)
     keys = band_keys(got, bands, rows)
-    d1 = np.array([np.add.reduce(mix(s * _SEEDS[0])) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-    d2 = np.array([np.add.reduce(mix(s ^ _SEEDS[1])) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+    sizes = np.array([len(s) for s in sets])
+    # Sums of two mixes of the elements, as differences of running sums; both wrap around.
+    flat, ends = np.concatenate(sets) if sets else np.empty(0, np.uint64), np.cumsum(sizes)
+    d1, d2 = (np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])[np.concatenate([[0], ends])]).view(np.int64) for x in (mix(flat * _SEEDS[0]), mix(flat ^ _SEEDS[1])))
     lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.reshape(-1))
-    return [pa.array([len(s) for s in sets], pa.int64()), pa.array(d1), pa.array(d2), lists, pa.array([x.tobytes() for x in got.astype(np.uint8)], pa.binary())]
+    return [pa.array(sizes, pa.int64()), pa.array(d1), pa.array(d2), lists, pa.array([x.tobytes() for x in got.astype(np.uint8)], pa.binary())]
 
 
 def sketched(items: DataFrame, text_col: str, bins: int = BINS, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
@@ -270,8 +272,12 @@ def bucket_components(items: DataFrame, sets_of, least: int = 75, bins: int = BI
     """(id, component) of the linked ones among ``items(id, n, bands, sig)``
     with unique ids; ``sets_of(ids)`` gives the full sets of those with these ids."""
     keys = items.select("id", "n", F.explode("bands").alias("key"))
-    buckets = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("lead")).where("m > 1"))
-    multi = cut(keys.join(buckets, "key"))
+    # Only keys are shuffled to count them; rows of keys that stand once are left out by a sieve before they move.
+    twice = cut(keys.groupBy("key").count().where("count > 1").select("key"))
+    members = sifted(keys, sieve(twice, "key"), "key").where("_goes_on").select("key", "id", "n")
+    members = cut(members.join(small(twice), "key"))
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("lead"))
+    multi = cut(members.join(small(cut(buckets)), "key"))
     sets = cut(sets_of(multi.select("id").distinct()))
     near = F.expr(f"100 * least(n, lead.n) >= {least} * greatest(n, lead.n)")
     pairs = multi.where("id <> lead.id").where(near).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()

@@ -55,35 +55,33 @@ def lines(raw: bytes, least: int):
         at += len(line) + 1
 
 
-def anchors(words: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """Positions of the smallest triple hash in every stretch of ``span``."""
-    if len(words) < span + 2:
-        return np.empty(0, np.int64)
+def windows(found: list[bytes], window: int = WINDOW, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of many lines at once: line number, first word, digest. Anchors
+    are the positions of the smallest triple hash in every stretch of ``span``
+    positions of a line."""
+    low = [x.translate(mh.LOWER).split() for x in found]
+    own = [i for i, w in enumerate(low) if len(w) > window + span]
+    none = np.empty(0, np.int64)
+    if not own:
+        return none, none, none
+    sizes = np.array([len(low[i]) for i in own])
+    ends = np.cumsum(sizes)
+    words = np.fromiter((mh._WORDS[x] for i in own for x in low[i]), np.uint64, int(ends[-1]))
+    line = np.repeat(np.arange(len(own)), sizes)
     x = mh.mix((words[:-2] * _STEP + words[1:-1]) * _STEP + words[2:])
     view = np.lib.stride_tricks.sliding_window_view(x, span)
     at = view.argmin(axis=1) + np.arange(len(view))
-    return at[np.concatenate(([True], at[1:] != at[:-1]))]
-
-
-def windows(line: bytes, window: int = WINDOW, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """First words and digests of a line's windows."""
-    low = line.translate(mh.LOWER).split()
-    none = np.empty(0, np.int64)
-    if len(low) < window + span + 1:
-        return none, none
-    words = np.fromiter(map(mh._WORDS.__getitem__, low), np.uint64, len(low))
-    at = anchors(words, span)
-    at = at[at + window <= len(words)]
-    if not len(at):
-        return none, none
+    at = at[np.arange(len(view)) + span + 1 < ends[line[: len(view)]]]  # the stretch lies in one line
+    at = at[np.concatenate(([True], at[1:] != at[:-1]))]
+    at = at[at + window <= ends[line[at]]]
     h = np.full(len(at), np.uint64(window))
     for i in range(window):
         h *= _STEP
         h += words[at + i]
-    return at, mh.mix(h).view(np.int64)
+    return np.array(own)[line[at]], at - (ends - sizes)[line[at]], mh.mix(h).view(np.int64)
 
 
-def _rows(batch, values, schema):
+def _rows(values, schema):
     columns = list(zip(*values)) or [[]] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -131,9 +129,8 @@ def _window_digests(docs: DataFrame, least: int, window: int, span: int) -> Data
 
     def run(batches):
         for b in batches:
-            got = [windows(x, window, span)[1] for _, texts in mh._parts(b, 1) for t in texts for _, x in lines(t, least)]
-            if got:
-                d, m = np.unique(np.concatenate(got), return_counts=True)
+            for _, texts in mh._parts(b, 1):
+                d, m = np.unique(windows([x for t in texts for _, x in lines(t, least)], window, span)[2], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(m)], schema=schema)
 
     return docs.mapInArrow(run, "digest long, m long")
@@ -154,18 +151,18 @@ def _window_places(docs: DataFrame, repeated: DataFrame, least: int, window: int
     def run(batches):
         bits = seen.value
         for b in batches:
-            rows = []
-            for d, t in ((d, t) for part, texts in mh._parts(b, 1) for d, t in zip(part.column(0).to_pylist(), texts)):
-                for a, x in lines(t, least):
-                    w, h = windows(x, window, span)
-                    if not len(h):
-                        continue
-                    p = h & (size - 1)
-                    hit = np.flatnonzero(bits[p >> 5] >> (p & 31).astype(np.uint32) & 1)
-                    if len(hit):
-                        places = [m.span() for m in _WORD.finditer(x)]
-                        rows += [(d, a, a + places[w[k]][0], a + places[w[k] + window - 1][1], int(h[k])) for k in hit.tolist()]
-            yield _rows(b, rows, schema)
+            for part, texts in mh._parts(b, 1):
+                found = [(d, a, x) for d, t in zip(part.column(0).to_pylist(), texts) for a, x in lines(t, least)]
+                line, first, h = windows([x for _, _, x in found], window, span)
+                p = h & (size - 1)
+                hit = np.flatnonzero(bits[p >> 5] >> (p & 31).astype(np.uint32) & 1)
+                rows, last, places = [], -1, []
+                for k, i, w in zip(hit.tolist(), line[hit].tolist(), first[hit].tolist()):
+                    d, a, x = found[i]
+                    if i != last:
+                        last, places = i, [m.span() for m in _WORD.finditer(x)]
+                    rows.append((d, a, a + places[w][0], a + places[w + window - 1][1], int(h[k])))
+                yield _rows(rows, schema)
 
     return docs.mapInArrow(run, "id long, line int, start int, end int, digest long")
 

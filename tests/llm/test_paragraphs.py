@@ -64,4 +64,6 @@ def test_shared_passages_of_51_words_always_meet():
         p = words(r, 50)
         a = " ".join(words(r, r.randrange(30)) + p + words(r, r.randrange(30))).encode()
         b = " ".join(words(r, r.randrange(30)) + p + words(r, r.randrange(30))).encode()
-        assert len(np.intersect1d(windows(a)[1], windows(b)[1]))
+        assert len(np.intersect1d(windows([a])[2], windows([b])[2]))
+        line, first, digest = windows([b"short", a, b])
+        assert (digest[line == 1] == windows([a])[2]).all() and (first[line == 2] == windows([b])[1]).all()
