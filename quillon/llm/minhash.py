@@ -12,8 +12,8 @@ are never expanded. Buckets are then settled in two steps. Each member is
 compared with the leader of its bucket, and components are formed. Members of
 one bucket that are still in different components are dealt into blocks, pairs
 of blocks go to tasks, and a task compares the members' sketches; only pairs
-whose estimate is within 4.5 standard errors of the threshold leave it, once,
-in the first band they share. Every link is confirmed on the full shingle sets,
+whose estimate is within 4.5 standard errors of the threshold, and whose bit
+maps allow a large enough intersection, leave it, once, in the first band they share. Every link is confirmed on the full shingle sets,
 so no pairs of copies are formed and no bucket is gathered in one task.
 
 Defined cases: null text counts as empty; a set without words is empty and
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import components, cut, sieve, sifted, small, text_of
 
 BINS, BANDS, ROWS, WIDTH = 256, 32, 4, 5
+#: Bits of the map of a set that bounds intersections from above.
+MASK = 2048
 BLOCK = 512
 BATCH_BYTES = 4 << 20
 KEPT_WORDS = 400_000
@@ -143,12 +145,12 @@ def _parts(batch, at: int):
         yield part, [t.encode("utf-8", "surrogatepass") for t in part.column(at).to_pylist()]
 
 
-SKETCHED = "n long, d1 long, d2 long, bands array<long>, sig binary"
+SKETCHED = "n long, d1 long, d2 long, bands array<long>, sig binary, mask binary"
 
 
-def sketch_columns(sets: list[np.ndarray], bins: int, bands: int, rows: int) -> list[pa.Array]:
+def sketch_columns(sets: list[np.ndarray], bins: int, bands: int, rows: int, mask: int = MASK) -> list[pa.Array]:
     """n (shingles), d1 and d2 (digest of the set), bands (keys), sig (the low
-    byte of every coordinate)."""
+    byte of every coordinate), mask (the bit of each element is set)."""
     got = sketches(sets, bins)
     keys = band_keys(got, bands, rows)
     sizes = np.array([len(s) for s in sets])
@@ -156,7 +158,10 @@ def sketch_columns(sets: list[np.ndarray], bins: int, bands: int, rows: int) ->
     flat, ends = np.concatenate(sets) if sets else np.empty(0, np.uint64), np.cumsum(sizes)
     d1, d2 = (np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])[np.concatenate([[0], ends])]).view(np.int64) for x in (mix(flat * _SEEDS[0]), mix(flat ^ _SEEDS[1])))
     lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.reshape(-1))
-    return [pa.array(sizes, pa.int64()), pa.array(d1), pa.array(d2), lists, pa.array([x.tobytes() for x in got.astype(np.uint8)], pa.binary())]
+    masks = np.zeros((len(sets), mask), bool)
+    masks[np.repeat(np.arange(len(sets)), sizes), (flat & U(mask - 1)).astype(np.int64)] = True
+    masks = np.packbits(masks, axis=1)
+    return [pa.array(sizes, pa.int64()), pa.array(d1), pa.array(d2), lists, pa.array([x.tobytes() for x in got.astype(np.uint8)], pa.binary()), pa.array([x.tobytes() for x in masks], pa.binary())]
 
 
 def sketched(items: DataFrame, text_col: str, bins: int = BINS, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
@@ -167,7 +172,7 @@ def sketched(items: DataFrame, text_col: str, bins: int = BINS, bands: int = BAN
         for b in batches:
             for part, texts in _parts(b, b.num_columns - 1):
                 columns = sketch_columns(shingle_sets(texts, width), bins, bands, rows)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=[*keep, "n", "d1", "d2", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=[*keep, "n", "d1", "d2", "bands", "sig", "mask"])
 
     fields = [f"{c} {items.schema[c].dataType.simpleString()}" for c in keep]
     return items.select(*keep, text_of(text_col).alias(text_col)).mapInArrow(run, ", ".join([*fields, SKETCHED]))
@@ -224,7 +229,13 @@ def _likely(rows: dict[str, np.ndarray], least: int, floor: float, band: int):
         near = (sig[a] == sig[b]).mean(1) >= floor
         a, b = a[near], b[near]
         first = (bands[a] == bands[b]).argmax(1) == band
-        yield np.minimum(ids[a[first]], ids[b[first]]), np.maximum(ids[a[first]], ids[b[first]])
+        a, b = a[first], b[first]
+        # A bit of one set that the other lacks is an element at least that it lacks: no link is lost by this bound.
+        p, q = rows["mask"][a], rows["mask"][b]
+        most = np.minimum(n[a] - np.bitwise_count(p & ~q).sum(1, dtype=np.int64), n[b] - np.bitwise_count(q & ~p).sum(1, dtype=np.int64))
+        may = 100 * most >= least * (n[a] + n[b] - most)
+        a, b = a[may], b[may]
+        yield np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
 
 
 def likely_pairs(open_: DataFrame, items: DataFrame, least: int, bins: int, block: int = BLOCK) -> DataFrame:
@@ -235,7 +246,7 @@ def likely_pairs(open_: DataFrame, items: DataFrame, least: int, bins: int, bloc
     dealt = open_.withColumn("own", F.pmod(F.xxhash64("id", "key"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
     dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "c", side.alias("side"))
-    dealt = dealt.join(items.select("id", "n", "bands", "sig"), "id").select("key", "x", "y", "id", "c", "side", "n", "bands", "sig")
+    dealt = dealt.join(items.select("id", "n", "bands", "sig", "mask"), "id").select("key", "x", "y", "id", "c", "side", "n", "bands", "sig", "mask")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -247,7 +258,8 @@ def likely_pairs(open_: DataFrame, items: DataFrame, least: int, bins: int, bloc
                 t = pa.Table.from_batches(rest).combine_chunks()
                 rows = {c: t[c].to_numpy() for c in ("id", "c", "side", "n")}
                 rows["bands"] = t["bands"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-                rows["sig"] = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+                for c in ("sig", "mask"):
+                    rows[c] = np.frombuffer(b"".join(t[c].to_pylist()), np.uint8).reshape(t.num_rows, -1)
                 for a, b in _likely(rows, least, floor, int((rows["bands"][0] == at[0]).argmax())):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=out)
 
@@ -269,7 +281,7 @@ def likely_pairs(open_: DataFrame, items: DataFrame, least: int, bins: int, bloc
 
 
 def bucket_components(items: DataFrame, sets_of, least: int = 75, bins: int = BINS) -> DataFrame:
-    """(id, component) of the linked ones among ``items(id, n, bands, sig)``
+    """(id, component) of the linked ones among ``items(id, n, bands, sig, mask)``
     with unique ids; ``sets_of(ids)`` gives the full sets of those with these ids."""
     keys = items.select("id", "n", F.explode("bands").alias("key"))
     # Only keys are shuffled to count them; rows of keys that stand once are left out by a sieve before they move.
@@ -296,7 +308,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id that links lead to), kept (whether that is the row's own)."""
     items = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     told = cut(sketched(items, "text", bins, bands, rows, width))
-    classes = told.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = told.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("mask").alias("mask"))
     classes = cut(classes)
 
     def sets_of(ids: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ from .common import components, cut, sieve, sifted, small, text_of
 
 MIN_WORDS = 20
 WINDOW, SPAN = 28, 21
-BINS, BANDS, ROWS = 64, 21, 3
+BINS, BANDS, ROWS, MASK = 64, 21, 3, 512
 #: Windows wait in a table of 2**SEEN_BITS bits, one bit set for each repeated digest.
 SEEN_BITS = 23
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -96,8 +96,8 @@ def _sketched_lines(docs: DataFrame, least: int) -> DataFrame:
                 for p, q in mh._slices([len(x) for _, _, x in found], mh.BATCH_BYTES // 8):
                     own = found[p:q]
                     places = [pa.array([d for d, _, _ in own], pa.int64()), pa.array([a for _, a, _ in own], pa.int32()), pa.array([a + len(x) for _, a, x in own], pa.int32())]
-                    columns = mh.sketch_columns(mh.shingle_sets([x for _, _, x in own]), BINS, BANDS, ROWS)
-                    yield pa.RecordBatch.from_arrays([*places, *columns], names=["id", "start", "end", "n", "d1", "d2", "bands", "sig"])
+                    columns = mh.sketch_columns(mh.shingle_sets([x for _, _, x in own]), BINS, BANDS, ROWS, MASK)
+                    yield pa.RecordBatch.from_arrays([*places, *columns], names=["id", "start", "end", "n", "d1", "d2", "bands", "sig", "mask"])
 
     return docs.mapInArrow(run, f"id long, start int, end int, {mh.SKETCHED}")
 
@@ -106,9 +106,9 @@ def _repeated_lines(docs: DataFrame, least_words: int, least: int) -> DataFrame:
     """id, start, end, node: the paragraphs that repeat and their component."""
     told = cut(_sketched_lines(docs, least_words))
     first = F.min(F.struct("id", "start", "end"))
-    classes = cut(told.groupBy("d1", "d2").agg(first.alias("at"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    classes = cut(told.groupBy("d1", "d2").agg(first.alias("at"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("mask").alias("mask")))
     classes = classes.withColumn("node", F.xxhash64("d1", "d2"))
-    items = classes.select(F.col("node").alias("id"), "n", "bands", "sig")
+    items = classes.select(F.col("node").alias("id"), "n", "bands", "sig", "mask")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         places = classes.join(ids, classes["node"] == ids["id"]).select("node", F.col("at.id").alias("id"), F.col("at.start").alias("a"), F.col("at.end").alias("z"))
@@ -121,7 +121,7 @@ def _repeated_lines(docs: DataFrame, least_words: int, least: int) -> DataFrame:
     comps = mh.bucket_components(items, sets_of, least, BINS)
     named = classes.select("d1", "d2", "m", "node").join(comps, classes["node"] == comps["id"], "left").where("m > 1 or component is not null")
     named = small(cut(named.select("d1", "d2", F.coalesce("component", "node").alias("node"))))
-    return told.drop("bands", "sig", "n").join(named, ["d1", "d2"]).select("id", "start", "end", "node")
+    return told.drop("bands", "sig", "mask", "n").join(named, ["d1", "d2"]).select("id", "start", "end", "node")
 
 
 def _window_digests(docs: DataFrame, least: int, window: int, span: int) -> DataFrame:
