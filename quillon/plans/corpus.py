@@ -79,7 +79,7 @@ def annotations_long(spark, sf):
     return ann.join(own, "unit_id", "left").select("unit_id", "annotation_index", "dimension", "value", F.round("confidence", 4).alias("confidence"), (F.col("verified") == 1).alias("evidence_verified"), "country", "bloc")
 
 
-@query(f"WITH {UNITS}, v AS (SELECT segment AS codebook, bloc AS run, CAST(substr(priority, 1, 1) AS INTEGER) AS version FROM units WHERE unit_id % 7 <> 0 OR priority NOT LIKE '5%') SELECT codebook, run, version, count(*) AS n FROM v QUALIFY version = max(version) OVER (PARTITION BY codebook, run) GROUP BY ALL".replace("SELECT codebook, run, version, count(*) AS n FROM v QUALIFY version = max(version) OVER (PARTITION BY codebook, run) GROUP BY ALL", "SELECT v.codebook, v.run, v.version, count(*) AS n FROM v JOIN (SELECT codebook, run, max(version) AS version FROM v GROUP BY codebook, run) t ON v.codebook = t.codebook AND v.run = t.run AND v.version = t.version GROUP BY ALL"))
+@query(f"WITH {UNITS}, v AS (SELECT segment AS codebook, bloc AS run, CAST(substr(priority, 1, 1) AS INTEGER) AS version FROM units WHERE unit_id % 7 <> 0 OR priority NOT LIKE '5%') SELECT v.codebook, v.run, v.version, count(*) AS n FROM v JOIN (SELECT codebook, run, max(version) AS version FROM v GROUP BY codebook, run) t ON v.codebook = t.codebook AND v.run = t.run AND v.version = t.version GROUP BY ALL")
 def latest_version(spark, sf):
     v = units(spark, sf).where("unit_id % 7 <> 0 or priority not like '5%'").select(F.col("segment").alias("codebook"), F.col("bloc").alias("run"), F.substring("priority", 1, 1).cast("int").alias("version"))
     return st.latest_version(v, ["codebook", "run"], "version").groupBy("codebook", "run", "version").agg(F.count(F.lit(1)).alias("n"))

@@ -170,7 +170,7 @@ def page_links(spark, sf):
     return l.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.count_distinct("link").alias("n_distinct"))
 
 
-@query(r"SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, count(*) AS n, min(list_last(string_split(url, '/'))) AS first_tag FROM pages GROUP BY 1".replace("list_last(string_split(url, '/'))", "string_split(url, '/')[-1]"))
+@query("SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, count(*) AS n, min(string_split(url, '/')[-1]) AS first_tag FROM pages GROUP BY 1")
 def url_tags(spark, sf):
     p = table(spark, sf, "pages")
     return p.groupBy(tx.symbol_of_url(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.min(tx.model_tag(F.col("url"))).alias("first_tag"))
