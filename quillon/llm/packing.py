@@ -93,6 +93,14 @@ def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFra
     return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids binary")
 
 
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct ids and how often each stands; two-byte ids are radix sorted."""
+    s = np.sort(ids, kind="stable")
+    at = np.flatnonzero(s[1:] != s[:-1]) + 1
+    at = np.concatenate(([0], at)) if len(s) else at
+    return s[at], np.diff(np.append(at, len(s)))
+
+
 def document_frequencies(tokens: DataFrame, kind: np.dtype) -> tuple[np.ndarray, int, float]:
     """How many documents hold each id, how many there are, their mean length."""
     size = 1 << (16 if kind.itemsize == 2 else 20)
@@ -102,7 +110,7 @@ def document_frequencies(tokens: DataFrame, kind: np.dtype) -> tuple[np.ndarray,
         for b in batches:
             for x in b.column(0):
                 own = np.frombuffer(x.as_buffer(), kind)
-                df[np.unique(own)] += 1
+                df[distinct(own)[0]] += 1
                 n += 1
                 total += len(own)
         at = np.flatnonzero(df)
@@ -124,7 +132,7 @@ class Index:
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         terms, owner, weight, self.queries = [], [], [], []
         for i, d in enumerate(docs):
-            t, tf = np.unique(d, return_counts=True)
+            t, tf = distinct(d)
             w = idf[t] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(d) / max(mean, 1.0))))
             terms.append(t)
             owner.append(np.full(len(t), i, np.int32))
