@@ -7,10 +7,10 @@ Paragraphs are lines of at least MIN_WORDS words. They are sketched and banded
 before banding, and buckets are settled with leaders, as for documents.
 
 A passage can also stand inside longer, otherwise different paragraphs. For
-these, every paragraph gives windows of WINDOW words from its anchors; an anchor
-is the smallest word-triple hash among SPAN neighbouring ones, so paragraphs
-that share WINDOW + SPAN + 1 (50) words in a row share an anchor and its window
-wherever these words stand. Windows are compared whole (edit distance 0).
+these, the words of every whole document, whatever its lines, give windows of
+WINDOW words from their anchors; an anchor is the smallest word-triple hash
+among SPAN neighbouring ones, so documents that share WINDOW + SPAN + 1 (50)
+words in a row share an anchor and its window wherever these words stand. Windows are compared whole (edit distance 0).
 Repeated windows that overlap make one passage; passages that share a window are
 one component.
 
@@ -56,9 +56,9 @@ def lines(raw: bytes, least: int):
 
 
 def windows(found: list[bytes], window: int = WINDOW, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of many lines at once: line number, first word, digest. Anchors
+    """Windows of many texts at once: text number, first word, digest. Anchors
     are the positions of the smallest triple hash in every stretch of ``span``
-    positions of a line."""
+    positions of a text, over its line breaks."""
     low = [x.translate(mh.LOWER).split() for x in found]
     own = [i for i, w in enumerate(low) if len(w) > window + span]
     none = np.empty(0, np.int64)
@@ -87,109 +87,113 @@ def _rows(values, schema):
 
 
 def _sketched_lines(docs: DataFrame, least: int) -> DataFrame:
-    """docs(id, text) -> id, start, end, n, d1, d2, bands."""
+    """docs(id, text, doc) -> doc, id, start, end, n, d1, d2, bands."""
 
     def run(batches):
         for b in batches:
             for part, texts in mh._parts(b, 1):
-                found = [(d, a, x) for d, t in zip(part.column(0).to_pylist(), texts) for a, x in lines(t, least)]
-                for p, q in mh._slices([len(x) for _, _, x in found], mh.BATCH_BYTES // 8):
+                found = [(d, k, a, x) for d, k, t in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), texts) for a, x in lines(t, least)]
+                for p, q in mh._slices([len(x) for *_, x in found], mh.BATCH_BYTES // 8):
                     own = found[p:q]
-                    places = [pa.array([d for d, _, _ in own], pa.int64()), pa.array([a for _, a, _ in own], pa.int32()), pa.array([a + len(x) for _, a, x in own], pa.int32())]
-                    columns = mh.sketch_columns(mh.shingle_sets([x for _, _, x in own]), BINS, BANDS, ROWS, MASK)
-                    yield pa.RecordBatch.from_arrays([*places, *columns], names=["id", "start", "end", "n", "d1", "d2", "bands", "sig", "mask"])
+                    places = [pa.array([k for _, k, _, _ in own], pa.int64()), pa.array([d for d, _, _, _ in own], pa.int64()), pa.array([a for _, _, a, _ in own], pa.int32()), pa.array([a + len(x) for _, _, a, x in own], pa.int32())]
+                    columns = mh.sketch_columns(mh.shingle_sets([x for *_, x in own]), BINS, BANDS, ROWS, MASK)
+                    yield pa.RecordBatch.from_arrays([*places, *columns], names=["doc", "id", "start", "end", "n", "d1", "d2", "bands", "sig", "mask"])
 
-    return docs.mapInArrow(run, f"id long, start int, end int, {mh.SKETCHED}")
+    return docs.mapInArrow(run, f"doc long, id long, start int, end int, {mh.SKETCHED}")
 
 
 def _repeated_lines(docs: DataFrame, least_words: int, least: int) -> DataFrame:
-    """id, start, end, node: the paragraphs that repeat and their component."""
+    """doc, id, start, end, node: the paragraphs that repeat and their component."""
     told = cut(_sketched_lines(docs, least_words))
-    first = F.min(F.struct("id", "start", "end"))
+    first = F.min(F.struct("id", "start", "end", "doc"))
     classes = cut(told.groupBy("d1", "d2").agg(first.alias("at"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("mask").alias("mask")))
     classes = classes.withColumn("node", F.xxhash64("d1", "d2"))
     items = classes.select(F.col("node").alias("id"), "n", "bands", "sig", "mask")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        places = classes.join(ids, classes["node"] == ids["id"]).select("node", F.col("at.id").alias("id"), F.col("at.start").alias("a"), F.col("at.end").alias("z"))
+        places = classes.join(ids, classes["node"] == ids["id"]).select("node", F.col("at.doc").alias("doc"), F.col("at.start").alias("a"), F.col("at.end").alias("z"))
         places = cut(places)
-        some = sifted(docs, sieve(places, "id"), "id").where("_goes_on").drop("_goes_on")
+        some = sifted(docs, sieve(places, "doc"), "doc").where("_goes_on").drop("_goes_on")
         line = F.expr("substring(cast(text as binary), a + 1, z - a)").cast("string")
-        own = some.join(places, "id").select(F.col("node").alias("id"), line.alias("text"))
+        own = some.join(places, "doc").select(F.col("node").alias("id"), line.alias("text"))
         return mh.full_sets(own, "id", "text").dropDuplicates(["id"])
 
     comps = mh.bucket_components(items, sets_of, least, BINS)
     named = classes.select("d1", "d2", "m", "node").join(comps, classes["node"] == comps["id"], "left").where("m > 1 or component is not null")
     named = small(cut(named.select("d1", "d2", F.coalesce("component", "node").alias("node"))))
-    return told.drop("bands", "sig", "mask", "n").join(named, ["d1", "d2"]).select("id", "start", "end", "node")
+    return told.drop("bands", "sig", "mask", "n").join(named, ["d1", "d2"]).select("doc", "id", "start", "end", "node")
 
 
-def _window_digests(docs: DataFrame, least: int, window: int, span: int) -> DataFrame:
+def _window_digests(docs: DataFrame, window: int, span: int) -> DataFrame:
     schema = pa.schema([("digest", pa.int64()), ("m", pa.int64())])
 
     def run(batches):
         for b in batches:
             for _, texts in mh._parts(b, 1):
-                d, m = np.unique(windows([x for t in texts for _, x in lines(t, least)], window, span)[2], return_counts=True)
+                d, m = np.unique(windows(texts, window, span)[2], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(m)], schema=schema)
 
     return docs.mapInArrow(run, "digest long, m long")
 
 
-def _window_places(docs: DataFrame, repeated: DataFrame, least: int, window: int, span: int) -> DataFrame:
-    """id, line, start, end, digest of the windows that a bit lets through."""
+def _window_places(docs: DataFrame, repeated: DataFrame, window: int, span: int) -> DataFrame:
+    """doc, id, start, end, digest of the windows that a bit lets through."""
     size = 1 << SEEN_BITS
     at = repeated.select(F.pmod("digest", F.lit(size)).alias("h")).groupBy(F.shiftright("h", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 32 as int))")).alias("bits"))
     words = np.zeros(size >> 5, np.uint32)
     for r in at.toLocalIterator():  # at most 2**(SEEN_BITS - 5) rows, whatever the input
         words[r["at"]] = r["bits"]
-    if not words.any():
-        return repeated.select(F.lit(0).cast("long").alias("id"), F.lit(0).alias("line"), F.lit(0).alias("start"), F.lit(0).alias("end"), "digest").limit(0)
     seen = docs.sparkSession.sparkContext.broadcast(words)
-    schema = pa.schema([("id", pa.int64()), ("line", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("digest", pa.int64())])
+    schema = pa.schema([("doc", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("digest", pa.int64())])
 
     def run(batches):
         bits = seen.value
         for b in batches:
             for part, texts in mh._parts(b, 1):
-                found = [(d, a, x) for d, t in zip(part.column(0).to_pylist(), texts) for a, x in lines(t, least)]
-                line, first, h = windows([x for _, _, x in found], window, span)
+                ids, keys = part.column(0).to_pylist(), part.column(2).to_pylist()
+                item, first, h = windows(texts, window, span)
                 p = h & (size - 1)
                 hit = np.flatnonzero(bits[p >> 5] >> (p & 31).astype(np.uint32) & 1)
                 rows, last, places = [], -1, []
-                for k, i, w in zip(hit.tolist(), line[hit].tolist(), first[hit].tolist()):
-                    d, a, x = found[i]
+                for k, i, w in zip(hit.tolist(), item[hit].tolist(), first[hit].tolist()):
                     if i != last:
-                        last, places = i, [m.span() for m in _WORD.finditer(x)]
-                    rows.append((d, a, a + places[w][0], a + places[w + window - 1][1], int(h[k])))
+                        last, places = i, [m.span() for m in _WORD.finditer(texts[i])]
+                    rows.append((keys[i], ids[i], places[w][0], places[w + window - 1][1], int(h[k])))
                 yield _rows(rows, schema)
 
-    return docs.mapInArrow(run, "id long, line int, start int, end int, digest long")
+    return docs.mapInArrow(run, "doc long, id long, start int, end int, digest long")
 
 
-def _passages(docs: DataFrame, whole: DataFrame, least: int, window: int, span: int) -> DataFrame:
-    """id, start, end, node of passages inside paragraphs that don't repeat as a whole."""
-    counted = _window_digests(docs, least, window, span).groupBy("digest").agg(F.sum("m").alias("m")).where("m > 1")
+def _outside(places: DataFrame, taken: DataFrame) -> DataFrame:
+    """The places that don't lie inside one of the spans ``taken`` of their document."""
+    spans = taken.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # the lines of one text
+    inside = F.expr("exists(spans, s -> s.start <= start and end <= s.end)")
+    return places.join(spans, "doc", "left").where(~F.coalesce(inside, F.lit(False))).drop("spans")
+
+
+def _passages(docs: DataFrame, whole: DataFrame, window: int, span: int) -> DataFrame:
+    """id, start, end, node of passages that are not part of a paragraph that repeats as a whole."""
+    counted = _window_digests(docs, window, span).groupBy("digest").agg(F.sum("m").alias("m")).where("m > 1")
     repeated = cut(counted.select("digest"))
-    places = _window_places(docs, repeated, least, window, span).join(small(repeated), "digest")
-    places = cut(places.join(whole.select("id", F.col("start").alias("line")), ["id", "line"], "left_anti"))
-    order = W.partitionBy("id", "line").orderBy("start", "end")
+    places = _window_places(docs, repeated, window, span).join(small(repeated), "digest")
+    places = cut(_outside(places, whole))
+    order = W.partitionBy("doc").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     marked = places.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int")).withColumn("back", F.lag("digest").over(order))
     marked = cut(marked.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))))
     edges = marked.where("new = 0 and back <> digest").select(F.col("back").alias("src"), F.col("digest").alias("dst")).distinct()
     comps = small(cut(components(edges)))
-    spans = marked.groupBy("id", "line", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("digest").alias("digest"))
-    return spans.join(comps, spans["digest"] == comps["id"], "left").select(spans["id"], "start", "end", F.coalesce("component", "digest").alias("node"))
+    spans = marked.groupBy("doc", "island").agg(F.first("id").alias("id"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("digest").alias("digest"))
+    return spans.join(comps, spans["digest"] == comps["id"], "left").select(spans["doc"], spans["id"], "start", "end", F.coalesce("component", "digest").alias("node"))
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, window: int = WINDOW, span: int = SPAN, least: int = 75) -> DataFrame:
     """One row per repeated paragraph or passage: id, start, end (bytes of the
     UTF-8 text, end exclusive), is_passage, component_id (the id of the place
     that stays), component_start, group_size (places), kept."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("doc", F.xxhash64("id", "text"))
     whole = cut(_repeated_lines(rows, min_words, least))
-    parts = _passages(rows, whole, min_words, window, span)
+    parts = _passages(rows, whole, window, span)
     found = cut(whole.withColumn("passage", F.lit(False)).unionByName(parts.withColumn("passage", F.lit(True))))
     groups = found.groupBy("passage", "node").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("group_size"))
     out = found.join(small(cut(groups)), ["passage", "node"])

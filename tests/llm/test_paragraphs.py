@@ -67,3 +67,13 @@ def test_shared_passages_of_51_words_always_meet():
         assert len(np.intersect1d(windows([a])[2], windows([b])[2]))
         line, first, digest = windows([b"short", a, b])
         assert (digest[line == 1] == windows([a])[2]).all() and (first[line == 2] == windows([b])[1]).all()
+
+
+def test_passages_over_line_breaks(spark):
+    r = random.Random(21)
+    p = words(r, 60)
+    rows = [(1, " ".join(words(r, 60)) + " " + " ".join(p[:30]) + "\n" + " ".join(p[30:]) + " " + " ".join(words(r, 60)))]
+    rows += [(2, "\n".join(" ".join(p[k : k + 12]) for k in range(0, 60, 12)))]
+    got = {x["doc_id"]: x for x in repeated_paragraphs(docs(spark, rows)).collect()}
+    assert set(got) == {1, 2} and all(x["is_passage"] and x["component_id"] == 1 for x in got.values())
+    assert got[1]["kept"] and not got[2]["kept"]
