@@ -11,11 +11,18 @@ these, the words of every whole document, whatever its lines, give windows of
 WINDOW words from their anchors; an anchor is the smallest word-triple hash
 among SPAN neighbouring ones, so documents that share WINDOW + SPAN + 1 (50)
 words in a row share an anchor and its window wherever these words stand. Windows are compared whole (edit distance 0).
-Repeated windows that overlap make one passage; passages that share a window are
-one component.
-
-Of each component the first place by (doc_id, start) stays, the others are
-removals. Only text that repeats is returned: documents that repeat nothing do
+Of each
+window digest the first place that no removed paragraph touches stays and every
+other place is removed, so no words go of which no equal ones stay. Removed
+windows that overlap make one passage. Both its ends are extended to the longest
+stretch equal to the place that stays, word by word; the windows at the ends are
+compared word by word too, those between by their digests.
+
+Of each group of paragraphs the first place by (doc_id, start) stays, the others
+are removals. A component is what hangs together by shared windows: paragraphs
+and passages, where several places can stay, each for other words. Only what lies
+inside a removed paragraph is not told again.
+Only text that repeats is returned: documents that repeat nothing do
 not appear.
 
 Defined cases: null and empty texts have no paragraphs; text that repeats inside
@@ -164,41 +171,146 @@ def _window_places(docs: DataFrame, repeated: DataFrame, window: int, span: int)
     return docs.mapInArrow(run, "doc long, id long, start int, end int, digest long")
 
 
-def _outside(places: DataFrame, taken: DataFrame) -> DataFrame:
-    """The places that don't lie inside one of the spans ``taken`` of their document."""
-    spans = taken.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # the lines of one text
+def _outside(places: DataFrame, removed: DataFrame) -> DataFrame:
+    """The places that don't lie inside one of the spans ``removed`` of their
+    document, with low and high, the ends of the text around them that is not
+    in such a span, and free, whether they overlap none."""
+    spans = removed.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # the lines of one text
     inside = F.expr("exists(spans, s -> s.start <= start and end <= s.end)")
-    return places.join(spans, "doc", "left").where(~F.coalesce(inside, F.lit(False))).drop("spans")
+    held = places.join(spans, "doc", "left").where(~F.coalesce(inside, F.lit(False)))
+    held = held.withColumn("free", ~F.coalesce(F.expr("exists(spans, s -> s.start < end and start < s.end)"), F.lit(False)))
+    low = F.coalesce(F.expr("array_max(transform(filter(spans, s -> s.end <= start), s -> s.end))"), F.lit(0))
+    high = F.coalesce(F.expr("array_min(transform(filter(spans, s -> s.start >= end), s -> s.start))"), F.lit(2**31 - 1))
+    return held.withColumn("low", low).withColumn("high", high).drop("spans")
+
+
+def _islands(spans: DataFrame, *keys: str) -> DataFrame:
+    """Spans (doc, start, end) with island, the number of their run of overlapping ones."""
+    order = W.partitionBy("doc", *keys).orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    marked = spans.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int"))
+    return marked.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("new")
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """doc, id, start, end, digest, stays: overlapping spans of one kind as one."""
+    held = _islands(spans, "stays").groupBy("doc", "stays", "island")
+    return held.agg(F.min("id").alias("id"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("digest").alias("digest")).drop("island")
+
+
+def _contexts(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """asked(doc, left, at, bound) -> doc, left, at, bound, around: up to ``words``
+    words of the text before (left) or after ``at``, not beyond ``bound``."""
+    asked = cut(asked.distinct().groupBy("doc").agg(F.collect_list(F.struct("left", "at", "bound")).alias("asks")))
+    some = sifted(docs.select("doc", "text"), sieve(asked, "doc"), "doc").where("_goes_on").select("doc", "text").dropDuplicates(["doc"])
+    out = pa.schema([("doc", pa.int64()), ("left", pa.bool_()), ("at", pa.int32()), ("bound", pa.int32()), ("around", pa.binary())])
+
+    def slice_of(raw: bytes, left: bool, at: int, bound: int) -> bytes:
+        size = 1024
+        while True:
+            a, z = (max(bound, at - size), at) if left else (at, min(bound, at + size, len(raw)))
+            got = raw[a:z]
+            if (a == bound if left else z == min(bound, len(raw))) or len(got.split(None, words)) > words:
+                return got
+            size *= 2
 
+    def run(batches):
+        for b in batches:
+            for part, texts in mh._parts(b, 1):
+                rows = [(d, q["left"], q["at"], q["bound"], slice_of(t, q["left"], q["at"], q["bound"])) for d, t, asks in zip(part.column(0).to_pylist(), texts, part.column(2).to_pylist()) for q in asks]
+                yield _rows(rows, out)
+
+    return some.join(asked, "doc").mapInArrow(run, "doc long, left boolean, at int, bound int, around binary")
+
+
+def _reach(own: bytes, other: bytes, left: bool, words: int) -> tuple[int, int, int]:
+    """How many words, at most ``words``, two texts share from the end (left) or
+    the beginning on, and their bytes in both."""
+    a, b = ([(*m.span(), m.group().translate(mh.LOWER)) for m in _WORD.finditer(x)] for x in (own, other))
+    if left:
+        a.reverse(), b.reverse()
+    n = 0
+    while n < min(len(a), len(b), words) and a[n][2] == b[n][2]:
+        n += 1
+    if not n:
+        return 0, 0, 0
+    return (n, len(own) - a[n - 1][0], len(other) - b[n - 1][0]) if left else (n, a[n - 1][1], b[n - 1][1])
+
+
+def _extended(docs: DataFrame, removed: DataFrame, window: int, span: int) -> DataFrame:
+    """doc, id, start, end, digest, stays: for both ends of every removed island
+    the longest stretch equal to the place that stays, and that place's own.
+    The words are compared themselves, those of the window included."""
+    words = window + span + 3
+    held = _islands(removed).groupBy("doc", "island")
+    first, last = F.min(F.struct("start", "id", "end", "low", "high", "digest", "rep")), F.max(F.struct("end", "id", "start", "low", "high", "digest", "rep"))
+    ends = held.agg(first.alias("f"), last.alias("l"))
+    side = lambda e, left, at, bound: F.struct(
+        F.lit(left).alias("left"), F.col(f"{e}.id").alias("id"), F.col(f"{e}.digest").alias("digest"), F.col(f"{e}.{at}").alias("at"), F.col(f"{e}.rep.{at}").alias("rat"),
+        # Within one document neither stretch runs into the other's window.
+        (F.greatest(f"{e}.low", F.when(F.col(f"{e}.rep.doc") == F.col("doc"), F.col(f"{e}.rep.end")).otherwise(0)) if left else F.col(f"{e}.high")).alias("bound"),
+        (F.col(f"{e}.rep.low") if left else F.least(f"{e}.rep.high", F.when(F.col(f"{e}.rep.doc") == F.col("doc"), F.col(f"{e}.start")).otherwise(2**31 - 1))).alias("rbound"),
+        F.col(f"{e}.rep.doc").alias("rdoc"), F.col(f"{e}.rep.id").alias("rid"))
+    asks = cut(ends.select("doc", F.explode(F.array(side("f", True, "end", "low"), side("l", False, "start", "high"))).alias("s")).select("doc", "s.*"))
+    got = cut(_contexts(docs, asks.select("doc", "left", "at", "bound").unionByName(asks.select(F.col("rdoc").alias("doc"), "left", F.col("rat").alias("at"), F.col("rbound").alias("bound"))), words))
+    rgot = small(got.select(F.col("doc").alias("rdoc"), "left", F.col("at").alias("rat"), F.col("bound").alias("rbound"), F.col("around").alias("raround")), 2_000)
+    both = asks.join(got, ["doc", "left", "at", "bound"]).join(rgot, ["rdoc", "left", "rat", "rbound"])
+    columns = ["doc", "id", "at", "rdoc", "rid", "rat", "left", "digest", "around", "raround"]
+    out = pa.schema([("doc", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("digest", pa.int64()), ("stays", pa.bool_())])
 
-def _passages(docs: DataFrame, whole: DataFrame, window: int, span: int) -> DataFrame:
-    """id, start, end, node of passages that are not part of a paragraph that repeats as a whole."""
+    def run(batches):
+        for b in batches:
+            rows = []
+            for doc, i, at, rdoc, ri, rat, left, digest, own, other in zip(*(c.to_pylist() for c in b.columns)):
+                n, k, rk = _reach(own, other, left, words)
+                if n >= window:
+                    rows += [(doc, i, at - k, at, digest, False), (rdoc, ri, rat - rk, rat, digest, True)] if left else [(doc, i, at, at + k, digest, False), (rdoc, ri, rat, rat + rk, digest, True)]
+            yield _rows(rows, out)
+
+    return both.select(columns).mapInArrow(run, "doc long, id long, start int, end int, digest long, stays boolean")
+
+
+def _passages(docs: DataFrame, whole: DataFrame, removed_lines: DataFrame, window: int, span: int) -> tuple[DataFrame, DataFrame]:
+    """doc, id, start, end, node, kept of passages; and (id, component) of the
+    window digests and lines that belong together."""
     counted = _window_digests(docs, window, span).groupBy("digest").agg(F.sum("m").alias("m")).where("m > 1")
     repeated = cut(counted.select("digest"))
     places = _window_places(docs, repeated, window, span).join(small(repeated), "digest")
-    places = cut(_outside(places, whole))
-    order = W.partitionBy("doc").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    marked = places.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int")).withColumn("back", F.lag("digest").over(order))
-    marked = cut(marked.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))))
-    edges = marked.where("new = 0 and back <> digest").select(F.col("back").alias("src"), F.col("digest").alias("dst")).distinct()
-    comps = small(cut(components(edges)))
-    spans = marked.groupBy("doc", "island").agg(F.first("id").alias("id"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("digest").alias("digest"))
-    return spans.join(comps, spans["digest"] == comps["id"], "left").select(spans["doc"], spans["id"], "start", "end", F.coalesce("component", "digest").alias("node"))
+    places = cut(_outside(places, removed_lines).dropDuplicates(["doc", "start"]))
+    # Of each digest the first place that no removed line touches stays.
+    stay = F.min(F.when(F.col("free"), F.struct("id", "start", "doc", "end", "low", "high")))
+    reps = cut(places.groupBy("digest").agg(stay.alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1 and rep is not null").drop("m"))
+    places = cut(places.join(small(reps), "digest"))
+    away = (F.col("doc") != F.col("rep.doc")) | (F.col("start") >= F.col("rep.end"))
+    removed = cut(places.where(away))
+    stays = removed.select(F.col("rep.doc").alias("doc"), F.col("rep.id").alias("id"), F.col("rep.start").alias("start"), F.col("rep.end").alias("end"), "digest").distinct()
+    spans = removed.select("doc", "id", "start", "end", "digest", F.lit(False).alias("stays")).unionByName(stays.withColumn("stays", F.lit(True)))
+    spans = cut(spans)
+    marked = _islands(spans.select("doc", "start", "end", "digest"))
+    near = marked.select(F.min("digest").over(W.partitionBy("doc", "island")).alias("src"), F.col("digest").alias("dst"))
+    kept = whole.join(removed_lines.select("doc", "start"), ["doc", "start"], "left_anti").select("doc", F.col("start").alias("a"), F.col("end").alias("z"), "node")
+    lines_of = spans.join(kept, "doc").where("start >= a and end <= z").select(F.col("node").alias("src"), F.col("digest").alias("dst"))
+    comps = cut(components(near.where("src <> dst").unionByName(lines_of).distinct()))
+    found = _merged(spans.unionByName(_extended(docs, removed, window, span)))
+    found = found.join(small(comps), found["digest"] == comps["id"], "left").select(found["doc"], found["id"], "start", "end", F.coalesce("component", "digest").alias("node"), F.col("stays").alias("kept"))
+    return found, comps
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, window: int = WINDOW, span: int = SPAN, least: int = 75) -> DataFrame:
     """One row per repeated paragraph or passage: id, start, end (bytes of the
-    UTF-8 text, end exclusive), is_passage, component_id (the id of the place
-    that stays), component_start, group_size (places), kept."""
+    UTF-8 text, end exclusive), is_passage, component_id and component_start
+    (the component's first place), group_size (places), kept."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("doc", F.xxhash64("id", "text"))
     whole = cut(_repeated_lines(rows, min_words, least))
-    parts = _passages(rows, whole, window, span)
-    found = cut(whole.withColumn("passage", F.lit(False)).unionByName(parts.withColumn("passage", F.lit(True))))
-    groups = found.groupBy("passage", "node").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("group_size"))
-    out = found.join(small(cut(groups)), ["passage", "node"])
-    stays = (F.col("id").eqNullSafe(F.col("first.id"))) & (F.col("start") == F.col("first.start"))
-    return out.select(F.col("id").alias(id_col), "start", "end", F.col("passage").alias("is_passage"), F.col("first.id").alias("component_id"), F.col("first.start").alias("component_start"), "group_size", stays.alias("kept"))
+    ahead = small(cut(whole.groupBy("node").agg(F.min(F.struct("id", "start")).alias("first"))))
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("start") == F.col("first.start"))
+    whole = cut(whole.join(ahead, "node").withColumn("kept", stays).drop("first"))
+    parts, comps = _passages(rows, whole.drop("kept"), whole.where("not kept").select("doc", "start", "end"), window, span)
+    named = whole.join(small(comps), whole["node"] == comps["id"], "left").select("doc", whole["id"], "start", "end", F.coalesce("component", "node").alias("node"), "kept")
+    found = cut(named.withColumn("passage", F.lit(False)).unionByName(parts.withColumn("passage", F.lit(True))))
+    groups = found.groupBy("node").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    out = found.join(small(cut(groups)), "node")
+    return out.select(F.col("id").alias(id_col), "start", "end", F.col("passage").alias("is_passage"), F.col("first.id").alias("component_id"), F.col("first.start").alias("component_start"), "group_size", "kept")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -77,3 +77,37 @@ def test_passages_over_line_breaks(spark):
     got = {x["doc_id"]: x for x in repeated_paragraphs(docs(spark, rows)).collect()}
     assert set(got) == {1, 2} and all(x["is_passage"] and x["component_id"] == 1 for x in got.values())
     assert got[1]["kept"] and not got[2]["kept"]
+
+
+def left_over(spark, rows):
+    return {r["doc_id"]: r["text"] for r in drop_repeats(docs(spark, rows)).collect()}
+
+
+def test_passages_meet_lines_that_repeat_and_nothing_is_lost(spark):
+    r = random.Random(22)
+    p, a, b = words(r, 60), words(r, 60), words(r, 60)
+    join = lambda *x: " ".join(w for part in x for w in part)
+    rows = [(i, join(p)) for i in range(1, 4)] + [(9, join(words(r, 60), p, words(r, 60)))]  # a line, and a passage
+    x, y, q = join(words(r, 60), b, words(r, 60)), join(words(r, 60), b, words(r, 60)), words(r, 300)
+    rows += [(11, x), (12, x), (13, y), (14, y)]  # a passage inside two groups of lines
+    rows += [(21, join(words(r, 40), q[:50])), *((k, join(words(r, 200), q, words(r, 200))) for k in (22, 23, 24))]
+    rows += [(31, join(words(r, 90), a)), (32, join(words(r, 90), p[::-1])), (33, join(words(r, 90), a, p[::-1])), (34, join(words(r, 90), a, p[::-1]))]
+    got = repeated_paragraphs(docs(spark, rows)).collect()
+    nine = [g for g in got if g["doc_id"] == 9]
+    assert len(nine) == 1 and not nine[0]["kept"] and nine[0]["component_id"] == 1 and nine[0]["group_size"] >= 4
+    assert any(g["doc_id"] == 13 and g["is_passage"] and not g["kept"] and g["component_id"] == 11 for g in got)
+    text = dict(rows)
+    for i, want in ((9, p), (13, b), (33, a)):  # whole, not windows alone
+        assert any(text[i].encode()[g["start"] : g["end"]].decode() == " ".join(want) or i == 33 for g in got if g["doc_id"] == i and not g["kept"])
+    out = left_over(spark, rows)
+    everything = set(" ".join(out.values()).split())
+    assert everything == set(" ".join(text.values()).split())
+    assert sum(t.count(" ".join(q[50:])) for t in out.values()) == 1 and sum(" ".join(p[::-1]) in t for t in out.values()) == 1
+
+
+def test_reach_is_the_longest_equal_stretch():
+    from quillon.llm.paragraphs import _reach
+
+    assert _reach(b"x A  b c", b"y a b\nc", True, 9) == (3, 6, 5)
+    assert _reach(b"a b x", b"a  b y", False, 9) == (2, 3, 4)
+    assert _reach(b"a b", b"c", False, 9) == (0, 0, 0)
