@@ -1,7 +1,10 @@
 """Lexical retrieval packing with a sharded BM25 index.
 
-Documents are tokenised once and dealt by a hash into shards of about
-SHARD_DOCS. Stretches of ``window`` ids fill sequences of their own; what is
+Documents are tokenised once and dealt by content into shards of about
+SHARD_DOCS: in the order of their two weightiest terms that other documents hold
+too, so documents that share rare terms lie side by side. A seed asks its own
+shard alone, on all its terms; neighbours whose weightiest terms differ can lie
+in other shards and are not found. Stretches of ``window`` ids fill sequences of their own; what is
 left of each document waits in its shard. There the next waiting document seeds
 a sequence, and the shard's inverted index returns its unused neighbours by
 BM25, best first; they fill the window, whole while they fit, the last one cut
@@ -126,10 +129,34 @@ def document_frequencies(tokens: DataFrame, kind: np.dtype) -> tuple[np.ndarray,
     return df, n, total / max(n, 1)
 
 
+def dealt(tokens: DataFrame, kind: np.dtype, df: np.ndarray, idf: np.ndarray, mean: float, shards: int) -> DataFrame:
+    """(shard, id, ids): documents side by side in the order of their two
+    weightiest terms among those that at least two documents hold; documents
+    equal in these are told apart by a hash."""
+    shared = tokens.sparkSession.sparkContext.broadcast((np.where(df > 1, idf, 0).astype(np.float32), mean))
+
+    def run(batches):
+        idf, mean = shared.value
+        for b in batches:
+            top = np.full((b.num_rows, 2), -1, np.int32)
+            for i, x in enumerate(b.column(1)):
+                own = np.frombuffer(x.as_buffer(), kind)
+                t, tf = distinct(own)
+                w = idf[t] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(own) / max(mean, 1.0))))
+                best = np.lexsort((t, -w))[:2] if len(t) < 3 else (k := np.argpartition(-w, 1)[:2])[np.lexsort((t[k], -w[k]))]
+                top[i, : len(best)] = np.where(w[best] > 0, t[best], -1)
+            yield pa.RecordBatch.from_arrays([pa.array(top[:, 0]), pa.array(top[:, 1]), b.column(0), b.column(1)], names=["t1", "t2", "id", "ids"])
+
+    id_type = tokens.schema["id"].dataType.simpleString()
+    keyed = tokens.select("id", "ids").mapInArrow(run, f"t1 int, t2 int, id {id_type}, ids binary").withColumn("h", F.xxhash64("id", "ids"))
+    side = keyed.repartitionByRange(shards, "t1", "t2", "h").sortWithinPartitions("t1", "t2", "h", "id", "ids")
+    return side.select(F.spark_partition_id().alias("shard"), "id", "ids")
+
+
 class Index:
-    """BM25 over the documents of one shard."""
+    """BM25 over the documents of one shard; a query has ``query_terms`` terms, or all."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int | None = QUERY_TERMS):
         terms, owner, weight, self.queries = [], [], [], []
         for i, d in enumerate(docs):
             t, tf = distinct(d)
@@ -137,7 +164,7 @@ class Index:
             terms.append(t)
             owner.append(np.full(len(t), i, np.int32))
             weight.append(w.astype(np.float32))
-            best = np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS] if len(t) > QUERY_TERMS else np.arange(len(t))
+            best = np.argpartition(-w, query_terms)[:query_terms] if query_terms is not None and len(t) > query_terms else np.arange(len(t))
             self.queries.append(t[best])
         terms, owner, weight = np.concatenate(terms), np.concatenate(owner), np.concatenate(weight)
         order = np.argsort(terms, kind="stable")
@@ -227,7 +254,7 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_co
             if not held:
                 return
             docs = [np.frombuffer(x, kind) for _, x in held]
-            rows = [(held[i][0], a, k, crc32(docs[i][a : a + k].astype("<u4").tobytes()), len(docs[i]), (own << 32) + s, o) for i, a, k, s, o in pack(docs, Index(docs, idf, mean), window)]
+            rows = [(held[i][0], a, k, crc32(docs[i][a : a + k].astype("<u4").tobytes()), len(docs[i]), (own << 32) + s, o) for i, a, k, s, o in pack(docs, Index(docs, idf, mean, None), window)]
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], schema), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
@@ -240,7 +267,5 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_co
                 held.append((i, x))
         yield from settle()
 
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("id", "ids"), F.lit(shards))).select("shard", "id", "ids")
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "id", "ids")
-    out = dealt.mapInArrow(run, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    out = dealt(tokens, kind, df, idf, mean, shards).mapInArrow(run, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)

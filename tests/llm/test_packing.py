@@ -74,3 +74,23 @@ def test_neighbours_are_bm25():
         got = list(index.neighbours(i, unused))
         assert set(got) == {j for j, s in score.items() if s > 0}
         assert all(score[a] >= score[b] - 1e-3 for a, b in zip(got, got[1:]))
+
+
+def test_documents_are_dealt_by_content(spark):
+    topics = ["zebra", "quartz", "violin", "harbor", "cactus", "glacier", "pepper", "lantern"]
+    texts = [(i, " ".join(["the", "and", "of"] * 20 + [topics[i % 8]] * 30)) for i in range(160)]
+    rows = pk.packed(docs(spark, texts), shard_docs=20).collect()
+    check(rows, texts)
+    shards = defaultdict(set)
+    for r in rows:
+        shards[r["doc_id"] % 8].add(r["sequence_id"] >> 32)
+    assert all(len(s) <= 3 for s in shards.values())  # dealt at random, 20 documents stand in nearly all of the 8
+
+
+def test_queries_have_all_terms():
+    texts = [np.arange(40, dtype="<u2"), np.array([39, 50, 51], "<u2")] + [np.array([k], "<u2") for k in range(60, 80)]
+    idf = np.ones(80, np.float32)
+    idf[39] = 0.1  # the weakest of the seed's 40 terms
+    unused = np.ones(len(texts), bool)
+    unused[0] = False
+    assert list(pk.Index(texts, idf, 10.0, None).neighbours(0, unused)) == [1]
