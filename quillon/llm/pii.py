@@ -4,10 +4,9 @@ Base kinds (email, ip, card, phone) are found in every whole text, leftmost and
 non-overlapping per kind, then checked; a match that fails its check is dropped
 and not retried.
 
-Sanitisation: every distinct base value is a protected entity. Words within
-WINDOW words of a mention, on its line, are candidates once they stood in
-SUPPORT different contexts of the same entity (copies of a context count once).
-With document counts over the whole corpus, a word t reveals an entity e by
+Sanitisation: every distinct base value is a protected entity, and every word of
+a document that holds it is a candidate, wherever the word stands. With document
+counts over the whole corpus, a word t reveals an entity e by
 PMI(e, t) = log2(N n(e, t) / (n(e) n(t))). It exceeds the disclosure threshold
 if PMI >= ALPHA x IC(e), with IC(e) = log2(N / n(e)). Every occurrence of such a
 word in the corpus becomes a span: ``remove`` if the word gives the entity away
@@ -34,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import cut, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, SUPPORT, ALPHA = 8, 3, 0.9
-SIEVE_BITS = 20
+ALPHA = 0.9
+SIEVE_BITS = 23
 KEPT_COUNTS = 100_000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -109,20 +108,10 @@ def entity(text: str, span: tuple[int, int, str]) -> str:
     return f"{kind}:{text[a:z].lower() if kind == 'email' else _only_digits(text[a:z])}"
 
 
-def contexts(text: str, spans: list[tuple[int, int, str]]):
-    """(entity, word, context) of the words around each mention on its line;
-    words that are part of a span are none."""
+def words_of(text: str, spans: list[tuple[int, int, str]]) -> set[str]:
+    """The words of a text that are not part of a span."""
     taken = covered(spans)
-    for start, end, kind in spans:
-        value = entity(text, (start, end, kind))
-        low, high = text.rfind("\n", 0, start) + 1, text.find("\n", end)
-        high = len(text) if high < 0 else high
-        low, high = max(low, start - 40 * WINDOW), min(high, end + 40 * WINDOW)
-        near = [*_TERM.finditer(text, low, start)][-WINDOW:] + [*_TERM.finditer(text, end, high)][:WINDOW]
-        near = [m.group().lower() for m in near if not taken(*m.span())]
-        context = crc32(" ".join(near).encode("utf-8", "surrogatepass"))
-        for word in set(near):
-            yield value, word, context
+    return {m.group().lower() for m in _TERM.finditer(text) if not taken(*m.span())}
 
 
 def _word_hash(word: str) -> int:
@@ -149,26 +138,32 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_of(text_col).alias("text"))
 
 
-def co_occurrence(docs: DataFrame, text_col: str = "text", support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """(entity, n_e), and (entity, word, n_et) of supported pairs."""
+def co_occurrence(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(entity, n_e), and (entity, word, n_et), in documents."""
 
     def find(batches):
+        seen: dict[tuple[str, str], int] = {}
+
+        def out():
+            cols = list(zip(*seen)) or [[], []]
+            batch = pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["entity", "word", "n"])
+            seen.clear()
+            return batch
+
         for b in batches:
-            rows = []
             for t in b.column(0).to_pylist():
                 if spans := base_spans(t):
-                    seen = set()
-                    for e, w, c in [*((e, "", 0) for e in {entity(t, s) for s in spans}), *set(contexts(t, spans))]:
-                        rows.append((e, w, c, (e, w) not in seen))  # one of a document's rows for a pair counts the document
-                        seen.add((e, w))
-            cols = list(zip(*rows)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.bool_()))], names=["entity", "word", "context", "first"])
+                    words = ["", *words_of(t, spans)]
+                    for e in {entity(t, s) for s in spans}:
+                        for w in words:
+                            seen[e, w] = seen.get((e, w), 0) + 1
+                        if len(seen) >= KEPT_COUNTS:
+                            yield out()
+        yield out()
 
-    met = cut(_texts(docs, text_col).mapInArrow(find, "entity string, word string, context long, first boolean"))
-    times = F.sum(F.col("first").cast("long"))
-    n_e = met.where("word = ''").groupBy("entity").agg(times.alias("n_e"))
-    pairs = met.where("word <> ''").groupBy("entity", "word").agg(times.alias("n_et"), F.count_distinct("context").alias("contexts"))
-    return n_e, pairs.where(F.col("contexts") >= support).drop("contexts")
+    met = _texts(docs, text_col).mapInArrow(find, "entity string, word string, n long")
+    met = cut(met.groupBy("entity", "word").agg(F.sum("n").alias("n")))
+    return met.where("word = ''").select("entity", F.col("n").alias("n_e")), met.where("word <> ''").select("entity", "word", F.col("n").alias("n_et"))
 
 
 def document_counts(docs: DataFrame, words: DataFrame, text_col: str = "text") -> DataFrame:
@@ -198,10 +193,9 @@ def document_counts(docs: DataFrame, words: DataFrame, text_col: str = "text") -
     return words.join(got.groupBy("word").agg(F.sum("n").alias("n_t")), "word")
 
 
-def revealing_words(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
+def revealing_words(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA) -> DataFrame:
     """(word, action): the words over the disclosure threshold."""
-    n_e, pairs = co_occurrence(docs, text_col, support)
-    pairs = cut(pairs)
+    n_e, pairs = co_occurrence(docs, text_col)
     n_t = document_counts(docs, pairs.select("word").distinct(), text_col)
     n = docs.count()
     ic = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))

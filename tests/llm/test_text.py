@@ -111,3 +111,10 @@ def test_quality_edges(spark):
     assert out.columns == [*table.columns, "score"] and out.count() == 4
     assert keep_good(table, net).columns == table.columns
     assert score_quality(docs(spark, []), net).count() == 0
+
+
+def test_words_far_from_a_value_reveal_it(spark):
+    texts = [f"plain words number {'abcdefghij'[i % 10]}xyz" for i in range(60)]
+    texts += ["Orlandov\nwrites to o.v@corp.example.org " + "plain words number " * 9 + " from Farawaytown", "nothing else here"]
+    words = {r["word"]: r["action"] for r in revealing_words(docs(spark, texts)).collect()}
+    assert words["orlandov"] == words["farawaytown"] == "remove" and not {"plain", "words", "number"} & set(words)
