@@ -7,8 +7,8 @@ its largest response (max pooling), and a logistic layer over the pooled
 responses gives one probability. The network sees bytes of the text alone.
 
 It is fitted on the driver on a bounded sample: at most TRAIN_ROWS labelled
-rows, those with the lowest hash of their id, whose text has at most
-TRAIN_BYTES bytes. Scoring covers every byte of every text, SEGMENT bytes at a
+rows, those with the lowest hash of their id; of a text longer than TRAIN_BYTES
+a whole segment of so many bytes, at a place drawn by the hash. Scoring covers every byte of every text, SEGMENT bytes at a
 time, so memory is bounded whatever the length.
 
 Defined cases: null and empty texts are scored as one chunk of padding; rows
@@ -169,11 +169,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     given = given.groupBy("id").agg(F.max("y").alias("y"))
     if usable is not None:
         given = given.where(usable)
-    # The ids with the lowest hashes are settled before any text is read; rows too long for the sample leave room for twice as many.
-    given = given.withColumn("h", F.xxhash64("id", F.lit("train"))).orderBy("h", "id").limit(2 * rows)
-    texts = docs.select(F.col(id_col).alias("id"), raw.alias("t")).where(F.octet_length("t") <= most_bytes)
+    # The ids with the lowest hashes are settled before any text is read.
+    given = given.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
+    given = given.withColumn("h", F.xxhash64("id", F.lit("train"))).orderBy("h", "id").limit(rows)
+    room = F.greatest(F.octet_length("t") - most_bytes + 1, F.lit(1))
+    segment = F.col("t").substr(F.pmod(F.xxhash64("id", F.lit("segment")), room).cast("int") + 1, F.lit(most_bytes))
+    texts = docs.select(F.col(id_col).alias("id"), raw.cast("binary").alias("t")).withColumn("t", segment)
     sample = texts.join(F.broadcast(given), "id").orderBy("h", "id", "t").limit(rows).select("t", "y").collect()
-    return train([r["t"].encode() for r in sample], [r["y"] for r in sample])
+    return train([bytes(r["t"]) for r in sample], [r["y"] for r in sample])
 
 
 def score_quality(docs: DataFrame, net: Network, text_col: str = "text", to: str = "score") -> DataFrame:

@@ -118,3 +118,11 @@ def test_words_far_from_a_value_reveal_it(spark):
     texts += ["Orlandov\nwrites to o.v@corp.example.org " + "plain words number " * 9 + " from Farawaytown", "nothing else here"]
     words = {r["word"]: r["action"] for r in revealing_words(docs(spark, texts)).collect()}
     assert words["orlandov"] == words["farawaytown"] == "remove" and not {"plain", "words", "number"} & set(words)
+
+
+def test_quality_learns_from_long_texts(spark):
+    good, bad = "plain words here " * 1200, "plain ### words ### " * 1200
+    table = docs(spark, [good, bad] * 20)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, quality int")
+    s = scores(fit_quality(table, labels), [good.encode(), bad.encode()])
+    assert s[0] > 0.7 and s[1] < 0.3
