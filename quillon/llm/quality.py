@@ -35,6 +35,7 @@ DIM, FILTERS = 8, 32  # DIM without the echo
 INPUT = DIM + 1
 ECHO = 24
 SEGMENT = 1 << 19
+TILE = 4096
 PAD = 256
 
 
@@ -86,7 +87,13 @@ def _pooled(net: Network, blocks: list[tuple[np.ndarray, np.ndarray]], where: bo
     starts = ends - sizes
     rows, echo = np.concatenate([b for b, _ in blocks]), np.concatenate([e for _, e in blocks])
     half = STEP * INPUT
-    both = _input(net, rows, echo).reshape(len(rows), half) @ np.hstack([net.filters[:half], net.filters[half:]])
+    filters, both = np.hstack([net.filters[:half], net.filters[half:]]), np.empty((len(rows), 2 * FILTERS), np.float32)
+    # Products of one shape only: a row's response must not depend on how many rows stand beside it.
+    tile = np.zeros((TILE, half), np.float32)
+    for a in range(0, len(rows), TILE):
+        own = _input(net, rows[a : a + TILE], echo[a : a + TILE]).reshape(-1, half)
+        tile[: len(own)] = own
+        both[a : a + len(own)] = (tile @ filters)[: len(own)]
     got = np.full((len(rows), FILTERS), -np.inf, np.float32)
     np.add(both[:-1, :FILTERS], both[1:, FILTERS:], out=got[:-1])
     got[ends - 1] = -np.inf  # a chunk does not run from one item into the next
@@ -116,7 +123,7 @@ def scores(net: Network, texts: list[bytes]) -> np.ndarray:
             if size >= SEGMENT:
                 flush()
     flush()
-    z = np.maximum(top + net.shift, 0).astype(np.float64) @ net.out.astype(np.float64) + net.bias
+    z = (np.maximum(top + net.shift, 0).astype(np.float64) * net.out.astype(np.float64)).sum(axis=1) + net.bias
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
@@ -184,7 +191,7 @@ def score_quality(docs: DataFrame, net: Network, text_col: str = "text", to: str
 
     def score(batches):
         for b in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in b.column(b.num_columns - 1).to_pylist()]
+            texts = b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()
             s = pa.array(scores(net, texts), pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], s], names=[*b.schema.names[:-1], "_score"])
 
