@@ -38,18 +38,36 @@ def epoch_seconds(c: Column) -> Column:
     return F.when(c > 1e11, c / 1000).otherwise(c)
 
 
-def http_outcome(status: Column, body: Column) -> Column:
-    """What to do with a reply: a pure function of its status and body."""
+# What an exhausted daily quota says, how long a wait means one, and
+# what a provider says that does not know the JSON mode.
+DAILY = ("per day", "per-day", "daily limit", "free-models-per-day", "daily quota", "add 10 credits", "requests per day")
+DAILY_SECONDS = 600
+NO_JSON_MODE = r"(?i)structured[-_ ]?outputs?|response_format|json[-_ ]?object|json[-_ ]?schema|json[-_ ]?mode"
+
+
+def http_outcome(status: Column, body: Column, retry_after: Column | None = None, reset_in: Column | None = None) -> Column:
+    """What to do with a reply, one of nine: ok, rate_limit, daily_quota, server,
+    model_gone, auth, bad_request, json_mode_unsupported, network. A 200 is ok
+    only with a message that was not cut off; its error envelope counts."""
+    at = lambda path: F.get_json_object(body, path)
+    message = F.coalesce(at("$.error.message"), at("$.error"), body, F.lit(""))
+    waits = [w > DAILY_SECONDS for w in (retry_after, reset_in) if w is not None]
+    daily = F.coalesce(F.lower(message).rlike("|".join(DAILY)), F.lit(False))
+    for w in waits:
+        daily = daily | F.coalesce(w, F.lit(False))
+    limited = F.when(daily, "daily_quota").otherwise("rate_limit")
+    code = F.coalesce(at("$.error.code"), F.lit(""))
+    whole = (F.try_parse_json(body).isNotNull()) & at("$.choices[0].message").isNotNull() & (F.lower(F.coalesce(at("$.choices[0].finish_reason"), F.lit(""))) != "length")
     return (
-        F.when(status.isNull(), "network_error")
-        .when((status == 200) & (F.coalesce(F.trim(body), F.lit("")) == ""), "empty")
-        .when(status == 200, "ok")
-        .when(status == 429, "rate_limited")
+        F.when(status.isNull(), "network")
+        .when((status == 200) & at("$.error").isNotNull(), F.when(daily | (code == "429"), limited).otherwise("server"))
+        .when(status == 200, F.when(F.coalesce(whole, F.lit(False)), "ok").otherwise("server"))
+        .when(status == 429, limited)
         .when(status.isin(401, 403), "auth")
-        .when(status == 402, "no_credit")
-        .when(status.isin(400, 404, 422), "bad_request")
-        .when(status >= 500, "server_error")
-        .otherwise("unexpected")
+        .when(status == 404, "model_gone")
+        .when(status == 402, "daily_quota")
+        .when(status.isin(400, 422), F.when(message.rlike(NO_JSON_MODE), "json_mode_unsupported").otherwise("bad_request"))
+        .otherwise("server")
     )
 
 

@@ -39,7 +39,7 @@ def word_count(c: Column) -> Column:
 
 def paragraphs(c: Column, separator: str = r"\n\s*\n") -> Column:
     """Pieces between separators, trimmed, blank ones dropped."""
-    return F.filter(F.transform(F.split(c, separator), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(c, separator), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def before(c: Column, mark: str = "#") -> Column:
@@ -92,7 +92,7 @@ def evidence_found(evidence: Column, paragraph: Column, least: int = 8) -> Colum
     ``least`` characters in order."""
     ev, para = normalise_evidence(evidence), normalise_evidence(paragraph)
     whole = F.contains(para, ev)
-    parts = F.filter(F.transform(F.split(ev, r"\.\.\.|…"), F.trim), lambda p: F.length(p) >= least)
+    parts = F.filter(F.transform(F.split(ev, r"\.\.\.|…"), lambda p: F.trim(p)), lambda p: F.length(p) >= least)
     return whole | ((F.size(parts) > 0) & (ordered_fragments(parts, para) > 0))
 
 
@@ -122,3 +122,22 @@ def signature(c: Column) -> Column:
 def dehyphenate(c: Column) -> Column:
     """Soft hyphens go; words cut at a line end are joined."""
     return F.regexp_replace(F.regexp_replace(c, "­", ""), r"([a-z])-\n([a-z])", "$1$2")
+
+
+def joined_hash(static: Column, rest: Column) -> Column:
+    """16 digits of the SHA-256 of two texts with a zero byte between them."""
+    zero = F.unhex(F.lit("00"))
+    return F.substring(F.sha2(F.concat(static.cast("binary"), zero, rest.cast("binary")), 256), 1, 16)
+
+
+def alternates(names: Column) -> Column:
+    """``A/B`` as an array of names."""
+    return F.transform(F.split(names, "/"), lambda p: F.trim(p))
+
+
+def numbered(cell: Column) -> Column:
+    """The examples of a cell, each begun by a number and a point at the start of
+    a line; without the number, white space collapsed, blank ones left out."""
+    parts = F.split(cell, r"(?m)^\s*(?=\d+\.\s)")
+    clean = F.transform(parts, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"^\s*\d+\.\s*", ""), r"\s+", " ")))
+    return F.filter(clean, lambda p: p != "")

@@ -95,3 +95,14 @@ def ordinal(annotations: DataFrame, key: str, score: Column, how: str, index: st
     agg = {"max": F.max, "min": F.min, "mean": F.avg}.get(how)
     value = agg(score) if agg else F.min_by(score, F.col(index))
     return annotations.where(score.isNotNull()).groupBy(key).agg(value.alias("score"))
+
+
+def drop_equal(df: DataFrame, columns: list[str]) -> list[str]:
+    """``columns`` without those that equal an earlier one in every row; one
+    aggregate over all pairs of the columns, which a codebook bounds."""
+    pairs = [(a, b) for i, b in enumerate(columns) for a in columns[:i]]
+    if not pairs:
+        return columns
+    same = df.agg(*[F.bool_and(F.col(a).eqNullSafe(F.col(b))).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
+    gone = {b for i, (_, b) in enumerate(pairs) if same[f"p{i}"]}
+    return [c for c in columns if c not in gone]

@@ -28,6 +28,19 @@ def islands(df: DataFrame, group: list[str], order: list, starts: Column, to: st
     return df.withColumn(to, F.sum(starts.cast("int")).over(at))
 
 
+def turns(df: DataFrame, group: list[str], order: list, header: Column, ends: Column, label: Column, to: str = "turn_no") -> DataFrame:
+    """Paragraphs with the number of the turn they belong to: a header opens a
+    turn, a paragraph that ends one closes it (itself left out), and what follows
+    a label is skipped unless it is a header. Paragraphs of no turn are dropped."""
+    at = W.partitionBy(*group).orderBy(*order)
+    so_far = at.rowsBetween(W.unboundedPreceding, 0)
+    df = df.withColumns({"_h": header.cast("int"), "_e": (ends & ~header).cast("int"), "_l": (label & ~header).cast("int")})
+    df = df.withColumn(to, F.sum("_h").over(so_far)).withColumn("_skip", F.lag("_l", 1, 0).over(at))
+    over = F.max("_e").over(W.partitionBy(*group, to).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    df = df.withColumn("_over", over)
+    return df.where((F.col(to) > 0) & (F.col("_over") == 0) & ((F.col("_h") == 1) | (F.col("_skip") == 0))).drop("_h", "_e", "_l", "_skip", "_over")
+
+
 def top(df: DataFrame, group: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of each group; the order must be total."""
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= n)

@@ -8,6 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def first_of(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in a total order, by a partial aggregate."""
+    rest = [c for c in df.columns if c not in (*key, *order)]
+    first = df.groupBy(*key).agg(F.min(F.struct(*order, *rest)).alias("_first"))
+    return first.select(*key, *[F.col(f"_first.{c}").alias(c) for c in (*order, *rest)])
+
+
 def include_when(df: DataFrame, rules: dict[str, object]) -> DataFrame:
     """Rows for which every rule's column has its value; a missing column is an
     error, not an empty result."""

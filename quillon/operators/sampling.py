@@ -16,6 +16,13 @@ def stratum(*columns: str, by: str = " | ") -> Column:
     return F.concat_ws(by, *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in columns]) if columns else F.lit("ALL")
 
 
+def oversample(name: Column, factors: dict[str, float], by: str = " | ") -> Column:
+    """The largest factor of a code that is a whole component of the stratum, else 1."""
+    parts = F.split(name, rf"\Q{by}\E")
+    found = [F.when(F.array_contains(parts, c), F.lit(float(f))) for c, f in factors.items()]
+    return F.coalesce(F.greatest(F.lit(None).cast("double"), F.lit(None).cast("double"), *found), F.lit(1.0))
+
+
 def largest_remainder(sizes: DataFrame, n: int, weight: str = "size") -> DataFrame:
     """Adds n_h: shares of ``n`` in proportion to ``weight``, rounded down, what
     is left going to the largest remainders (ties by stratum name)."""

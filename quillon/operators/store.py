@@ -3,7 +3,7 @@ stores do by upserts is read from the log."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 JOB = ["unit_id", "codebook_id", "codebook_version", "run_id"]
@@ -58,3 +58,36 @@ def guard_pilot(pilots: DataFrame, codebook: str, version: int, least: int = 20)
 
 def quota_used(attempts: DataFrame, day: str = "day") -> DataFrame:
     return attempts.groupBy(day).agg(F.count(F.lit(1)).alias("requests_used"))
+
+
+def cleared(rows: DataFrame, deletions: DataFrame, key: list[str], at: str = "updated_at") -> DataFrame:
+    """Rows of a log without those that a later deletion of their key covers;
+    ``deletions`` has the key and ``at``. Rows written after it count again."""
+    last = deletions.groupBy(*key).agg(F.max(at).alias("_cleared"))
+    return rows.join(last, key, "left").where(F.col("_cleared").isNull() | (F.col(at) > F.col("_cleared"))).drop("_cleared")
+
+
+def last_of(log: DataFrame, key: list[str], at: str, tie: str) -> DataFrame:
+    """The last row of each key: what an upsert would have left."""
+    rest = [c for c in log.columns if c not in key]
+    last = log.groupBy(*key).agg(F.max(F.struct(at, tie, *[c for c in rest if c not in (at, tie)])).alias("_last"))
+    return last.select(*key, *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+
+def capability(models: DataFrame, known: DataFrame, flag: str = "supports_json_mode", key: str = "model") -> DataFrame:
+    """``models`` with what is known of each; unknown ones are taken to be able."""
+    return models.join(known.select(key, flag), key, "left").withColumn(flag, F.coalesce(flag, F.lit(True)))
+
+
+def put_by_run(matrix: DataFrame, values: DataFrame, name: str, key: list[str]) -> DataFrame:
+    """Adds the column ``name`` where ``values`` has a row for the key, which
+    holds the run: a run fills its own rows only, what others wrote stays."""
+    new = values.select(*key, F.col(name).alias("_new"), F.lit(True).alias("_put"))
+    before = F.col(name) if name in matrix.columns else F.lit(None)
+    out = matrix.join(new, key, "left").withColumn(name, F.when(F.col("_put"), F.col("_new")).otherwise(before))
+    return out.drop("_new", "_put")
+
+
+def attempt_state(ok: Column, attempts: Column, most: int = 3) -> Column:
+    """What becomes of a unit after an attempt: done, to be tried again, or failed."""
+    return F.when(ok, "ok").when(attempts < most, "pending").otherwise("failed")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, statistics, streams, texts  # noqa: F401  they register themselves
+from . import corpus, discovery, statistics, streams, texts  # noqa: F401  they register themselves
 from .base import REGISTRY
 
 

@@ -81,10 +81,10 @@ def token_jaccard(spark, sf):
 _EV = "substr(text, 5, 20) || '...' || substr(text, 40, 20)"
 
 
-@query("WITH e AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS para, lower(trim(regexp_replace(substr(text, 5, 20), '\\s+', ' ', 'g'))) AS a, lower(trim(regexp_replace(CASE WHEN doc_id % 3 = 0 THEN 'not in any text' ELSE substr(text, 40, 20) END, '\\s+', ' ', 'g'))) AS b FROM documents WHERE length(text) >= 100), f AS (SELECT *, instr(para, a) AS ia FROM e) SELECT doc_id, (length(a) < 8 OR ia > 0) AND (length(b) < 8 OR instr(substr(para, CASE WHEN length(a) < 8 THEN 1 ELSE ia + length(a) END), b) > 0) AND (length(a) >= 8 OR length(b) >= 8) AS verified FROM f")
+@query("WITH e AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS para, lower(trim(regexp_replace(substr(text, 5, 20), '\\s+', ' ', 'g'))) AS a, lower(trim(regexp_replace(CASE WHEN doc_id % 3 = 0 THEN 'not in any text' ELSE substr(text, 40, 20) END, '\\s+', ' ', 'g'))) AS b FROM documents), f AS (SELECT *, instr(para, a) AS ia FROM e) SELECT doc_id, (length(a) < 8 OR ia > 0) AND (length(b) < 8 OR instr(substr(para, CASE WHEN length(a) < 8 THEN 1 ELSE ia + length(a) END), b) > 0) AND (length(a) >= 8 OR length(b) >= 8) AS verified FROM f")
 def evidence_verify(spark, sf):
     """Evidence elided in the middle, checked against its own document."""
-    d = table(spark, sf, "documents").where("length(text) >= 100")
+    d = table(spark, sf, "documents")
     tail = F.when(F.col("doc_id") % 3 == 0, "not in any text").otherwise(F.substring("text", 40, 20))
     ev = F.concat(F.trim(F.substring("text", 5, 20)), F.lit("…"), tail)
     return d.select("doc_id", tx.evidence_found(ev, F.col("text")).alias("verified"))
@@ -189,12 +189,36 @@ def consecutive_misses(spark, sf):
     return g.groupBy("user_id", "island").agg(F.sum("miss").alias("run")).groupBy("user_id").agg(F.max("run").alias("longest_miss"))
 
 
-@query("WITH e AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN 200 WHEN 1 THEN 429 WHEN 2 THEN 503 WHEN 3 THEN 401 WHEN 4 THEN 402 WHEN 5 THEN 404 WHEN 6 THEN 200 END AS status, CASE event_id % 8 WHEN 6 THEN ' ' ELSE props END AS body FROM events) SELECT CASE WHEN status IS NULL THEN 'network_error' WHEN status = 200 AND trim(coalesce(body, '')) = '' THEN 'empty' WHEN status = 200 THEN 'ok' WHEN status = 429 THEN 'rate_limited' WHEN status IN (401, 403) THEN 'auth' WHEN status = 402 THEN 'no_credit' WHEN status IN (400, 404, 422) THEN 'bad_request' WHEN status >= 500 THEN 'server_error' ELSE 'unexpected' END AS outcome, count(*) AS n, round(avg(least(60.0, 2.0 * power(2, event_id % 7))), 6) AS mean_wait FROM e GROUP BY 1")
+# A reply of each kind: status, body, seconds to wait, what the reply means.
+_REPLIES = (
+    (200, '{"choices": [{"message": {"content": "x"}, "finish_reason": "stop"}]}', 0, "ok"),
+    (200, '{"choices": [{"message": {"content": "x"}, "finish_reason": "length"}]}', 0, "server"),
+    (200, '{"error": {"code": 429, "message": "slow down"}}', 0, "rate_limit"),
+    (200, '{"error": {"message": "Daily limit reached"}}', 0, "daily_quota"),
+    (200, '{"error": "upstream failed"}', 0, "server"),
+    (200, "no json", 0, "server"),
+    (429, "slow down", 5, "rate_limit"),
+    (429, "slow down", 3600, "daily_quota"),
+    (429, "Rate limit: free-models-per-day", 0, "daily_quota"),
+    (401, "", 0, "auth"),
+    (402, "no credit", 0, "daily_quota"),
+    (404, "gone", 0, "model_gone"),
+    (400, "response_format is not supported", 0, "json_mode_unsupported"),
+    (422, "bad input", 0, "bad_request"),
+    (408, "", 0, "server"),
+    (503, "", 0, "server"),
+    (None, None, 0, "network"),
+)
+_KINDS = " ".join(f"WHEN {i} THEN '{r[3]}'" for i, r in enumerate(_REPLIES))
+
+
+@query(f"""SELECT CASE event_id % {len(_REPLIES)} {_KINDS} END AS outcome, count(*) AS n,
+  round(avg(least(60.0, 2.0 * power(2, event_id % 7))), 6) AS mean_wait FROM events GROUP BY 1""")
 def reply_outcomes(spark, sf):
-    k = F.col("event_id") % 8
-    status = F.when(k == 0, 200).when(k == 1, 429).when(k == 2, 503).when(k == 3, 401).when(k == 4, 402).when(k == 5, 404).when(k == 6, 200)
-    e = table(spark, sf, "events").select("event_id", status.alias("status"), F.when(k == 6, " ").otherwise(F.col("props")).alias("body"))
-    return e.groupBy(num.http_outcome(F.col("status"), F.col("body")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(num.backoff(F.col("event_id") % 7 + 1)), 6).alias("mean_wait"))
+    """Replies of every kind, classified; the SQL states the outcome meant for each."""
+    pick = lambda i, kind: F.element_at(F.array(*[F.lit(r[i]).cast(kind) for r in _REPLIES]), (F.col("event_id") % len(_REPLIES) + 1).cast("int"))
+    e = table(spark, sf, "events").select("event_id", pick(0, "int").alias("status"), pick(1, "string").alias("body"), pick(2, "int").alias("wait"))
+    return e.groupBy(num.http_outcome(F.col("status"), F.col("body"), F.col("wait")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(num.backoff(F.col("event_id") % 7 + 1)), 6).alias("mean_wait"))
 
 
 @query("SELECT event_id, CASE WHEN value > 1 THEN 1.0 WHEN value < 0 THEN 0.0 ELSE round(value, 6) END AS confidence, '{\"k\": ' || json_extract_string(props, '$.k') || '}' AS reply FROM events")
