@@ -11,7 +11,6 @@ from datetime import date, timedelta
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from quillon.functions import stats
 from quillon.functions.numbers import months_since
@@ -47,26 +46,23 @@ def linear(panel: DataFrame, group: str = "country", y: str = "y", weight: str |
     """y on post, m and post_m with group effects; errors clustered by group
     with the small-sample factor, the effects counted as parameters."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    cols = [y, *REGRESSORS]
-    p = panel.select(group, w.alias("_w"), *[F.col(c).cast("double").alias(c) for c in cols])
-    mean = {c: F.sum(F.col("_w") * F.col(c)).over(W.partitionBy(group)) / F.sum("_w").over(W.partitionBy(group)) for c in cols}
-    d = p.select(group, "_w", *[(F.col(c) - mean[c]).alias(c) for c in cols])
-    pairs = [(a, b) for i, a in enumerate(REGRESSORS) for b in REGRESSORS[i:]]
-    sums = [F.sum(F.col("_w") * F.col(a) * F.col(b)).alias(f"{a}*{b}") for a, b in pairs] + [F.sum(F.col("_w") * F.col(a) * F.col(y)).alias(f"{a}*y") for a in REGRESSORS]
-    own = d.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *sums).collect()  # one row for each group
+    p = panel.select(group, w.alias("_w"), *[F.col(c).cast("double").alias(c) for c in (y, *REGRESSORS)])
+    # One aggregate of moments; the within transformation is S_ab - S_a S_b / S_w in each group.
+    pairs = [(a, b) for i, a in enumerate(REGRESSORS) for b in (*REGRESSORS[i:], y)]
+    single = [F.sum(F.col("_w") * F.col(c)).alias(c) for c in (y, *REGRESSORS)]
+    double = [F.sum(F.col("_w") * F.col(a) * F.col(b)).alias(f"{a}*{b}") for a, b in pairs]
+    own = p.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"), *single, *double).collect()  # one row for each group
     if len(own) < 2:
         raise ValueError("a clustered regression needs two groups")
+    within = lambda r, a, b: r[f"{a}*{b}"] - r[a] * r[b] / r["w"]
     k = len(REGRESSORS)
-    each = np.zeros((len(own), k, k))
-    for i, a in enumerate(REGRESSORS):
-        for j, b in enumerate(REGRESSORS[i:], i):
-            each[:, i, j] = each[:, j, i] = [r[f"{a}*{b}"] for r in own]
-    xy = np.array([[r[f"{a}*y"] for a in REGRESSORS] for r in own])
+    each = np.array([[[within(r, *sorted((a, b), key=REGRESSORS.index)) for b in REGRESSORS] for a in REGRESSORS] for r in own])
+    xy = np.array([[within(r, a, y) for a in REGRESSORS] for r in own])
     xtx, xty = each.sum(0), xy.sum(0)
     beta = np.linalg.solve(xtx, xty)
     n = sum(r["n"] for r in own)
     beta, se = stats.clustered(xtx, xty, xy - each @ beta, n, k + len(own))
-    return {"n": n, "groups": len(own), "coef": dict(zip(REGRESSORS, beta.tolist())), "se": dict(zip(REGRESSORS, se.tolist())), "p": {c: stats.normal_p(b, s) for c, b, s in zip(REGRESSORS, beta, se)}}
+    return {"n": n, "groups": len(own), "coef": dict(zip(REGRESSORS, beta.tolist())), "interval": {c: (b - 1.96 * s, b + 1.96 * s) for c, b, s in zip(REGRESSORS, beta.tolist(), se.tolist())}, "se": dict(zip(REGRESSORS, se.tolist())), "p": {c: stats.normal_p(b, s) for c, b, s in zip(REGRESSORS, beta, se)}}
 
 
 def logistic(panel: DataFrame, group: str = "country", day: str = "date", y: str = "y") -> dict | None:

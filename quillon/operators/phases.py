@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .graph import adjusted_rand
+
 
 @dataclass(frozen=True)
 class Phase:
@@ -86,17 +88,9 @@ def clipped(start: dt.date, end: dt.date, event: dt.date, low: dt.date, high: dt
 
 
 def agreement_index(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: n, adjusted Rand index and share of equal labels of two
-    labellings, from counts of label pairs."""
-    two = lambda c: c * (c - 1) / 2
-    cells = pairs.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    both = cells.agg(F.sum("n").alias("n"), F.sum(two(F.col("n"))).alias("same"), F.sum(F.when(F.col(a) == F.col(b), F.col("n")).otherwise(0)).alias("equal"))
-    side = lambda c, to: cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(two(F.col("n"))).alias(to))
-    t = both.crossJoin(side(a, "left")).crossJoin(side(b, "right"))  # one row each
-    chance = F.col("left") * F.col("right") / two(F.col("n"))
-    middle = (F.col("left") + F.col("right")) / 2
-    ari = F.when(middle == chance, F.lit(1.0)).otherwise((F.col("same") - chance) / (middle - chance))
-    return t.select("n", ari.alias("ari"), (F.col("equal") / F.col("n")).alias("same_label"))
+    """One row: n, adjusted Rand index and share of equal labels of two labellings."""
+    same = pairs.agg(F.avg((F.col(a) == F.col(b)).cast("int")).alias("same_label"))
+    return adjusted_rand(pairs, a, b).crossJoin(same)  # one row each
 
 
 def best_agreement(share, clusters: int):

@@ -3,6 +3,7 @@ order of a seeded hash of their key."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -34,26 +35,38 @@ def largest_remainder(sizes: DataFrame, n: int, weight: str = "size") -> DataFra
     return s.withColumn("n_h", (F.col("_f") + (F.col("_r") <= F.col("_left")).cast("int")).cast("long")).drop("_e", "_f", "_left", "_r")
 
 
-def allocate(sizes: dict[str, int], n: int, weights: dict[str, float] | None = None, scheme: str = "proportional") -> dict[str, int]:
-    """Sample sizes of strata: shares by size x weight (``neyman`` is the same
-    here, for want of variances) or equal, no stratum beyond its size; what
-    rounding and full strata leave is handed out in turn by remainder."""
-    weights = weights or {}
-    share = {s: 1.0 if scheme == "equal" else sizes[s] * weights.get(s, 1.0) for s in sizes}
-    total = sum(share.values())
-    exact = {s: n * x / total if total else 0.0 for s, x in share.items()}
-    got = {s: min(sizes[s], int(x)) for s, x in exact.items()}
-    turn = sorted(sizes, key=lambda s: (-(exact[s] - int(exact[s])), s))
-    while sum(got.values()) < min(n, sum(sizes.values())):
-        for s in turn:
-            if got[s] < sizes[s] and sum(got.values()) < n:
-                got[s] += 1
-    return got
+def allocate(sizes: dict[str, int], n: int, factors: dict[str, float] | None = None, scheme: str = "proportional") -> dict[str, int]:
+    """Sample sizes of strata. The ideal shares go by size x factor (also under
+    ``neyman``, for want of variances) or are ``equal``; each is rounded down and
+    held to its stratum. What is left is dealt in whole rounds to all strata with
+    room, found as one level, and a last part round by remainder, then name."""
+    names, factors = sorted(sizes), factors or {}
+    room = np.array([sizes[s] for s in names], float)
+    pull = np.ones(len(names)) if scheme == "equal" else room * [factors.get(s, 1.0) for s in names]
+    ideal = n * pull / (pull.sum() or 1.0)
+    got = np.minimum(room, np.floor(ideal))
+    left, spare = min(n, room.sum()) - got.sum(), room - got
+    low, high = 0, int(spare.max(initial=0))
+    while low < high:  # the highest level that what is left can fill
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if np.minimum(spare, middle).sum() <= left else (low, middle - 1)
+    level = np.minimum(spare, low)
+    last = [i for i in np.lexsort((names, np.floor(ideal) - ideal)) if spare[i] > low][: int(left - level.sum())]
+    got = got + level
+    got[last] += 1
+    return dict(zip(names, got.astype(int).tolist()))
 
 
 def draw(frame: DataFrame, key: str, allocation: DataFrame, seed: int) -> DataFrame:
     """Without replacement: the first n_h rows of each stratum in hash order,
     with inclusion probability and weight. ``allocation``: stratum, size, n_h."""
+    # Rows that a hash bound with slack shuts out never reach the sort; a stratum
+    # that the bound leaves short (which the slack makes next to impossible) is sorted whole.
+    share = (F.col("n_h") + 8 * F.sqrt(F.col("n_h")) + 16) / F.col("size")
+    held = frame.join(allocation, "stratum").withColumn("_u", F.conv(F.substring(draw_order(key, seed), 1, 12), 16, 10).cast("double") / 16.0**12)
+    held = held.withColumn("_in", F.col("_u") < share)
+    short = held.groupBy("stratum").agg(F.sum(F.col("_in").cast("int")).alias("_n"), F.first("n_h").alias("_need")).where("_n < _need").select("stratum", F.lit(True).alias("_whole"))
+    held = held.join(short, "stratum", "left").where(F.col("_in") | F.coalesce("_whole", F.lit(False))).drop("_u", "_in", "_whole")
     at = W.partitionBy("stratum").orderBy(draw_order(key, seed), key)
-    rows = frame.withColumn("_r", F.row_number().over(at)).join(allocation, "stratum").where("_r <= n_h")
+    rows = held.withColumn("_r", F.row_number().over(at)).where("_r <= n_h")
     return rows.withColumn("pi", F.col("n_h") / F.col("size")).withColumn("weight", F.col("size") / F.col("n_h")).drop("_r")
