@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A broadcast is hinted only for tables counted to have at most this many rows.
 BROADCAST_ROWS = 50_000
+#: Between two collections of the driver's garbage.
+COLLECT_SECONDS = 3
+_collected = 0.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
+    global _collected
     out = df.checkpoint(eager=True)
-    # Shuffle files go when the driver collects its garbage; a long job cuts often and must not wait for that.
-    df.sparkSession.sparkContext._jvm.System.gc()
+    # Shuffle files go when the driver collects its garbage; a long job must not wait until its heap is full.
+    if time.monotonic() - _collected > COLLECT_SECONDS:
+        df.sparkSession.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
     return out
 
 
@@ -50,6 +59,12 @@ def text_of(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def unnamed(df: DataFrame):
+    """``df`` with columns c0, c1, ... that clash with nothing, and the new name of a column."""
+    own = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*own.values()), own.__getitem__
+
+
 def fingerprint(df: DataFrame) -> tuple:
     """Count and order-free digest of all rows, for convergence tests."""
     h = F.xxhash64(*df.columns)
@@ -111,6 +126,37 @@ def sifted(rows: DataFrame, bits: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("_goes_on", hit).drop("_at", "_word", "_bits")
 
 
+class Bits:
+    """A broadcast set of bits for the 64-bit hashes in a column: every hash of
+    it is held, others by chance only. It has 16 bits for each hash, from 2**16
+    to 2**MOST in all, so it weighs 32 MB at most; beyond 2**(MOST - 4) hashes
+    more of the others pass, which the exact joins behind it drop."""
+
+    MOST, PAGE = 28, 4096
+
+    def __init__(self, hashes: DataFrame):
+        self.size = size = 1 << min(self.MOST, max(16, (16 * hashes.count()).bit_length()))
+        page = self.PAGE
+
+        def run(batches):
+            own = np.zeros(size >> 3, np.uint8)
+            for b in batches:
+                at = b.column(0).to_numpy() & (size - 1)
+                np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            pages = own.reshape(-1, page)
+            some = np.flatnonzero(pages.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([p.tobytes() for p in pages[some]], pa.binary())], names=["page", "bits"])
+
+        bits = np.zeros((size >> 3) // page * page, np.uint8).reshape(-1, page)
+        for r in hashes.mapInArrow(run, "page long, bits binary").toLocalIterator():
+            bits[r["page"]] |= np.frombuffer(r["bits"], np.uint8)
+        self.bits = hashes.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+
+    def hold(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & (self.size - 1)
+        return (self.bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: for rows too
     wide for a checkpoint. The table goes when the driver ends."""
@@ -119,4 +165,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(at)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what ``written`` wrote, once no later step reads it."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -13,12 +13,15 @@ compared with the leader of its bucket, and components are formed. Members of
 one bucket that are still in different components are dealt into blocks, pairs
 of blocks go to tasks, and a task compares the members' sketches; only pairs
 whose estimate is within 4.5 standard errors of the threshold, and whose bit
-maps allow a large enough intersection, leave it, once, in the first band they share. Every link is confirmed on the full shingle sets,
-so no pairs of copies are formed and no bucket is gathered in one task.
+maps allow a large enough intersection, leave it, once, in the first band they
+share. Every link is confirmed on the full shingle sets, so no pairs of copies
+are formed and no bucket is gathered in one task.
 
 Defined cases: null text counts as empty; a set without words is empty and
 links with nothing; fewer words than the width make one shingle; rows that
-repeat an id count as one document; rows without an id are never linked.
+repeat an id with another text have sets of their own, and ``drop_near_copies``
+drops them together; ids are of any type that can be compared; rows without an
+id are never linked.
 """
 
 from __future__ import annotations
@@ -30,80 +33,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, sieve, sifted, small, text_of
+from .common import components, cut, sieve, sifted, small, text_of, unnamed
+from .scan import STEP, mix, parts, shingle_sets, slices
 
 BINS, BANDS, ROWS, WIDTH = 256, 32, 4, 5
 #: Bits of the map of a set that bounds intersections from above.
 MASK = 2048
 BLOCK = 512
 BATCH_BYTES = 4 << 20
-KEPT_WORDS = 400_000
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U = np.uint64
 _FULL = U(0xFFFFFFFFFFFFFFFF)
 _SEEDS = np.array([xxhash.xxh3_64_intdigest(b"round %d" % i) | 1 for i in range(1024)], np.uint64)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finisher; x is changed."""
-    x ^= x >> U(33)
-    x *= U(0xFF51AFD7ED558CCD)
-    x ^= x >> U(33)
-    x *= U(0xC4CEB9FE1A85EC53)
-    x ^= x >> U(33)
-    return x
-
-
-class WordHashes(dict):
-    """word -> 64-bit hash, emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_WORDS = WordHashes()
-
-
-def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's shingles of ``width`` words."""
-    words = [t.translate(LOWER).split() for t in texts]
-    sizes = np.array([len(w) for w in words])
-    flat = np.fromiter((_WORDS[x] for w in words for x in w), np.uint64, int(sizes.sum()))
-    n = len(flat) - width + 1
-    rolled = np.zeros(max(n, 0), np.uint64)
-    for i in range(width):
-        rolled *= U(0x9E3779B97F4A7C15)
-        rolled += flat[i : i + len(rolled)]
-    mix(rolled)
-    out, at = [], 0
-    for size in sizes.tolist():
-        if size >= width:
-            own = np.sort(rolled[at : at + size - width + 1])
-            out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
-        elif size:
-            short = np.array([size], np.uint64)
-            for h in flat[at : at + size]:
-                short = short * U(0x9E3779B97F4A7C15) + h
-            out.append(mix(short))
-        else:
-            out.append(np.empty(0, np.uint64))
-        at += size
-    return out
-
-
 def sketches(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     """(sets, bins) of 64-bit coordinates, all filled; ``bins`` a power of two.
     Empty sets get rows that mean nothing."""
+    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    return flat_sketches(flat, np.array([len(s) for s in sets], np.int64), bins)
+
+
+def flat_sketches(items: np.ndarray, sizes: np.ndarray, bins: int) -> np.ndarray:
+    """Sketches of sets that lie end to end; elements may repeat in a set."""
     shift, low = U(64 - bins.bit_length() + 1), U((1 << 52) - 1)
-    got = np.full((len(sets), bins), _FULL)
+    got = np.full((len(sizes), bins), _FULL)
     flat = got.reshape(-1)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    items = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     for i in range(2 * bins):
         if not len(items):
             break
@@ -120,31 +75,12 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
     parts = sketch[:, : bands * rows].reshape(len(sketch), bands, rows)
     key = np.broadcast_to(_SEEDS[None, :bands], parts.shape[:2]).copy()
     for r in range(rows):
-        key *= U(0x9E3779B97F4A7C15)
+        key *= STEP
         key += parts[:, :, r]
         mix(key)
     return key.view(np.int64)
 
 
-def _slices(sizes, most: int = BATCH_BYTES):
-    """Stretches of a batch of at most about ``most`` bytes."""
-    a, total = 0, 0
-    for i, s in enumerate(sizes):
-        if total and total + s > most:
-            yield a, i
-            a, total = i, 0
-        total += s
-    if a < len(sizes):
-        yield a, len(sizes)
-
-
-def _parts(batch, at: int):
-    """A batch in slices with the encoded texts of column ``at``."""
-    for a, z in _slices(pc.binary_length(batch.column(at)).to_pylist()):
-        part = batch.slice(a, z - a)
-        yield part, [t.encode("utf-8", "surrogatepass") for t in part.column(at).to_pylist()]
-
-
 SKETCHED = "n long, d1 long, d2 long, bands array<long>, sig binary, mask binary"
 
 
@@ -170,7 +106,7 @@ def sketched(items: DataFrame, text_col: str, bins: int = BINS, bands: int = BAN
 
     def run(batches):
         for b in batches:
-            for part, texts in _parts(b, b.num_columns - 1):
+            for part, texts in parts(b, b.num_columns - 1, BATCH_BYTES):
                 columns = sketch_columns(shingle_sets(texts, width), bins, bands, rows)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=[*keep, "n", "d1", "d2", "bands", "sig", "mask"])
 
@@ -183,13 +119,26 @@ def full_sets(items: DataFrame, id_col: str, text_col: str, width: int = WIDTH)
 
     def run(batches):
         for b in batches:
-            for part, texts in _parts(b, 1):
+            for part, texts in parts(b, 1, BATCH_BYTES):
                 s = pa.array([x.tobytes() for x in shingle_sets(texts, width)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), s], names=["id", "s"])
 
     return items.select(id_col, text_of(text_col).alias("t")).mapInArrow(run, "id long, s binary")
 
 
+def sketched_sets(sets: DataFrame, bins: int, bands: int, rows: int, mask: int) -> DataFrame:
+    """(id, n, bands, sig, mask) of sets(id, s)."""
+
+    def run(batches):
+        for b in batches:
+            for a, z in slices(pc.binary_length(b.column(1)).to_pylist(), BATCH_BYTES):
+                own = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1).slice(a, z - a)]
+                n, _, _, *rest = sketch_columns(own, bins, bands, rows, mask)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), n, *rest], names=["id", "n", "bands", "sig", "mask"])
+
+    return sets.select("id", "s").mapInArrow(run, "id long, n long, bands array<long>, sig binary, mask binary")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, least: int = 75) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets meet 100 |A and B| >= least |A or B|."""
 
@@ -280,24 +229,28 @@ def likely_pairs(open_: DataFrame, items: DataFrame, least: int, bins: int, bloc
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def bucket_components(items: DataFrame, sets_of, least: int = 75, bins: int = BINS) -> DataFrame:
-    """(id, component) of the linked ones among ``items(id, n, bands, sig, mask)``
-    with unique ids; ``sets_of(ids)`` gives the full sets of those with these ids."""
+def buckets(items: DataFrame) -> DataFrame:
+    """(key, id, n, m, lead): the members of buckets that hold several of
+    ``items(id, n, bands)``, with the bucket's size and its leader (id, n)."""
     keys = items.select("id", "n", F.explode("bands").alias("key"))
     # Only keys are shuffled to count them; rows of keys that stand once are left out by a sieve before they move.
     twice = cut(keys.groupBy("key").count().where("count > 1").select("key"))
     members = sifted(keys, sieve(twice, "key"), "key").where("_goes_on").select("key", "id", "n")
     members = cut(members.join(small(twice), "key"))
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("lead"))
-    multi = cut(members.join(small(cut(buckets)), "key"))
-    sets = cut(sets_of(multi.select("id").distinct()))
-    near = F.expr(f"100 * least(n, lead.n) >= {least} * greatest(n, lead.n)")
-    pairs = multi.where("id <> lead.id").where(near).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
+    led = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("lead"))
+    return cut(members.join(small(cut(led)), "key"))
+
+
+def settled(members: DataFrame, pairs: DataFrame, sets: DataFrame, items_of, least: int, bins: int) -> DataFrame:
+    """(id, component) of the linked ids. ``members(key, id, m)`` are the
+    buckets, ``pairs(a, b)`` their leaders with members, ``sets(id, s)`` the
+    full sets; ``items_of(ids)`` gives (id, n, bands, sig, mask)."""
     links = cut(confirmed(pairs, sets, least))
     comps = cut(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-    open_ = multi.select("key", "id", "m").join(small(comps), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    open_ = members.select("key", "id", "m").join(small(comps), "id", "left").withColumn("c", F.coalesce("component", "id"))
     mixed = open_.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    open_ = open_.select("key", "id", "m", "c").join(small(cut(mixed)), "key")
+    open_ = cut(open_.select("key", "id", "m", "c").join(small(cut(mixed)), "key"))
+    items = items_of(open_.select("id").distinct())
     more = confirmed(cut(likely_pairs(open_, items, least, bins)), sets, least)
     links = cut(links.unionByName(more))
     return cut(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
@@ -307,24 +260,39 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest
     id that links lead to), kept (whether that is the row's own)."""
     items = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    told = cut(sketched(items, "text", bins, bands, rows, width))
-    classes = told.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("mask").alias("mask"))
-    classes = cut(classes)
+    items = items.withColumn("row", F.xxhash64("id", text_of("text")))
+    told = sketched(items, "text", bins, bands, rows, width)
+    linkable = (F.col("n") > 0) & F.col("id").isNotNull()
+    told = cut(told.withColumn("node", F.when(linkable, F.xxhash64("d1", "d2"))).drop("d1", "d2"))
+    one = [F.first(c).alias(c) for c in ("n", "bands", "sig", "mask")]
+    classes = told.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "row")).alias("rep"), F.count(F.lit(1)).alias("c"), *one)
+    classes = cut(classes.withColumnRenamed("node", "id"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        some = sifted(items, sieve(ids, "id"), "id").where("_goes_on").drop("_goes_on").join(ids, "id")
-        return full_sets(some, "id", "text", width).dropDuplicates(["id"])
+        asked = cut(classes.join(ids, "id").select(F.col("id").alias("node"), F.col("rep.row").alias("row")))
+        some = sifted(items, sieve(asked, "row"), "row").where("_goes_on").drop("_goes_on").join(asked, "row")
+        return full_sets(some, "node", "text", width).dropDuplicates(["id"])
 
-    comps = bucket_components(classes, sets_of, least, bins)
-    named = classes.select("d1", "d2", "id", "c").join(comps, "id", "left").where("c > 1 or component is not null")
-    named = small(cut(named.select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), F.coalesce("component", "id").alias("component"))))
-    told = told.withColumn("k1", F.when(F.col("n") > 0, F.col("d1")).otherwise(F.xxhash64("id"))).withColumn("k2", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("d2")))
-    out = told.join(named, ["k1", "k2"], "left").withColumn("component", F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+    members = buckets(classes.select("id", "n", "bands"))
+    sets = cut(sets_of(members.select("id").distinct()))
+    near = F.expr(f"100 * least(n, lead.n) >= {least} * greatest(n, lead.n)")
+    pairs = members.where("id <> lead.id").where(near).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
+    items_of = lambda ids: classes.select("id", "n", "bands", "sig", "mask").join(ids, "id", "left_semi")
+    comps = settled(members, pairs, sets, items_of, least, bins)
+    named = classes.select("id", "c", "rep").join(comps, "id", "left").where("c > 1 or component is not null")
+    named = cut(named.select("id", F.coalesce("component", "id").alias("component"), F.col("rep.id").alias("own")))
+    least_id = named.groupBy("component").agg(F.min("own").alias("component_id"))
+    named = small(cut(named.join(least_id, "component").select(F.col("id").alias("node"), "component_id")))
+    # Rows that link with nothing get a key of their own, so that no task gathers them.
+    out = told.select("id", "n", F.coalesce("node", F.xxhash64("id", "row")).alias("node"), F.col("node").isNotNull().alias("sound")).join(named, "node", "left")
+    out = out.withColumn("component_id", F.coalesce(F.when(F.col("sound"), F.col("component_id")), "id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one document of each group, columns as they were."""
-    gone = near_groups(docs, id_col, text_col, **how).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    gone = small(cut(gone))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """``docs`` with one document of each group, columns as they were, whatever
+    their names; rows without an id stay."""
+    plain, name = unnamed(docs)
+    told = near_groups(plain.select(F.col(name(id_col)).alias("doc_id"), F.col(name(text_col)).alias("text")), **how)
+    gone = small(cut(told.where("not kept and doc_id is not null").select("doc_id").distinct()))
+    return plain.join(gone, plain[name(id_col)] == gone["doc_id"], "left_anti").toDF(*docs.columns)

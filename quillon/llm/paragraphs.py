@@ -1,34 +1,40 @@
 """Repeated paragraphs by MinHash banding, exact Jaccard and components.
 
-Paragraphs are lines of at least MIN_WORDS words. They are sketched and banded
-(21 bands of 3 coordinates: a pair at similarity 0.75 is missed with probability
-1e-5), colliding ones are verified by the exact Jaccard similarity of their
-5-word shingles, and the links make components. Equal paragraphs are collapsed
-before banding, and buckets are settled with leaders, as for documents.
+One pass over the texts makes a table of numbers: of every paragraph (a line of
+at least MIN_WORDS words) its place, a digest of its words and its band keys; of
+every document the windows described below. All later steps read that table;
+texts are read again only where words are compared.
+
+Paragraphs are sketched and banded (12 bands of 2 coordinates: a pair at
+similarity 0.75 is missed with probability 5e-5), colliding ones are verified by
+the exact Jaccard similarity of their 5-word shingles, and the links make
+components. Equal paragraphs are one item, and buckets are settled with
+leaders, as for documents.
 
 A passage can also stand inside longer, otherwise different paragraphs. For
 these, the words of every whole document, whatever its lines, give windows of
 WINDOW words from their anchors; an anchor is the smallest word-triple hash
 among SPAN neighbouring ones, so documents that share WINDOW + SPAN + 1 (50)
-words in a row share an anchor and its window wherever these words stand. Windows are compared whole (edit distance 0).
-Of each
-window digest the first place that no removed paragraph touches stays and every
-other place is removed, so no words go of which no equal ones stay. Removed
-windows that overlap make one passage. Both its ends are extended to the longest
-stretch equal to the place that stays, word by word; the windows at the ends are
-compared word by word too, those between by their digests.
+words in a row share an anchor and its window wherever these words stand.
+Windows that lie inside a removed paragraph are left out. Of each window digest
+the first place that no removed paragraph touches stays and every other place is
+removed, so no words go of which no equal ones stay. Removed windows that
+overlap make one passage. Both its ends are extended to the longest stretch
+equal to the place that stays, word by word; the windows at the ends are
+compared word by word too. Equal paragraphs and the windows between are told by
+64-bit digests.
 
 Of each group of paragraphs the first place by (doc_id, start) stays, the others
 are removals. A component is what hangs together by shared windows: paragraphs
 and passages, where several places can stay, each for other words. Only what lies
-inside a removed paragraph is not told again.
-Only text that repeats is returned: documents that repeat nothing do
-not appear.
+inside a removed paragraph is not told again. Only text that repeats is
+returned: documents that repeat nothing do not appear.
 
 Defined cases: null and empty texts have no paragraphs; text that repeats inside
-its own document counts; rows without an id, or that repeat an id, are places
-like any other (rows equal in id and text are read once); an empty table gives
-no rows.
+its own document counts; lines of fewer words than MIN_WORDS are headings or
+markers, not paragraphs, though windows run over them; rows without an id, or
+that repeat an id with another text, are places like any other; rows equal in id
+and text are one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,151 +43,241 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import minhash as mh
-from .common import components, cut, sieve, sifted, small, text_of
+from . import scan
+from .common import Bits, components, cut, discard, sieve, sifted, small, text_of, unnamed, written
 
 MIN_WORDS = 20
 WINDOW, SPAN = 28, 21
-BINS, BANDS, ROWS, MASK = 64, 21, 3, 512
-#: Windows wait in a table of 2**SEEN_BITS bits, one bit set for each repeated digest.
-SEEN_BITS = 23
+BINS, BANDS, ROWS, MASK = 32, 12, 2, 512
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-def lines(raw: bytes, least: int):
-    """(start, line) of the lines that have ``least`` words; start in bytes."""
-    at = 0
-    for line in raw.split(b"\n"):
-        if len(line) >= 2 * least - 1 and len(line.split(None, least)) >= least:
-            yield at, line
-        at += len(line) + 1
-
-
-def windows(found: list[bytes], window: int = WINDOW, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of many texts at once: text number, first word, digest. Anchors
-    are the positions of the smallest triple hash in every stretch of ``span``
-    positions of a text, over its line breaks."""
-    low = [x.translate(mh.LOWER).split() for x in found]
-    own = [i for i, w in enumerate(low) if len(w) > window + span]
-    none = np.empty(0, np.int64)
-    if not own:
-        return none, none, none
-    sizes = np.array([len(low[i]) for i in own])
-    ends = np.cumsum(sizes)
-    words = np.fromiter((mh._WORDS[x] for i in own for x in low[i]), np.uint64, int(ends[-1]))
-    line = np.repeat(np.arange(len(own)), sizes)
-    x = mh.mix((words[:-2] * _STEP + words[1:-1]) * _STEP + words[2:])
-    view = np.lib.stride_tricks.sliding_window_view(x, span)
-    at = view.argmin(axis=1) + np.arange(len(view))
-    at = at[np.arange(len(view)) + span + 1 < ends[line[: len(view)]]]  # the stretch lies in one line
-    at = at[np.concatenate(([True], at[1:] != at[:-1]))]
-    at = at[at + window <= ends[line[at]]]
-    h = np.full(len(at), np.uint64(window))
+#: The columns of the table of numbers, each a blob of one kind, and its part.
+NUMBERS = {"l_start": "<i4", "l_end": "<i4", "l_node": "<i8", "l_keys": "<i8", "w_start": "<i4", "w_stop": "<i4", "w_rest": "<i4", "w_end": "<i4", "w_digest": "<i8"}
+
+
+def _smallest(x: np.ndarray, span: int, most: bool = False) -> np.ndarray:
+    """The smallest (or largest) of every ``span`` neighbours."""
+    pick, size = np.maximum if most else np.minimum, 1
+    while 2 * size <= span:
+        x, size = pick(x[:-size], x[size:]), 2 * size
+    return pick(x[: len(x) - (span - size)], x[span - size :]) if size < span else x
+
+
+def anchored(h: np.ndarray, bounds: np.ndarray, window: int = WINDOW, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """First word and digest of the windows of texts that lie end to end; text i
+    has the words from bounds[i] to bounds[i + 1]."""
+    if len(h) < span + 2:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    end = np.repeat(bounds[1:], np.diff(bounds))
+    x = scan.rolled(h, 3) | scan.U(1)
+    low = _smallest(x, span)
+    j = np.arange(len(low))
+    low[j + span + 1 >= end[: len(low)]] = 0  # the stretch runs into the next text
+    edge = np.zeros(span - 1, scan.U)
+    at = np.flatnonzero(_smallest(np.concatenate([edge, low, edge]), span, most=True) == x)
+    at = at[at + window <= end[at]]
+    digest = np.full(len(at), scan.U(window))
     for i in range(window):
-        h *= _STEP
-        h += words[at + i]
-    return np.array(own)[line[at]], at - (ends - sizes)[line[at]], mh.mix(h).view(np.int64)
+        digest *= scan.STEP
+        digest += h[at + i]
+    return at, scan.mix(digest).view(np.int64)
+
+
+def numbers(texts: list[bytes], least: int = MIN_WORDS, window: int = WINDOW, span: int = SPAN) -> dict[str, pa.Array]:
+    """The table's columns for some texts."""
+    raw, at = scan.joined(texts)
+    h, starts, ends = scan.words(raw)
+    bounds = np.searchsorted(starts, at)
+    breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+    first = np.concatenate([[0], np.searchsorted(starts, breaks)])
+    held = np.flatnonzero(np.diff(first) >= least)
+    sizes, first = np.diff(first)[held], first[:-1][held]
+    start, end = np.concatenate([[0], breaks + 1])[held], breaks[held]
+    doc = np.searchsorted(at, start, side="right") - 1
+    of_word = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # its place in the line
+    own = scan.mix(h[np.repeat(first, sizes) + of_word] + (of_word + 1).astype(scan.U) * scan.STEP)
+    node = np.add.reduceat(own, np.cumsum(sizes) - sizes) if len(own) else np.empty(0, scan.U)
+    node = scan.mix(node + sizes.astype(scan.U)).view(np.int64)
+    runs = sizes - mh.WIDTH + 1
+    of_run = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs)
+    items = scan.rolled(h, mh.WIDTH)[np.repeat(first, runs) + of_run]
+    keys = mh.band_keys(mh.flat_sketches(items, runs, BINS), BANDS, ROWS)
+    anchors, digest = anchored(h, bounds, window, span)
+    first, last, rest = _runs(anchors, digest, np.searchsorted(bounds, anchors, side="right"), window)
+    own, anchors = anchors[last], anchors[first]
+    w_doc = np.searchsorted(bounds, anchors, side="right") - 1
+    per_line, per_window = np.bincount(doc, minlength=len(texts)), np.bincount(w_doc, minlength=len(texts))
+    off = at[w_doc]
+    values = {"l_start": start - at[doc], "l_end": end - at[doc], "l_node": node, "l_keys": keys.reshape(-1)}
+    values |= {"w_start": starts[anchors] - off, "w_stop": ends[anchors + window - 1] - off, "w_rest": np.where(rest < 0, -1, starts[rest] - off), "w_end": ends[own + window - 1] - off, "w_digest": digest[first]}
+    counts = {"l_keys": per_line * BANDS}
+    return {c: scan.blobs(v.astype(NUMBERS[c]), counts.get(c, per_line if c[0] == "l" else per_window)) for c, v in values.items()}
+
+
+def _runs(at: np.ndarray, digest: np.ndarray, doc: np.ndarray, window: int):
+    """Of windows in order: first and last of each run of equal overlapping ones
+    (text with a short period), and the first word of the first window of a run
+    that begins where its first window has ended, or -1."""
+    if not len(at):
+        return at, at, at
+    new = np.flatnonzero(np.concatenate([[True], (digest[1:] != digest[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + window)]))
+    begin = np.repeat(at[new], np.diff(np.append(new, len(at))))
+    none = np.int64(1) << 60
+    rest = np.minimum.reduceat(np.where(at >= begin + window, at, none), new)
+    return new, np.append(new[1:], len(at)) - 1, np.where(rest == none, -1, rest)
+
+
+def _table(docs: DataFrame, least: int, window: int, span: int) -> DataFrame:
+    """docs(id, text, doc) -> doc, id and NUMBERS."""
+    if least < mh.WIDTH:
+        raise ValueError(f"a paragraph has at least {mh.WIDTH} words, one shingle")
 
+    def run(batches):
+        for b in batches:
+            for part, texts in scan.parts(b, 1, mh.BATCH_BYTES):
+                got = numbers(texts, least, window, span)
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), *(got[c] for c in NUMBERS)], names=["doc", "id", *NUMBERS])
 
-def _rows(values, schema):
-    columns = list(zip(*values)) or [[]] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+    kinds = ", ".join(f"{c} binary" for c in NUMBERS)
+    return docs.mapInArrow(run, f"doc long, id {docs.schema['id'].dataType.simpleString()}, {kinds}")
 
 
-def _sketched_lines(docs: DataFrame, least: int) -> DataFrame:
-    """docs(id, text, doc) -> doc, id, start, end, n, d1, d2, bands."""
+def _repeated(table: DataFrame, column: str, again: str | None = None) -> DataFrame:
+    """(value): the values of a column that stand more than once; a value whose
+    number in the column ``again`` is not negative stands twice."""
 
     def run(batches):
         for b in batches:
-            for part, texts in mh._parts(b, 1):
-                found = [(d, k, a, x) for d, k, t in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), texts) for a, x in lines(t, least)]
-                for p, q in mh._slices([len(x) for *_, x in found], mh.BATCH_BYTES // 8):
-                    own = found[p:q]
-                    places = [pa.array([k for _, k, _, _ in own], pa.int64()), pa.array([d for d, _, _, _ in own], pa.int64()), pa.array([a for _, _, a, _ in own], pa.int32()), pa.array([a + len(x) for _, _, a, x in own], pa.int32())]
-                    columns = mh.sketch_columns(mh.shingle_sets([x for *_, x in own]), BINS, BANDS, ROWS, MASK)
-                    yield pa.RecordBatch.from_arrays([*places, *columns], names=["doc", "id", "start", "end", "n", "d1", "d2", "bands", "sig", "mask"])
+            v = scan.unblobbed(b.column(0), np.int64)[0]
+            if again:
+                v = np.concatenate([v, v[scan.unblobbed(b.column(1), np.int32)[0] >= 0]])
+            v, m = np.unique(v, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(m)], names=["value", "m"])
 
-    return docs.mapInArrow(run, f"doc long, id long, start int, end int, {mh.SKETCHED}")
+    counts = table.select(column, *([again] if again else [])).mapInArrow(run, "value long, m long")
+    return cut(counts.groupBy("value").agg(F.sum("m").alias("m")).where("m > 1").select("value"))
 
 
-def _repeated_lines(docs: DataFrame, least_words: int, least: int) -> DataFrame:
-    """doc, id, start, end, node: the paragraphs that repeat and their component."""
-    told = cut(_sketched_lines(docs, least_words))
-    first = F.min(F.struct("id", "start", "end", "doc"))
-    classes = cut(told.groupBy("d1", "d2").agg(first.alias("at"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("mask").alias("mask")))
-    classes = classes.withColumn("node", F.xxhash64("d1", "d2"))
-    items = classes.select(F.col("node").alias("id"), "n", "bands", "sig", "mask")
+def _members(table: DataFrame, keys: Bits) -> DataFrame:
+    """(key, id) of the paragraphs' band keys that a bit lets through."""
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        places = classes.join(ids, classes["node"] == ids["id"]).select("node", F.col("at.doc").alias("doc"), F.col("at.start").alias("a"), F.col("at.end").alias("z"))
-        places = cut(places)
-        some = sifted(docs, sieve(places, "doc"), "doc").where("_goes_on").drop("_goes_on")
-        line = F.expr("substring(cast(text as binary), a + 1, z - a)").cast("string")
-        own = some.join(places, "doc").select(F.col("node").alias("id"), line.alias("text"))
-        return mh.full_sets(own, "id", "text").dropDuplicates(["id"])
+    def run(batches):
+        for b in batches:
+            node, at = np.unique(scan.unblobbed(b.column(0), np.int64)[0], return_index=True)
+            own = scan.unblobbed(b.column(1), np.int64)[0].reshape(-1, BANDS)[at]
+            hit = keys.hold(own)
+            yield pa.RecordBatch.from_arrays([pa.array(own[hit]), pa.array(np.repeat(node, hit.sum(1)))], names=["key", "id"])
 
-    comps = mh.bucket_components(items, sets_of, least, BINS)
-    named = classes.select("d1", "d2", "m", "node").join(comps, classes["node"] == comps["id"], "left").where("m > 1 or component is not null")
-    named = small(cut(named.select("d1", "d2", F.coalesce("component", "node").alias("node"))))
-    return told.drop("bands", "sig", "mask", "n").join(named, ["d1", "d2"]).select("doc", "id", "start", "end", "node")
+    return table.select("l_node", "l_keys").mapInArrow(run, "key long, id long")
 
 
-def _window_digests(docs: DataFrame, window: int, span: int) -> DataFrame:
-    schema = pa.schema([("digest", pa.int64()), ("m", pa.int64())])
+def _line_places(table: DataFrame, nodes: Bits) -> DataFrame:
+    """doc, id, start, end, node of the paragraphs that a bit lets through."""
 
     def run(batches):
         for b in batches:
-            for _, texts in mh._parts(b, 1):
-                d, m = np.unique(windows(texts, window, span)[2], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(m)], schema=schema)
+            node, counts = scan.unblobbed(b.column(4), np.int64)
+            hit = np.flatnonzero(nodes.hold(node))
+            row = np.repeat(np.arange(b.num_rows), counts)[hit]
+            start, end = (scan.unblobbed(b.column(i), np.int32)[0][hit] for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(start), pa.array(end), pa.array(node[hit])], names=["doc", "id", "start", "end", "node"])
 
-    return docs.mapInArrow(run, "digest long, m long")
+    got = table.select("doc", "id", "l_start", "l_end", "l_node").mapInArrow(run, f"doc long, id {table.schema['id'].dataType.simpleString()}, start int, end int, node long")
+    return got
 
 
-def _window_places(docs: DataFrame, repeated: DataFrame, window: int, span: int) -> DataFrame:
-    """doc, id, start, end, digest of the windows that a bit lets through."""
-    size = 1 << SEEN_BITS
-    at = repeated.select(F.pmod("digest", F.lit(size)).alias("h")).groupBy(F.shiftright("h", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 32 as int))")).alias("bits"))
-    words = np.zeros(size >> 5, np.uint32)
-    for r in at.toLocalIterator():  # at most 2**(SEEN_BITS - 5) rows, whatever the input
-        words[r["at"]] = r["bits"]
-    seen = docs.sparkSession.sparkContext.broadcast(words)
-    schema = pa.schema([("doc", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("digest", pa.int64())])
+def _repeated_lines(docs: DataFrame, table: DataFrame, least: int) -> DataFrame:
+    """doc, id, start, end, node: the paragraphs that repeat and their component."""
+    members = cut(_members(table, Bits(_repeated(table, "l_keys"))).distinct())
+    led = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("lead")).where("m > 1")
+    members = cut(members.join(small(cut(led)), "key"))
+    asked = cut(members.select("id").distinct())
+    places = _line_places(table, Bits(asked)).join(small(asked.withColumnRenamed("id", "node")), "node")
+    places = cut(places.groupBy("node").agg(F.min(F.struct("doc", "start", "end")).alias("at")).select("node", F.col("at.doc").alias("doc"), F.col("at.start").alias("a"), F.col("at.end").alias("z")))
+    some = sifted(docs, sieve(places, "doc"), "doc").where("_goes_on").drop("_goes_on")
+    line = F.expr("substring(cast(text as binary), a + 1, z - a)").cast("string")
+    own = some.join(small(places), "doc").select(F.col("node").alias("id"), line.alias("text"))
+    sets = cut(mh.full_sets(own, "id", "text").dropDuplicates(["id"]))
+    pairs = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    items_of = lambda ids: mh.sketched_sets(sets.join(ids, "id", "left_semi"), BINS, BANDS, ROWS, MASK)
+    comps = mh.settled(members, pairs, sets, items_of, least, BINS)
+    equal = _repeated(table, "l_node").withColumnRenamed("value", "id")
+    named = cut(equal.join(comps, "id", "full").select("id", F.coalesce("component", "id").alias("component")))
+    named = named.withColumnRenamed("id", "node")
+    found = _line_places(table, Bits(named.select("node"))).join(small(named), "node").dropDuplicates(["doc", "start"])
+    return cut(found.select("doc", "id", "start", "end", F.col("component").alias("node")))
+
+
+def _around(doc: np.ndarray, start: np.ndarray, end: np.ndarray, s_doc: np.ndarray, s_start: np.ndarray, s_end: np.ndarray):
+    """inside, free, low, high of places against spans (disjoint, in order):
+    whether a place lies inside a span, whether it overlaps none, and the ends of
+    the text around it that is not in a span."""
+    top = np.int64(2**31 - 1)
+    base = doc.astype(np.int64) << 32
+    own, to = base + start, base + end
+    begins, stops = (np.concatenate([[-1], (s_doc.astype(np.int64) << 32) + x, [np.int64(2**62)]]) for x in (s_start, s_end))
+    at = np.searchsorted(begins, own, side="right") - 1  # the last span that begins before or where the place does
+    inside = (begins[at] >= base) & (stops[at] >= to)
+    free = ~((begins[at] >= base) & (stops[at] > own)) & ~(begins[at + 1] < to)
+    before = np.where(stops[at] <= own, stops[at], stops[np.maximum(at - 1, 0)])
+    after = begins[np.searchsorted(begins, to, side="left")]
+    return inside, free, np.maximum(before - base, 0), np.minimum(after - base, top)
+
+
+_WINDOW = ("w_start", "w_stop", "w_rest", "w_end")
+
+
+def _outside(table: DataFrame, removed: DataFrame) -> DataFrame:
+    """doc, id, the windows that don't lie inside a removed paragraph, and these
+    paragraphs (s_start, s_end), document by document."""
+    spans = removed.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))  # the lines of one text
+    spans = cut(spans.select("doc", F.col("spans.start").alias("s_start"), F.col("spans.end").alias("s_end")))
+    held = table.select("doc", "id", "w_digest", *_WINDOW).join(small(spans), "doc", "left")
+    names = ["doc", "id", "w_digest", *_WINDOW, "s_start", "s_end"]
 
     def run(batches):
-        bits = seen.value
         for b in batches:
-            for part, texts in mh._parts(b, 1):
-                ids, keys = part.column(0).to_pylist(), part.column(2).to_pylist()
-                item, first, h = windows(texts, window, span)
-                p = h & (size - 1)
-                hit = np.flatnonzero(bits[p >> 5] >> (p & 31).astype(np.uint32) & 1)
-                rows, last, places = [], -1, []
-                for k, i, w in zip(hit.tolist(), item[hit].tolist(), first[hit].tolist()):
-                    if i != last:
-                        last, places = i, [m.span() for m in _WORD.finditer(texts[i])]
-                    rows.append((keys[i], ids[i], places[w][0], places[w + window - 1][1], int(h[k])))
-                yield _rows(rows, schema)
-
-    return docs.mapInArrow(run, "doc long, id long, start int, end int, digest long")
-
-
-def _outside(places: DataFrame, removed: DataFrame) -> DataFrame:
-    """The places that don't lie inside one of the spans ``removed`` of their
-    document, with low and high, the ends of the text around them that is not
-    in such a span, and free, whether they overlap none."""
-    spans = removed.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # the lines of one text
-    inside = F.expr("exists(spans, s -> s.start <= start and end <= s.end)")
-    held = places.join(spans, "doc", "left").where(~F.coalesce(inside, F.lit(False)))
-    held = held.withColumn("free", ~F.coalesce(F.expr("exists(spans, s -> s.start < end and start < s.end)"), F.lit(False)))
-    low = F.coalesce(F.expr("array_max(transform(filter(spans, s -> s.end <= start), s -> s.end))"), F.lit(0))
-    high = F.coalesce(F.expr("array_min(transform(filter(spans, s -> s.start >= end), s -> s.start))"), F.lit(2**31 - 1))
-    return held.withColumn("low", low).withColumn("high", high).drop("spans")
+            digest, counts = scan.unblobbed(b.column(2), np.int64)
+            places = [scan.unblobbed(b.column(i), np.int32)[0] for i in range(3, 7)]
+            s_counts = pc.fill_null(pc.list_value_length(b.column(7)), 0).to_numpy(zero_copy_only=False)
+            s_start, s_end = (pc.list_flatten(b.column(i)).to_numpy(zero_copy_only=False).astype(np.int32) for i in (7, 8))
+            rows = np.arange(b.num_rows)
+            doc = np.repeat(rows, counts)
+            out = ~_around(doc, places[0], places[3], np.repeat(rows, s_counts), s_start, s_end)[0]
+            kept = np.bincount(doc[out], minlength=b.num_rows)
+            blobs = [scan.blobs(x[out], kept) for x in (digest, *places)] + [scan.blobs(x, s_counts) for x in (s_start, s_end)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *blobs], names=names)
+
+    kinds = ", ".join(f"{c} binary" for c in names[2:])
+    return held.mapInArrow(run, f"doc long, id {table.schema['id'].dataType.simpleString()}, {kinds}")
+
+
+def _window_places(held: DataFrame, digests: Bits) -> DataFrame:
+    """doc, id, start, stop, rest, end, digest, free, low, high of the windows
+    that a bit lets through: start and end of a run, where its first window stops
+    and where the first one after that begins (or -1)."""
+    names = ["doc", "id", "start", "stop", "rest", "end", "digest", "free", "low", "high"]
+
+    def run(batches):
+        for b in batches:
+            digest, counts = scan.unblobbed(b.column(2), np.int64)
+            hit = np.flatnonzero(digests.hold(digest))
+            places = [scan.unblobbed(b.column(i), np.int32)[0][hit] for i in range(3, 7)]
+            s_start, s_counts = scan.unblobbed(b.column(7), np.int32)
+            rows = np.arange(b.num_rows)
+            doc = np.repeat(rows, counts)[hit]
+            _, free, low, high = _around(doc, places[0], places[3], np.repeat(rows, s_counts), s_start, scan.unblobbed(b.column(8), np.int32)[0])
+            at = pa.array(doc)
+            columns = [b.column(0).take(at), b.column(1).take(at), *map(pa.array, places), pa.array(digest[hit]), pa.array(free), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    id_type = held.schema["id"].dataType.simpleString()
+    return held.mapInArrow(run, f"doc long, id {id_type}, start int, stop int, rest int, end int, digest long, free boolean, low int, high int")
 
 
 def _islands(spans: DataFrame, *keys: str) -> DataFrame:
@@ -216,9 +312,9 @@ def _contexts(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for part, texts in mh._parts(b, 1):
+            for part, texts in scan.parts(b, 1, mh.BATCH_BYTES):
                 rows = [(d, q["left"], q["at"], q["bound"], slice_of(t, q["left"], q["at"], q["bound"])) for d, t, asks in zip(part.column(0).to_pylist(), texts, part.column(2).to_pylist()) for q in asks]
-                yield _rows(rows, out)
+                yield pa.RecordBatch.from_pylist([dict(zip(out.names, r)) for r in rows], schema=out)
 
     return some.join(asked, "doc").mapInArrow(run, "doc long, left boolean, at int, bound int, around binary")
 
@@ -226,7 +322,7 @@ def _contexts(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
 def _reach(own: bytes, other: bytes, left: bool, words: int) -> tuple[int, int, int]:
     """How many words, at most ``words``, two texts share from the end (left) or
     the beginning on, and their bytes in both."""
-    a, b = ([(*m.span(), m.group().translate(mh.LOWER)) for m in _WORD.finditer(x)] for x in (own, other))
+    a, b = ([(*m.span(), m.group().translate(scan.LOWER)) for m in _WORD.finditer(x)] for x in (own, other))
     if left:
         a.reverse(), b.reverse()
     n = 0
@@ -243,20 +339,21 @@ def _extended(docs: DataFrame, removed: DataFrame, window: int, span: int) -> Da
     The words are compared themselves, those of the window included."""
     words = window + span + 3
     held = _islands(removed).groupBy("doc", "island")
-    first, last = F.min(F.struct("start", "id", "end", "low", "high", "digest", "rep")), F.max(F.struct("end", "id", "start", "low", "high", "digest", "rep"))
+    rest = ("low", "high", "digest", "rep")
+    first, last = F.min(F.struct("start", "id", "stop", *rest)), F.max(F.struct("end", "id", "start", *rest))
     ends = held.agg(first.alias("f"), last.alias("l"))
     side = lambda e, left, at, bound: F.struct(
         F.lit(left).alias("left"), F.col(f"{e}.id").alias("id"), F.col(f"{e}.digest").alias("digest"), F.col(f"{e}.{at}").alias("at"), F.col(f"{e}.rep.{at}").alias("rat"),
         # Within one document neither stretch runs into the other's window.
-        (F.greatest(f"{e}.low", F.when(F.col(f"{e}.rep.doc") == F.col("doc"), F.col(f"{e}.rep.end")).otherwise(0)) if left else F.col(f"{e}.high")).alias("bound"),
+        (F.greatest(f"{e}.low", F.when(F.col(f"{e}.rep.doc") == F.col("doc"), F.col(f"{e}.rep.stop")).otherwise(0)) if left else F.col(f"{e}.high")).alias("bound"),
         (F.col(f"{e}.rep.low") if left else F.least(f"{e}.rep.high", F.when(F.col(f"{e}.rep.doc") == F.col("doc"), F.col(f"{e}.start")).otherwise(2**31 - 1))).alias("rbound"),
         F.col(f"{e}.rep.doc").alias("rdoc"), F.col(f"{e}.rep.id").alias("rid"))
-    asks = cut(ends.select("doc", F.explode(F.array(side("f", True, "end", "low"), side("l", False, "start", "high"))).alias("s")).select("doc", "s.*"))
-    got = cut(_contexts(docs, asks.select("doc", "left", "at", "bound").unionByName(asks.select(F.col("rdoc").alias("doc"), "left", F.col("rat").alias("at"), F.col("rbound").alias("bound"))), words))
-    rgot = small(got.select(F.col("doc").alias("rdoc"), "left", F.col("at").alias("rat"), F.col("bound").alias("rbound"), F.col("around").alias("raround")), 2_000)
+    asks = cut(ends.select("doc", F.explode(F.array(side("f", True, "stop", "low"), side("l", False, "start", "high"))).alias("s")).select("doc", "s.*"))
+    got = written(_contexts(docs, asks.select("doc", "left", "at", "bound").unionByName(asks.select(F.col("rdoc").alias("doc"), "left", F.col("rat").alias("at"), F.col("rbound").alias("bound"))), words), "contexts")
+    rgot = got.select(F.col("doc").alias("rdoc"), "left", F.col("at").alias("rat"), F.col("bound").alias("rbound"), F.col("around").alias("raround"))
     both = asks.join(got, ["doc", "left", "at", "bound"]).join(rgot, ["rdoc", "left", "rat", "rbound"])
     columns = ["doc", "id", "at", "rdoc", "rid", "rat", "left", "digest", "around", "raround"]
-    out = pa.schema([("doc", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("digest", pa.int64()), ("stays", pa.bool_())])
+    names = ["doc", "id", "start", "end", "digest", "stays"]
 
     def run(batches):
         for b in batches:
@@ -265,25 +362,34 @@ def _extended(docs: DataFrame, removed: DataFrame, window: int, span: int) -> Da
                 n, k, rk = _reach(own, other, left, words)
                 if n >= window:
                     rows += [(doc, i, at - k, at, digest, False), (rdoc, ri, rat - rk, rat, digest, True)] if left else [(doc, i, at, at + k, digest, False), (rdoc, ri, rat, rat + rk, digest, True)]
-            yield _rows(rows, out)
+            kinds = [pa.int64(), b.schema.field("id").type, pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names=names)
 
-    return both.select(columns).mapInArrow(run, "doc long, id long, start int, end int, digest long, stays boolean")
+    id_type = removed.schema["id"].dataType.simpleString()
+    out = cut(both.select(columns).mapInArrow(run, f"doc long, id {id_type}, start int, end int, digest long, stays boolean"))
+    discard(got)
+    return out
 
 
-def _passages(docs: DataFrame, whole: DataFrame, removed_lines: DataFrame, window: int, span: int) -> tuple[DataFrame, DataFrame]:
+def _passages(docs: DataFrame, table: DataFrame, whole: DataFrame, removed_lines: DataFrame, window: int, span: int) -> tuple[DataFrame, DataFrame]:
     """doc, id, start, end, node, kept of passages; and (id, component) of the
     window digests and lines that belong together."""
-    counted = _window_digests(docs, window, span).groupBy("digest").agg(F.sum("m").alias("m")).where("m > 1")
-    repeated = cut(counted.select("digest"))
-    places = _window_places(docs, repeated, window, span).join(small(repeated), "digest")
-    places = cut(_outside(places, removed_lines).dropDuplicates(["doc", "start"]))
+    held = written(_outside(table, removed_lines), "windows")
+    discard(table)
+    repeated = _repeated(held, "w_digest", "w_rest").withColumnRenamed("value", "digest")
+    places = _window_places(held, Bits(repeated)).join(small(repeated), "digest")
+    places = cut(places.dropDuplicates(["doc", "start"]))
+    discard(held)
     # Of each digest the first place that no removed line touches stays.
-    stay = F.min(F.when(F.col("free"), F.struct("id", "start", "doc", "end", "low", "high")))
-    reps = cut(places.groupBy("digest").agg(stay.alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1 and rep is not null").drop("m"))
-    places = cut(places.join(small(reps), "digest"))
-    away = (F.col("doc") != F.col("rep.doc")) | (F.col("start") >= F.col("rep.end"))
-    removed = cut(places.where(away))
-    stays = removed.select(F.col("rep.doc").alias("doc"), F.col("rep.id").alias("id"), F.col("rep.start").alias("start"), F.col("rep.end").alias("end"), "digest").distinct()
+    stay = F.min(F.when(F.col("free"), F.struct("id", "start", "doc", "stop", "low", "high")))
+    several = F.count(F.lit(1)) + F.count(F.when(F.col("rest") >= 0, 1))
+    reps = cut(places.groupBy("digest").agg(stay.alias("rep"), several.alias("m")).where("m > 1 and rep is not null").drop("m"))
+    # Of the run that begins with the place that stays, what follows that place goes.
+    own = (F.col("doc") == F.col("rep.doc")) & (F.col("start") == F.col("rep.start"))
+    away = F.when(own, F.col("rest") >= 0).otherwise((F.col("doc") != F.col("rep.doc")) | (F.col("start") >= F.col("rep.stop")))
+    removed = places.join(small(reps), "digest").where(away).drop("free")
+    removed = cut(removed.withColumns({"start": F.when(own, F.col("rest")).otherwise(F.col("start")), "stop": F.when(own, F.col("end")).otherwise(F.col("stop"))}).drop("rest"))
+    stays = removed.select(F.col("rep.doc").alias("doc"), F.col("rep.id").alias("id"), F.col("rep.start").alias("start"), F.col("rep.stop").alias("end"), "digest").distinct()
     spans = removed.select("doc", "id", "start", "end", "digest", F.lit(False).alias("stays")).unionByName(stays.withColumn("stays", F.lit(True)))
     spans = cut(spans)
     marked = _islands(spans.select("doc", "start", "end", "digest"))
@@ -300,12 +406,13 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per repeated paragraph or passage: id, start, end (bytes of the
     UTF-8 text, end exclusive), is_passage, component_id and component_start
     (the component's first place), group_size (places), kept."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("doc", F.xxhash64("id", "text"))
-    whole = cut(_repeated_lines(rows, min_words, least))
-    ahead = small(cut(whole.groupBy("node").agg(F.min(F.struct("id", "start")).alias("first"))))
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("doc", F.xxhash64("id", "text"))
+    table = written(_table(rows, min_words, window, span), "numbers")
+    whole = _repeated_lines(rows, table, least)
+    ahead = small(cut(whole.groupBy("node").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")))
     stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("start") == F.col("first.start"))
     whole = cut(whole.join(ahead, "node").withColumn("kept", stays).drop("first"))
-    parts, comps = _passages(rows, whole.drop("kept"), whole.where("not kept").select("doc", "start", "end"), window, span)
+    parts, comps = _passages(rows, table, whole.drop("kept"), whole.where("not kept").select("doc", "start", "end"), window, span)
     named = whole.join(small(comps), whole["node"] == comps["id"], "left").select("doc", whole["id"], "start", "end", F.coalesce("component", "node").alias("node"), "kept")
     found = cut(named.withColumn("passage", F.lit(False)).unionByName(parts.withColumn("passage", F.lit(True))))
     groups = found.groupBy("node").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("group_size"))
@@ -314,11 +421,13 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with the removals cut out of the text; other columns as they were."""
-    gone = repeated_paragraphs(docs, id_col, text_col, **how).where("not kept")
-    spans = gone.groupBy(F.col(id_col).alias("_doc")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    held = docs.join(spans, docs[id_col] == F.col("_doc"), "left")
-    raw = held.withColumn("_raw", F.col(text_col).cast("binary"))
-    cut_out = "aggregate(_spans, struct(cast('' as binary) as done, 0 as at), (a, s) -> struct(if(s.start > a.at, concat(a.done, substring(_raw, a.at + 1, s.start - a.at)), a.done) as done, greatest(a.at, s.end) as at), a -> concat(a.done, substring(_raw, a.at + 1)))"
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.expr(cut_out).cast("string"))
-    return raw.withColumn("_text", text).select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    """``docs`` with the removals cut out of the text; other columns as they
+    were, whatever their names."""
+    plain, name = unnamed(docs)
+    told = repeated_paragraphs(plain.select(F.col(name(id_col)).alias("doc_id"), F.col(name(text_col)).alias("text")), **how)
+    spans = told.where("not kept").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    held = plain.join(spans, plain[name(id_col)] == spans["doc_id"], "left")
+    raw = held.withColumn("raw", F.col(name(text_col)).cast("binary"))
+    cut_out = "aggregate(spans, struct(cast('' as binary) as done, 0 as at), (a, s) -> struct(if(s.start > a.at, concat(a.done, substring(raw, a.at + 1, s.start - a.at)), a.done) as done, greatest(a.at, s.end) as at), a -> concat(a.done, substring(raw, a.at + 1)))"
+    text = F.when(F.col("spans").isNull(), F.col(name(text_col))).otherwise(F.expr(cut_out).cast("string"))
+    return raw.withColumn("cleaned", text).select(*["cleaned" if c == name(text_col) else c for c in plain.columns]).toDF(*docs.columns)

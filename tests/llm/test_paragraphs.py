@@ -1,8 +1,11 @@
 """Repeated paragraphs and passages against brute force."""
 
 import random
+from collections import Counter, defaultdict
 
-from quillon.llm.paragraphs import drop_repeats, repeated_paragraphs
+import numpy as np
+
+from quillon.llm.paragraphs import drop_repeats, numbers, repeated_paragraphs
 
 SCHEMA = "doc_id long, text string, start long, id string"
 
@@ -54,19 +57,65 @@ def test_removal_and_edges(spark):
     assert repeated_paragraphs(docs(spark, [])).count() == 0
 
 
-def test_shared_passages_of_51_words_always_meet():
-    import numpy as np
+def test_shared_passages_of_50_words_always_meet():
+    r = random.Random(9)
 
-    from quillon.llm.paragraphs import windows
+    def digests(texts):
+        got = numbers([t.encode() for t in texts])
+        return [np.frombuffer(x, np.int64) for x in got["w_digest"].to_pylist()], [np.frombuffer(x, np.int32) for x in got["w_start"].to_pylist()]
 
-    r = random.Random(9)
     for _ in range(300):
         p = words(r, 50)
-        a = " ".join(words(r, r.randrange(30)) + p + words(r, r.randrange(30))).encode()
-        b = " ".join(words(r, r.randrange(30)) + p + words(r, r.randrange(30))).encode()
-        assert len(np.intersect1d(windows([a])[2], windows([b])[2]))
-        line, first, digest = windows([b"short", a, b])
-        assert (digest[line == 1] == windows([a])[2]).all() and (first[line == 2] == windows([b])[1]).all()
+        a, b = (" ".join(words(r, r.randrange(30)) + p + words(r, r.randrange(30))) for _ in range(2))
+        one, two = (digests([x])[0][0] for x in (a, b))
+        assert len(np.intersect1d(one, two))
+        together, starts = digests(["short", a, "", b])
+        assert (together[1] == one).all() and (together[3] == two).all() and not len(together[0]) and not len(together[2])
+        assert (starts[3] == digests([b])[1][0]).all()
+
+
+def shingled(line):
+    w = line.lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+
+def all_links(rows, least=75, min_words=20):
+    """Every place of a line, and the places that links join, by all pairs that share a shingle."""
+    places = [(i, len("\n".join(t.split("\n")[:k]).encode()) + (k > 0), shingled(line)) for i, t in rows for k, line in enumerate((t or "").split("\n")) if len(line.split()) >= min_words]
+    have, parent = defaultdict(list), list(range(len(places)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for n, (*_, s) in enumerate(places):
+        for x in s:
+            have[x].append(n)
+    shared = Counter((a, b) for ids in have.values() for k, a in enumerate(ids) for b in ids[k + 1 :])
+    for (a, b), n in shared.items():
+        if 100 * n >= least * (len(places[a][2]) + len(places[b][2]) - n):
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    groups = defaultdict(list)
+    for n, p in enumerate(places):
+        groups[find(n)].append(p[:2])
+    return {p: p == min(g) for g in groups.values() if len(g) > 1 for p in g}
+
+
+def test_paragraphs_match_all_pairs(spark, sf):
+    """Places of repeated paragraphs, and which stays, over a whole table."""
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    want = all_links([(r["doc_id"], r["text"]) for r in table.collect()])
+    got = repeated_paragraphs(table).where("not is_passage").collect()
+    assert {(r["doc_id"], r["start"]): r["kept"] for r in got} == want and len(want) > 50
+
+
+def test_shorter_paragraphs_if_asked(spark):
+    rows = [(1, "one two three four five six\nx"), (2, "x\none two three four five six"), (3, "x\ny")]
+    assert repeated_paragraphs(docs(spark, rows)).count() == 0
+    assert {r["doc_id"] for r in repeated_paragraphs(docs(spark, rows), min_words=5).collect()} == {1, 2}
 
 
 def test_passages_over_line_breaks(spark):
