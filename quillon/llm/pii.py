@@ -4,20 +4,28 @@ Base kinds (email, ip, card, phone) are found in every whole text, leftmost and
 non-overlapping per kind, then checked; a match that fails its check is dropped
 and not retried.
 
-Sanitisation: every distinct base value is a protected entity, and every word of
-a document that holds it is a candidate, wherever the word stands. With document
-counts over the whole corpus, a word t reveals an entity e by
-PMI(e, t) = log2(N n(e, t) / (n(e) n(t))). It exceeds the disclosure threshold
-if PMI >= ALPHA x IC(e), with IC(e) = log2(N / n(e)). Every occurrence of such a
-word in the corpus becomes a span: ``remove`` if the word gives the entity away
-wholly (PMI >= IC), else ``generalise``.
-
-Which words the workers look for is told by a bit sieve of fixed size; what
-passes it by chance is dropped by an exact join, so no vocabulary is broadcast
-or collected. No text is shuffled.
+Sanitisation: protected entities are every distinct base value, each kind, and
+personal data of any kind; every term of a document that holds an entity is a
+candidate, wherever it stands. Terms are words, and runs of letters and digits
+mixed, which count by their shape (hexadecimal or not, and length rounded down to
+a power of two): as a rule each of them stands once, its shape often. With
+document counts over the whole corpus, a term t tells an entity e by
+PMI(e, t) = log2(p(e | t) / p(e)), and all of it would be IC(e) = -log2 p(e). The
+threshold is put on the estimate itself: p(e | t) = n(e, t) / n(t) is taken at
+its lower Wilson bound, so a term needs no fixed number of documents but enough
+for its estimate to be safe, and t exceeds the disclosure threshold if
+PMI >= alpha x IC. A value's own words are few and chosen after the fact, so
+values have the stricter alpha and bound. Every occurrence of a term over the
+threshold becomes a span: ``remove`` if the entity stands in all documents with
+the term, else ``generalise``.
+
+Which words the workers look for is told by a bit sieve that grows with their
+number, up to 2**MOST_BITS bits; what passes it by chance is dropped by an exact
+join, so no vocabulary is broadcast or collected. No text is shuffled.
 
 Defined cases: null text counts as empty; empty texts and tables have no spans;
-repeated rows have the same spans; other columns are not touched.
+repeated rows have the same spans; other columns are not touched, whatever they
+are called.
 """
 
 from __future__ import annotations
@@ -27,15 +35,19 @@ from bisect import bisect_left
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, small, text_of, unnamed
 
 KINDS = ("email", "ip", "card", "phone")
-ALPHA = 0.9
-SIEVE_BITS = 23
+#: Share of an entity's information that a term may tell, and standard errors of
+#: its estimate's bound: for kinds of data, and for single values.
+KIND_ALPHA, KIND_Z = 0.6, 3.0
+VALUE_ALPHA, VALUE_Z = 0.9, 3.0
+LEAST_BITS, MOST_BITS = 16, 27
 KEPT_COUNTS = 100_000
+KEPT_WORDS = 300_000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -45,6 +57,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
+_RUN = re.compile(r"[^\W_]{8,}")
+_MIXED = re.compile(r"(?=.*[0-9])(?=.*[^\W\d_])")
+_HEX = re.compile(r"[0-9a-f]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -108,30 +123,63 @@ def entity(text: str, span: tuple[int, int, str]) -> str:
     return f"{kind}:{text[a:z].lower() if kind == 'email' else _only_digits(text[a:z])}"
 
 
-def words_of(text: str, spans: list[tuple[int, int, str]]) -> set[str]:
-    """The words of a text that are not part of a span."""
-    taken = covered(spans)
-    return {m.group().lower() for m in _TERM.finditer(text) if not taken(*m.span())}
+def terms(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, term): the words and the mixed runs of a lower-cased text."""
+    out = [(*m.span(), m.group()) for m in _TERM.finditer(text)]
+    return out + [(*m.span(), shape(m.group())) for m in _RUN.finditer(text) if _MIXED.match(m.group())]
+
 
+def shape(run: str) -> str:
+    return f"#{'x' if _HEX.fullmatch(run) else 'a'}{1 << (len(run).bit_length() - 1)}"
 
-def _word_hash(word: str) -> int:
-    return crc32(word.encode("utf-8", "surrogatepass")) & ((1 << SIEVE_BITS) - 1)
+
+def terms_of(text: str) -> set[str]:
+    """The different terms of a lower-cased text."""
+    found = set(_TERM.findall(text))
+    if _DIGIT.search(text):
+        found.update(shape(r) for r in _RUN.findall(text) if _MIXED.match(r))
+    return found
+
+
+def folded(text: str) -> str:
+    """Lower-cased, code point for code point."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(x := c.lower()) != 1 else x for c in text)
+
+
+def words_of(text: str, spans: list[tuple[int, int, str]]) -> set[str]:
+    """The terms of a text that are not part of a span."""
+    taken = covered(spans)
+    return {t for a, z, t in terms(folded(text)) if not taken(a, z)}
 
 
 class Sieve:
-    """A bit for every word looked for, 2**SIEVE_BITS in all."""
+    """A bit for every word looked for, 16 for each on average."""
 
     def __init__(self, words: DataFrame):
+        self.bits_of = bits_of = min(MOST_BITS, max(LEAST_BITS, (16 * words.count()).bit_length()))
         bit = F.col("word").cast("binary")
-        got = words.select(F.crc32(bit).bitwiseAND(F.lit((1 << SIEVE_BITS) - 1)).alias("h")).groupBy(F.shiftright("h", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 32 as int))")).alias("bits")).collect()
-        bits = bytearray(1 << (SIEVE_BITS - 3))
-        for r in got:  # at most 2**(SIEVE_BITS - 5) rows
+        got = words.select(F.crc32(bit).bitwiseAND(F.lit((1 << bits_of) - 1)).alias("h")).groupBy(F.shiftright("h", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 32 as int))")).alias("bits"))
+        bits, self.empty = bytearray(1 << (bits_of - 3)), True
+        for r in got.toLocalIterator():  # at most 2**(MOST_BITS - 5) rows
             bits[4 * r["at"] : 4 * r["at"] + 4] = r["bits"].to_bytes(4, "little")
-        self.bits, self.empty = bytes(bits), not got
+            self.empty = False
+        self.shared = words.sparkSession.sparkContext.broadcast(bytes(bits))
+
+    def picker(self):
+        """A test of words that remembers its answers, for one task."""
+        bits, mask, known = self.shared.value, (1 << self.bits_of) - 1, {}
+
+        def holds(word: str) -> bool:
+            got = known.get(word)
+            if got is None:
+                if len(known) >= KEPT_WORDS:
+                    known.clear()
+                h = crc32(word.encode("utf-8", "surrogatepass")) & mask
+                got = known[word] = bool(bits[h >> 3] >> (h & 7) & 1)
+            return got
 
-    def __contains__(self, word: str) -> bool:
-        h = _word_hash(word)
-        return bool(self.bits[h >> 3] >> (h & 7) & 1)
+        return holds
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -154,7 +202,7 @@ def co_occurrence(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, D
             for t in b.column(0).to_pylist():
                 if spans := base_spans(t):
                     words = ["", *words_of(t, spans)]
-                    for e in {entity(t, s) for s in spans}:
+                    for e in {entity(t, s) for s in spans} | {f"{s[2]}:" for s in spans} | {"any:"}:
                         for w in words:
                             seen[e, w] = seen.get((e, w), 0) + 1
                         if len(seen) >= KEPT_COUNTS:
@@ -174,6 +222,7 @@ def document_counts(docs: DataFrame, words: DataFrame, text_col: str = "text") -
 
     def count(batches):
         seen: dict[str, int] = {}
+        holds = sieve.picker()
 
         def out():
             batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
@@ -182,8 +231,8 @@ def document_counts(docs: DataFrame, words: DataFrame, text_col: str = "text") -
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                for w in set(_TERM.findall(t.lower())):
-                    if w in sieve:
+                for w in terms_of(folded(t)):
+                    if holds(w):
                         seen[w] = seen.get(w, 0) + 1
                 if len(seen) >= KEPT_COUNTS:
                     yield out()
@@ -193,16 +242,30 @@ def document_counts(docs: DataFrame, words: DataFrame, text_col: str = "text") -
     return words.join(got.groupBy("word").agg(F.sum("n").alias("n_t")), "word")
 
 
-def revealing_words(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA) -> DataFrame:
-    """(word, action): the words over the disclosure threshold."""
+def wilson(hits: Column, of: Column, z: Column) -> Column:
+    """The lower bound of the share hits / of, at z standard errors."""
+    p, zz = hits / of, z * z
+    return (p + zz / (2 * of) - z * F.sqrt(p * (1 - p) / of + zz / (4 * of * of))) / (1 + zz / of)
+
+
+def revealing_words(docs: DataFrame, text_col: str = "text", kind: tuple[float, float] = (KIND_ALPHA, KIND_Z), value: tuple[float, float] = (VALUE_ALPHA, VALUE_Z)) -> DataFrame:
+    """(word, action): the terms over the disclosure threshold; ``kind`` and
+    ``value`` are (alpha, z)."""
+    n = float(max(docs.count(), 1))
     n_e, pairs = co_occurrence(docs, text_col)
-    n_t = document_counts(docs, pairs.select("word").distinct(), text_col)
-    n = docs.count()
-    ic = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
-    pmi = F.log2(F.lit(float(max(n, 1))) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    told = pairs.join(n_e, "entity").join(n_t, "word").withColumn("ic", ic).withColumn("pmi", pmi)
-    told = told.where((F.col("ic") > 0) & (F.col("pmi") >= alpha * F.col("ic")))
-    return told.groupBy("word").agg(F.when(F.max(F.col("pmi") - F.col("ic")) >= -1e-9, "remove").otherwise("generalise").alias("action"))
+    broad = F.col("entity").endswith(":")
+    pairs = pairs.join(n_e, "entity").where(F.col("n_e") < n)
+    pairs = pairs.withColumns({"alpha": F.when(broad, kind[0]).otherwise(value[0]), "z": F.when(broad, kind[1]).otherwise(value[1])})
+    # p(e | t) must reach p(e) ** (1 - alpha). No term can that stands in more documents than with the entity alone.
+    pairs = pairs.withColumn("least", F.pow(F.col("n_e") / n, 1 - F.col("alpha")))
+    pairs = cut(pairs.where(wilson(F.col("n_et"), F.col("n_et"), F.col("z")) >= F.col("least")))
+    told = pairs.join(document_counts(docs, cut(pairs.select("word").distinct()), text_col), "word")
+    of = F.greatest("n_t", "n_et")
+    told = told.where(wilson(F.col("n_et"), of, F.col("z")) >= F.col("least"))
+    return told.groupBy("word").agg(F.when(F.max((F.col("n_et") >= of).cast("int")) == 1, "remove").otherwise("generalise").alias("action"))
+
+
+SPANS = "array<struct<start:int,end:int,kind:string>>"
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
@@ -211,10 +274,10 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     start, end, kind in code points, end exclusive."""
     words = cut(revealing_words(docs, text_col, **thresholds))
     sieve = Sieve(words)
-    span = "struct<start:int,end:int,kind:string>"
     plain = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def find(batches):
+        holds = sieve.picker()
         for b in batches:
             base, near = [], []
             for t in b.column(2).to_pylist():
@@ -222,39 +285,42 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
                 base.append([{"start": a, "end": z, "kind": k} for a, z, k in own])
                 found = []
                 if not sieve.empty:
-                    taken = covered(own)
-                    for m in _TERM.finditer(t):
-                        if (w := m.group().lower()) in sieve and not taken(*m.span()):
-                            found.append({"start": m.start(), "end": m.end(), "kind": w})
+                    low = folded(t)
+                    if any(map(holds, terms_of(low))):
+                        taken = covered(own)
+                        found = [{"start": a, "end": z, "kind": w} for a, z, w in terms(low) if holds(w) and not taken(a, z)]
                 near.append(found)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, plain), pa.array(near, plain)], names=["id", "text_key", "base", "near"])
 
-    id_type = docs.schema[id_col].dataType.simpleString()
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    rows = rows.mapInArrow(find, f"id {id_type}, text_key long, base array<{span}>, near array<{span}>")
+    rows = rows.mapInArrow(find, f"id {docs.schema[id_col].dataType.simpleString()}, text_key long, base {SPANS}, near {SPANS}")
+    none = F.expr(f"cast(array() as {SPANS})")
     if sieve.empty:
-        return rows.select(F.col("id").alias(id_col), "text_key", "base", F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)").alias("added"))
+        return rows.select(F.col("id").alias(id_col), "text_key", "base", none.alias("added"))
     rows = cut(rows)
-    hits = rows.where("size(near) > 0").select("text_key", "near").dropDuplicates(["text_key"]).select("text_key", F.explode("near").alias("s"))
-    hits = hits.join(words, hits["s.kind"] == words["word"]).select("text_key", F.struct(F.col("s.start"), F.col("s.end"), F.col("action").alias("kind")).alias("s"))
-    hits = hits.groupBy("text_key").agg(F.array_sort(F.collect_list("s")).alias("added"))  # the spans of one text
-    out = rows.drop("near").join(hits, "text_key", "left")
-    return out.select(F.col("id").alias(id_col), "text_key", "base", F.coalesce("added", F.expr(f"cast(array() as array<{span}>)")).alias("added"))
+    hits = rows.where("size(near) > 0").select("id", "text_key", F.explode("near").alias("s"))
+    hits = hits.join(small(words), hits["s.kind"] == words["word"]).select("id", "text_key", F.struct(F.col("s.start"), F.col("s.end"), F.col("action").alias("kind")).alias("s"))
+    # By id and text: copies of one text are as many keys, and rows that repeat both have one set of spans.
+    hits = hits.groupBy(F.col("id").alias("id2"), F.col("text_key").alias("key2")).agg(F.array_sort(F.collect_set("s")).alias("added"))
+    out = rows.drop("near").join(hits, (F.col("text_key") == F.col("key2")) & F.col("id").eqNullSafe(F.col("id2")), "left")
+    return out.select(F.col("id").alias(id_col), "text_key", "base", F.coalesce("added", none).alias("added"))
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """``docs`` with the spans replaced in the text: base values by their kind,
-    words that reveal an entity removed or generalised to a placeholder."""
-    found = pii_spans(docs, id_col, text_col, **thresholds).where("size(base) + size(added) > 0")
-    found = found.select("text_key", F.array_sort(F.concat("base", "added")).alias("_spans")).dropDuplicates(["text_key"])
-    rows = docs.withColumn("_key", F.xxhash64(text_of(text_col)))
-    rows = rows.join(found.withColumnRenamed("text_key", "_key"), "_key", "left")
+    terms that reveal an entity removed or generalised to a placeholder."""
+    plain, name = unnamed(docs)
+    own, text = name(id_col), name(text_col)
+    found = pii_spans(plain.select(F.col(own).alias("doc_id"), F.col(text).alias("text")), **thresholds).where("size(base) + size(added) > 0")
+    found = found.select("doc_id", "text_key", F.array_sort(F.concat("base", "added")).alias("spans")).dropDuplicates(["doc_id", "text_key"])
+    rows = plain.withColumn("key", F.xxhash64(text_of(text))).withColumn("t", text_of(text))
+    rows = rows.join(found, (F.col("key") == F.col("text_key")) & F.col(own).eqNullSafe(F.col("doc_id")), "left")
     word = "case s.kind when 'remove' then '' when 'generalise' then '[TERM]' else concat('[', upper(s.kind), ']') end"
-    step = f"(a, s) -> if(s.start < a.at, a, struct(concat(a.done, substring(_t, a.at + 1, s.start - a.at), {word}) as done, s.end as at))"
-    new = F.expr(f"aggregate(_spans, struct('' as done, 0 as at), {step}, a -> concat(a.done, substring(_t, a.at + 1)))")
-    rows = rows.withColumn("_t", text_of(text_col)).withColumn("_new", F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(new))
-    return rows.select(*[F.col("_new").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    step = f"(a, s) -> if(s.start < a.at, a, struct(concat(a.done, substring(t, a.at + 1, s.start - a.at), {word}) as done, s.end as at))"
+    new = F.expr(f"aggregate(spans, struct('' as done, 0 as at), {step}, a -> concat(a.done, substring(t, a.at + 1)))")
+    rows = rows.withColumn("cleaned", F.when(F.col("spans").isNull(), F.col(text)).otherwise(new))
+    return rows.select(*["cleaned" if c == text else c for c in plain.columns]).toDF(*docs.columns)
 
 
 def digest(spans: str) -> str:

@@ -23,7 +23,7 @@ def op1_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = lambda s: f"array_position(array({', '.join(map(repr, KINDS))}), {s}.kind)"
     order = f"array_sort(concat(base, added), (x, y) -> cast(case when x.start <> y.start then x.start - y.start else {rank('x')} - {rank('y')} end as int))"
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(F.expr(digest("base")), 256).alias("base_sha256"), F.expr(digest(order)).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.expr(digest("base")), 256).alias("base_sha256"), F.expr(digest(order)).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
 def op2_lattice_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

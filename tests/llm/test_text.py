@@ -1,5 +1,8 @@
 """Personal data, token counts and the quality classifier."""
 
+import collections
+import hashlib
+import math
 import random
 import re
 
@@ -116,8 +119,54 @@ def test_quality_edges(spark):
 def test_words_far_from_a_value_reveal_it(spark):
     texts = [f"plain words number {'abcdefghij'[i % 10]}xyz" for i in range(60)]
     texts += ["Orlandov\nwrites to o.v@corp.example.org " + "plain words number " * 9 + " from Farawaytown", "nothing else here"]
+    texts += [texts[-2] + f" {x}" for x in ("a", "b", "c", "d", "e", "f", "g", "h", "i")]
     words = {r["word"]: r["action"] for r in revealing_words(docs(spark, texts)).collect()}
     assert words["orlandov"] == words["farawaytown"] == "remove" and not {"plain", "words", "number"} & set(words)
+    once = revealing_words(docs(spark, texts[:62])).collect()
+    assert not once  # one document is no estimate
+
+
+def told_by_brute_force(texts, kind=(0.6, 3.0), value=(0.9, 3.0)):
+    """Every pair of entity and term, counted document by document."""
+    n, n_e, n_t, n_et = len(texts), *(collections.Counter() for _ in range(3))
+    for t in map(lambda t: t or "", texts):
+        spans, low = naive(t), t.lower()
+        found = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\W\d_]{3,}", low)]
+        for m in re.finditer(r"[^\W_]{8,}", low):
+            if re.search("[0-9]", m.group()) and re.search(r"[^\W\d_]", m.group()):
+                size = max(k for k in (8, 16, 32, 64, 128, 256) if k <= len(m.group()))
+                found.append((m.start(), m.end(), f"#{'x' if set(m.group()) <= set('0123456789abcdef') else 'a'}{size}"))
+        n_t.update({w for _, _, w in found})
+        own = {(k, t[a:z].lower() if k == "email" else "".join(c for c in t[a:z] if c in "0123456789")) for a, z, k in spans}
+        own |= {(k, None) for k, _ in own} | ({("any", None)} if own else set())
+        n_e.update(own)
+        words = {w for a, z, w in found if not any(a < y and x < z for x, y, _ in spans)}
+        n_et.update((e, w) for e in own for w in words)
+    out = {}
+    for (e, w), k in n_et.items():
+        alpha, z = kind if e[1] is None else value
+        of, p = n_t[w], k / n_t[w]
+        low = (p + z * z / (2 * of) - z * (p * (1 - p) / of + z * z / (4 * of * of)) ** 0.5) / (1 + z * z / of)
+        pmi, ic = math.log2(low * n / n_e[e]), math.log2(n / n_e[e])
+        if ic > 0 and pmi >= alpha * ic - 1e-12:
+            out[w] = "remove" if k == of or out.get(w) == "remove" else "generalise"
+    return out
+
+
+def test_revealing_words_match_brute_force(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = told_by_brute_force([r["text"] for r in table.collect()])
+    assert {r["word"]: r["action"] for r in revealing_words(table).collect()} == want and want["token"] == "generalise" and "#x32" in want
+
+
+def test_base_digest_of_every_text(spark, sf):
+    got = {r["doc_id"]: r for r in q.op1_pii_sanitisation(spark, sf).collect()}
+    rank = ("email", "ip", "card", "phone").index
+    for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        told = ",".join(f"{k}:{a}:{z}" for a, z, k in sorted(naive(d["text"]), key=lambda s: (s[0], rank(s[2]))))
+        r = got[d["doc_id"]]
+        assert r["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+        assert (r["spans"] == told) == (r["n_added"] == 0)
 
 
 def test_quality_learns_from_long_texts(spark):
