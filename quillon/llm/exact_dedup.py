@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sieve, sifted, small, text_of
+from .common import cut, sieve, sifted, small, text_of, unnamed
 
 PREFIX_CHARS = 256
 
@@ -33,7 +33,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prefixes = heads.groupBy("_n", "_p").count().where("count > 1")
     bits = sieve(prefixes, "_n", "_p")
 
-    rows = docs.select(F.col(id_col).alias("_id"), *[F.col(c) for c in carry], text.alias("_text"), *shape)
+    held = [f"x{i}" for i in range(len(carry))]  # whatever the columns are called, they clash with nothing here
+    rows = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(x) for c, x in zip(carry, held)], text.alias("_text"), *shape)
     rows = sifted(rows, bits, "_n", "_p")
     # The full content is hashed for survivors alone; the others get a key that nothing shares.
     full = F.when(F.col("_goes_on"), F.unhex(F.sha2("_text", 256)))
@@ -43,18 +44,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = ["_n", "_p", "_full"]
     out = rows.join(groups, [*keys, "_spread"], "left")
     keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
-    return out.select(F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"), *[F.col(c) for c in carry])
+    return out.select(F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"), *[F.col(x).alias(c) for c, x in zip(carry, held)])
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were."""
-    tag = "_row_of_text"
-    marked = docs.withColumn(tag, F.xxhash64(F.col(id_col), text_of(text_col)))
-    told = cut(exact_groups(marked, id_col, text_col, carry=(tag,)))
-    losers = told.where("not kept").select(tag).distinct()
-    twice = cut(told.where("kept and group_size > 1").groupBy(tag).count().where("count > 1").select(tag))
-    rest = marked.join(losers, tag, "left_anti")
-    if twice.isEmpty():
-        return rest.select(*docs.columns)
-    lone = rest.join(twice, tag, "left_anti").select(*docs.columns)
-    return lone.unionByName(rest.join(twice, tag, "left_semi").dropDuplicates([tag]).select(*docs.columns))
+    plain, name = unnamed(docs)
+    marked = plain.withColumn("tag", F.xxhash64(F.col(name(id_col)), text_of(name(text_col))))
+    told = cut(exact_groups(marked, name(id_col), name(text_col), carry=("tag",)))
+    losers = told.where("not kept").select("tag").distinct()
+    twice = cut(told.where("kept and group_size > 1").groupBy("tag").count().where("count > 1").select("tag"))
+    rest = marked.join(losers, "tag", "left_anti")
+    if not twice.isEmpty():
+        lone = rest.join(twice, "tag", "left_anti")
+        rest = lone.unionByName(rest.join(twice, "tag", "left_semi").dropDuplicates(["tag"]))
+    return rest.select(*plain.columns).toDF(*docs.columns)

@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, cut, small, text_of
+from .common import WORD, cut, small, text_of, unnamed
 
 GOLDEN = 0.6180339887498949
-SLICES = 1024
+#: A source's rows, and the slots of the schedule, are numbered in slices of about SLICE_ROWS at most.
+SLICES, SLICE_ROWS = 1024, 200_000
 BLOCK_WORDS = 2048
 
 
@@ -61,7 +62,7 @@ def _schedule(sources: DataFrame, slots: int, block: int) -> DataFrame:
     points = spark.range(0, slots, 1, tasks).select("id", (u - F.floor(u)).alias("u")).withColumn("cell", F.floor(F.col("u") * grid))
     spans = cut(spans)
     points = points.join(small(spans), "cell").where("u >= low and u < high").select("id", "key")
-    points = points.withColumn("part", F.expr(f"id div {max(1, -(-slots // 512))}"))
+    points = points.withColumn("part", F.expr(f"id div {max(1, min(SLICE_ROWS, -(-slots // 512)))}"))
     counts = points.groupBy("key", "part").count()
     counts = counts.select("key", "part", (F.sum("count").over(W.partitionBy("key").orderBy("part")) - F.col("count")).alias("start"))
     number = F.row_number().over(W.partitionBy("key", "part").orderBy("id")) - 1
@@ -73,13 +74,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, id
     the columns named in ``carry``."""
     size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null"))
-    rows = docs.select(F.col(id_col).alias("_id"), *[F.col(c) for c in carry], F.col(source_col).alias("_source"), key.alias("_key"), size.alias("_size"), F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("mix")), 2).alias("_h"))
-    rows = cut(rows.withColumn("_slice", F.shiftright("_h", 62 - SLICES.bit_length() + 1)))
+    held = [f"x{i}" for i in range(len(carry))]  # whatever the columns are called, they clash with nothing here
+    rows = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(x) for c, x in zip(carry, held)], F.col(source_col).alias("_source"), key.alias("_key"), size.alias("_size"), F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("mix")), 2).alias("_h"))
+    rows = cut(rows)
+    n_rows = rows.count()
+    slices = max(SLICES, n_rows // SLICE_ROWS)
+    rows = rows.withColumn("_slice", F.shiftright("_h", 62 - (slices - 1).bit_length()))
     sizes = rows.groupBy("_key", F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     sources = cut(source_targets(sizes).withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))))
     facts = sources.agg(F.sum("source_size").alias("t"), F.min(F.when(F.col("target") >= 1, F.col("target"))).alias("low"), F.sum("target").alias("all")).first()
     total = facts["t"] or 0
-    n_rows = rows.count()
     block = max(1, -(-total // max(1 << 19, n_rows)), min(block_words, int((facts["low"] or 0) // 256)))
 
     # Where each row lies in its source's stream.
@@ -113,18 +117,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, id
     pieces = pieces.join(blocks.withColumnRenamed("key", "_key"), ["_key", "block"], "left")
     words = F.expr("coalesce(times, 0L) * (_z - _a) + greatest(0L, least(coalesce(part, 0L), _z) - _a)")
     row = ["_key", "_slice", "_n"]
-    kept = [F.first(c).alias(c) for c in ("_id", "_size", *carry)]
+    kept = [F.first(c).alias(c) for c in ("_id", "_size", *held)]
     out = pieces.groupBy(*row).agg(*kept, F.coalesce(F.sum(words), F.lit(0)).alias("taken"))
     out = out.join(small(sources.select(F.col("key").alias("_key"), "source_size", "target")), "_key")
-    return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", "taken", *[F.col(c) for c in carry])
+    return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", "taken", *[F.col(x).alias(c) for c, x in zip(carry, held)])
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """``docs`` as the mix takes them: whole rows, each repeated as many times
     as the rounded ratio of its words taken to its words; columns as they were."""
-    tag = "_row_of_text"
-    marked = docs.withColumn(tag, F.xxhash64(F.col(how.get("id_col", "doc_id")), text_of(how.get("text_col", "text"))))
-    times = mix(marked, **how, carry=(tag,)).where("size > 0").groupBy(tag).agg(F.sum("taken").alias("_t"), F.max("size").alias("_s"), F.count(F.lit(1)).alias("_c"))
-    times = times.select(tag, F.expr("cast(round(_t / _s / _c) as int)").alias("_times")).where("_times > 0")
-    out = marked.join(times, tag)
-    return out.withColumn("_times", F.explode(F.expr("sequence(1, _times)"))).select(*docs.columns)
+    plain, name = unnamed(docs)
+    columns = {c: name(how.pop(c, default)) for c, default in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
+    marked = plain.withColumn("tag", F.xxhash64(F.col(columns["id_col"]), text_of(columns["text_col"])))
+    times = mix(marked, **columns, **how, carry=("tag",)).where("size > 0").groupBy("tag").agg(F.sum("taken").alias("t"), F.max("size").alias("s"), F.count(F.lit(1)).alias("n"))
+    times = times.select("tag", F.expr("cast(round(t / s / n) as int)").alias("times")).where("times > 0")
+    out = marked.join(times, "tag").withColumn("times", F.explode(F.expr("sequence(1, times)")))
+    return out.select(*plain.columns).toDF(*docs.columns)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, unnamed
 
 TRAIN_ROWS = 3072
 TRAIN_BYTES = 16_384
@@ -187,7 +187,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 
 def score_quality(docs: DataFrame, net: Network, text_col: str = "text", to: str = "score") -> DataFrame:
-    """``docs`` with one more column, the probability of label 1."""
+    """``docs`` with one more column, the probability of label 1; the other
+    columns are left alone whatever they are called."""
 
     def score(batches):
         for b in batches:
@@ -204,5 +205,6 @@ def score_quality(docs: DataFrame, net: Network, text_col: str = "text", to: str
 
 def keep_good(docs: DataFrame, net: Network, text_col: str = "text", at_least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
-    scored = score_quality(docs, net, text_col, "_quality_score")
-    return scored.where(F.col("_quality_score") >= at_least).drop("_quality_score")
+    plain, name = unnamed(docs)
+    scored = score_quality(plain, net, name(text_col), "score")
+    return scored.where(F.col("score") >= at_least).drop("score").toDF(*docs.columns)

@@ -5,9 +5,14 @@ from collections import defaultdict
 from zlib import crc32
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm.exact_dedup import drop_exact_copies, exact_groups
 from quillon.llm.mixing import mix, mixed_documents
+from quillon.llm.minhash import drop_near_copies
+from quillon.llm.paragraphs import drop_repeats
+from quillon.llm.pii import sanitised
+from quillon.llm.quality import Network, keep_good
 from quillon.llm.sharding import histogram_shards
 
 SCHEMA = "doc_id long, text string, source string, count long, size long"
@@ -59,6 +64,31 @@ def test_shards(spark):
     assert got.sort_values("doc_id").reset_index(drop=True).equals(again.sort_values("doc_id").reset_index(drop=True))
 
 
+def test_groups_of_equal_texts_stay_whole(spark):
+    """Groups up to a shard's size lie in one shard; a larger one fills the fewest."""
+    rows = [(i, f"group {i % 40} " + "y" * (i % 40) * 9, "s") for i in range(1200)] + [(5000 + i, "hot copy", "s") for i in range(900)]
+    got = histogram_shards(docs(spark, rows), shards=8).toPandas()
+    got["text"] = got["doc_id"].map({i: t for i, t, _ in rows})
+    room = got["size"].sum() / 8
+    for _, g in got.groupby("text"):
+        assert g["shard"].nunique() == max(1, -(-g["size"].sum() // room))
+    loads = got.groupby("shard")["size"].sum()
+    assert loads.max() - loads.min() < 0.1 * room
+
+
+CLASHING = ["doc_id", "text", "source", "_n", "_p", "_keep", "_size", "_key", "_row_of_text", "tag", "times", "c0", "x0", "score", "_gone", "kept", "id"]
+
+
+@pytest.mark.parametrize("f", [drop_exact_copies, drop_near_copies, mixed_documents, lambda d: keep_good(d, Network.fresh(1, 0.9)), sanitised, drop_repeats])
+def test_other_columns_stay_whatever_their_names(spark, f):
+    base = docs(spark, [(1, "a b c d e f", "x"), (2, "q w e r t y", "x"), (3, None, "x"), (4, "u i o p a s d f", "x")]).select("doc_id", "text", "source")
+    table = base.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHING[3:]])
+    out = f(table)
+    assert out.columns == CLASHING
+    for r in out.collect():
+        assert all(r[c] == f"{c}{r['doc_id']}" for c in CLASHING[3:])
+
+
 def level(sizes, weights=(5, 2, 1), most=3):
     names = sorted([s for s in sizes if s is not None], key=lambda s: s.encode()) + [None] * (None in sizes)
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
