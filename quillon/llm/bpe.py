@@ -30,6 +30,7 @@ KEPT_CHARS = 64
 PLAIN = re.compile("[\t\n\r\x20-\x7e¡-įı-ſ]*")
 _LETTERS, _DIGITS = "a-zªµºß-öø-ſ", "0-9²³¹¼-¾"
 PLAIN_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+")
+PLAIN_PARTS = re.compile(f"{PLAIN_PIECES.pattern}|\\s")
 
 
 def vocabulary() -> str:
@@ -59,7 +60,8 @@ class Pieces:
         self.spec = json.load(open(path, encoding="utf-8"))
         special = [t["content"] for t in self.spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.ends = [t for t in special]
+        self.ends = special
+        self.special_bytes = [t.encode("utf-8") for t in special]
         self.bytes_of = {c: b for b, c in enumerate(byte_symbols())}
 
     def plain(self, text: str) -> list[str] | None:
@@ -68,6 +70,25 @@ class Pieces:
             return None
         return PLAIN_PIECES.findall(text.lower())
 
+    def split_plain(self, words: list[str]) -> list[list[str] | None]:
+        """The pieces of each of many lower-cased words without special strings;
+        None for words of unusual characters."""
+        usual = [PLAIN.fullmatch(w) is not None for w in words]
+        found = PLAIN_PARTS.findall(" ".join(w for w, u in zip(words, usual) if u))
+        found.append(" ")
+        out, at = [], 0
+        for u in usual:
+            if not u:
+                out.append(None)
+                continue
+            end = found.index(" ", at)
+            out.append(found[at:end])
+            at = end + 1
+        return out
+
+    def has_special(self, text: bytes) -> bool:
+        return any(x in text for x in self.special_bytes)
+
     def split(self, text: str) -> tuple[list[str], int]:
         """Pieces, and how many special strings stood between them."""
         found = self.plain(text)

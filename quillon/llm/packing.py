@@ -25,52 +25,74 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Pieces, byte_symbols, vocabulary
 from .common import text_of, written
+from .scan import Vocabulary, blobs, gathered, parts, slices, unblobbed
 
 WINDOW, END = 2048, 1
-SHARD_DOCS = 2048
-QUERY_TERMS = 12
+SHARD_DOCS, SHARD_IDS = 2048, 1 << 22
 K1, B = 1.2, 0.75
-KEPT_PIECES, KEPT_CHARS = 600_000, 64
-SLICE = 512
+KEPT_PIECES = 600_000
+BATCH_BYTES = 4 << 20
+#: Terms that more than one in DENSE documents of a shard hold are scored as one matrix product, MOST_DENSE at most.
+DENSE, MOST_DENSE = 16, 1024
 
 
-class Ids(dict):
-    """Piece -> its ids as bytes, from the tokenizer's own model; pieces of plain
-    texts are independent of each other. Emptied when full."""
+class Ids:
+    """The ids of texts. Different words are tokenised once each, from the ids of
+    their pieces, which the library's own model gives; texts that hold special
+    strings go through the library whole."""
 
     def __init__(self, path: str):
-        super().__init__()
         self.pieces = Pieces(path)
         self.kind = np.dtype("<u2" if self.pieces.lib.get_vocab_size() < 1 << 16 else "<u4")
-        self.end = np.array([END], self.kind).tobytes()
-        self.model = self.pieces.lib.model
         self.symbols = str.maketrans({chr(b): s for b, s in enumerate(byte_symbols())})
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.pieces.lib.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _learn(self, new) -> None:
-        for p in new:
-            symbols = p.encode("utf-8").decode("latin-1").translate(self.symbols)
-            self[p] = np.array([t.id for t in self.model.tokenize(symbols)], self.kind).tobytes()
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, with the end id."""
-        split = [self.pieces.plain(t) for t in texts]
-        if len(self) >= KEPT_PIECES:
-            self.clear()
-        new = set().union(*(p for p in split if p)).difference(self)
-        self._learn(new)
-        out = [self._encode(t) + self.end if p is None else b"".join(map(self.__getitem__, p)) + self.end for t, p in zip(texts, split)]
-        for p in new:
-            if len(p) > KEPT_CHARS:
-                del self[p]
-        return out
+        self.words, self.known = Vocabulary(self._learn, self.kind), {}
+
+    def _encode(self, text: str) -> list[int]:
+        return self.pieces.lib.encode(text, add_special_tokens=False).ids
+
+    def _piece(self, piece: str) -> list[int]:
+        symbols = piece.encode("utf-8").decode("latin-1").translate(self.symbols)
+        return [t.id for t in self.pieces.lib.model.tokenize(symbols)]
+
+    def _learn(self, words: list[bytes]) -> tuple[list[int], np.ndarray]:
+        if len(self.known) >= KEPT_PIECES:
+            self.known.clear()
+        known, values, sizes = self.known, [], []
+        texts = [w.decode("utf-8").lower() for w in words]
+        for w, own in zip(words, self.pieces.split_plain(texts)):
+            before = len(values)
+            if own is None:
+                values += self._encode(w.decode("utf-8"))
+            else:
+                for p in own:
+                    got = known.get(p)
+                    if got is None:
+                        got = known[p] = self._piece(p)
+                    values += got
+            sizes.append(len(values) - before)
+        return values, np.array(sizes, np.int64)
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, each with the end id, and their numbers."""
+        special = [i for i, t in enumerate(texts) if self.pieces.has_special(t)]
+        plain = texts if not special else [b"" if i in set(special) else t for i, t in enumerate(texts)]
+        starts, sizes, bounds = self.words.of(plain)
+        values = np.append(self.words.values, np.array(END, self.kind))
+        starts, sizes = (np.insert(x, bounds[1:], v) for x, v in ((starts, len(values) - 1), (sizes, 1)))
+        bounds = bounds + np.arange(len(bounds))
+        ids, counts = gathered(values, starts, sizes), np.diff(np.concatenate([[0], np.cumsum(sizes)])[bounds])
+        if special:
+            each = np.split(ids, np.cumsum(counts)[:-1])
+            for i in special:
+                each[i] = np.array([*self._encode(texts[i].decode("utf-8")), END], self.kind)
+            ids, counts = np.concatenate(each), np.array([len(x) for x in each])
+        return ids, counts
 
 
 _IDS: dict[str, Ids] = {}
@@ -88,34 +110,43 @@ def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFra
     def run(batches):
         t = ids(path)
         for b in batches:
-            for a in range(0, b.num_rows, SLICE):
-                part = b.slice(a, SLICE)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(t.of(part.column(1).to_pylist()), pa.binary())], names=["id", "ids"])
+            for part, texts in parts(b, 1, BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([part.column(0), blobs(*t.of(texts))], names=["id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids binary")
 
 
-def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct ids and how often each stands; two-byte ids are radix sorted."""
-    s = np.sort(ids, kind="stable")
-    at = np.flatnonzero(s[1:] != s[:-1]) + 1
-    at = np.concatenate(([0], at)) if len(s) else at
-    return s[at], np.diff(np.append(at, len(s)))
+def term_counts(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, times) of documents end to end, in this order."""
+    key = np.repeat(np.arange(len(sizes), dtype=np.int64) << 24, sizes)
+    key |= flat
+    key.sort()
+    at = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[at] >> 24, key[at] & 0xFFFFFF, np.diff(np.append(at, len(key)))
+
+
+def weights(doc: np.ndarray, term: np.ndarray, times: np.ndarray, sizes: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    return (idf[term] * (times * (K1 + 1) / (times + K1 * (1 - B + B * sizes[doc] / max(mean, 1.0))))).astype(np.float32)
+
+
+def _stretches(batch, at: int, kind: np.dtype):
+    """A batch in slices with their ids end to end and numbers of ids."""
+    for a, z in slices(pc.binary_length(batch.column(at)).to_pylist(), BATCH_BYTES):
+        part = batch.slice(a, z - a)
+        yield part, *unblobbed(part.column(at), kind)
 
 
-def document_frequencies(tokens: DataFrame, kind: np.dtype) -> tuple[np.ndarray, int, float]:
-    """How many documents hold each id, how many there are, their mean length."""
+def document_frequencies(tokens: DataFrame, kind: np.dtype) -> tuple[np.ndarray, int, int]:
+    """How many documents hold each id, how many there are, the number of ids in all."""
     size = 1 << (16 if kind.itemsize == 2 else 20)
 
     def run(batches):
         df, n, total = np.zeros(size, np.int64), 0, 0
         for b in batches:
-            for x in b.column(0):
-                own = np.frombuffer(x.as_buffer(), kind)
-                df[distinct(own)[0]] += 1
-                n += 1
-                total += len(own)
+            for _, flat, sizes in _stretches(b, 0, kind):
+                df += np.bincount(term_counts(flat, sizes)[1], minlength=size)
+                n, total = n + len(sizes), total + len(flat)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1, -2]])), pa.array(np.concatenate([df[at], [n, total]]))], names=["term", "n"])
 
@@ -126,7 +157,7 @@ def document_frequencies(tokens: DataFrame, kind: np.dtype) -> tuple[np.ndarray,
             df[r["term"]] = r["n"]
         else:
             n, total = (r["n"], total) if r["term"] == -1 else (n, r["n"])
-    return df, n, total / max(n, 1)
+    return df, n, total
 
 
 def dealt(tokens: DataFrame, kind: np.dtype, df: np.ndarray, idf: np.ndarray, mean: float, shards: int) -> DataFrame:
@@ -138,14 +169,16 @@ def dealt(tokens: DataFrame, kind: np.dtype, df: np.ndarray, idf: np.ndarray, me
     def run(batches):
         idf, mean = shared.value
         for b in batches:
-            top = np.full((b.num_rows, 2), -1, np.int32)
-            for i, x in enumerate(b.column(1)):
-                own = np.frombuffer(x.as_buffer(), kind)
-                t, tf = distinct(own)
-                w = idf[t] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(own) / max(mean, 1.0))))
-                best = np.lexsort((t, -w))[:2] if len(t) < 3 else (k := np.argpartition(-w, 1)[:2])[np.lexsort((t[k], -w[k]))]
-                top[i, : len(best)] = np.where(w[best] > 0, t[best], -1)
-            yield pa.RecordBatch.from_arrays([pa.array(top[:, 0]), pa.array(top[:, 1]), b.column(0), b.column(1)], names=["t1", "t2", "id", "ids"])
+            for part, flat, sizes in _stretches(b, 1, kind):
+                doc, term, times = term_counts(flat, sizes)
+                w = weights(doc, term, times, sizes, idf, mean)
+                order = np.lexsort((term, -w, doc))
+                first = np.searchsorted(doc, np.arange(len(sizes)))  # every document has the end id at least
+                top = []
+                for k in (0, 1):
+                    at = order[np.minimum(first + k, len(order) - 1)]
+                    top.append(np.where((doc[at] == np.arange(len(sizes))) & (w[at] > 0), term[at], -1).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(top[0]), pa.array(top[1]), part.column(0), part.column(1)], names=["t1", "t2", "id", "ids"])
 
     id_type = tokens.schema["id"].dataType.simpleString()
     keyed = tokens.select("id", "ids").mapInArrow(run, f"t1 int, t2 int, id {id_type}, ids binary").withColumn("h", F.xxhash64("id", "ids"))
@@ -154,30 +187,42 @@ def dealt(tokens: DataFrame, kind: np.dtype, df: np.ndarray, idf: np.ndarray, me
 
 
 class Index:
-    """BM25 over the documents of one shard; a query has ``query_terms`` terms, or all."""
-
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int | None = QUERY_TERMS):
-        terms, owner, weight, self.queries = [], [], [], []
-        for i, d in enumerate(docs):
-            t, tf = distinct(d)
-            w = idf[t] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(d) / max(mean, 1.0))))
-            terms.append(t)
-            owner.append(np.full(len(t), i, np.int32))
-            weight.append(w.astype(np.float32))
-            best = np.argpartition(-w, query_terms)[:query_terms] if query_terms is not None and len(t) > query_terms else np.arange(len(t))
-            self.queries.append(t[best])
-        terms, owner, weight = np.concatenate(terms), np.concatenate(owner), np.concatenate(weight)
-        order = np.argsort(terms, kind="stable")
-        self.owner, self.weight = owner[order], weight[order]
-        self.starts = np.searchsorted(terms[order], np.arange(len(idf) + 1))
-        self.n = len(docs)
+    """BM25 over the documents of one shard; a query has all terms of its document.
+
+    Terms that many documents hold are scored for all pairs by one matrix
+    product, the others by their posting lists."""
+
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
+        n = self.n = len(docs)
+        sizes = np.array([len(d) for d in docs])
+        doc, term, times = term_counts(np.concatenate(docs), sizes)
+        w = weights(doc, term, times, sizes, idf, mean)
+        _, term = np.unique(term, return_inverse=True)
+        held = np.bincount(term)
+        often = np.argsort(-held, kind="stable")[:MOST_DENSE]
+        often = often[held[often] * DENSE > n]
+        column = np.full(len(held), -1)
+        column[often] = np.arange(len(often))
+        dense = column[term] >= 0
+        matrix = np.zeros((n, len(often)), np.float32)
+        matrix[doc[dense], column[term[dense]]] = w[dense]
+        self.base = (matrix > 0).astype(np.float32) @ matrix.T
+        doc, term, w = doc[~dense], term[~dense], w[~dense]
+        self.terms, self.bounds = term, np.searchsorted(doc, np.arange(n + 1))
+        order = np.argsort(term, kind="stable")
+        self.owner, self.weight = doc[order], w[order]
+        self.sizes = np.bincount(term, minlength=len(held))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def scores(self, i: int) -> np.ndarray:
+        """Of all documents, for the terms of document i."""
+        terms = self.terms[self.bounds[i] : self.bounds[i + 1]]
+        at = gathered(np.arange(len(self.owner)), self.starts[terms], self.sizes[terms])
+        return self.base[i] + np.bincount(self.owner[at], self.weight[at], self.n)
 
     def neighbours(self, i: int, unused: np.ndarray):
-        """Unused documents that share a query term with i, best first."""
-        score = np.zeros(self.n, np.float32)
-        for t in self.queries[i].tolist():
-            a, z = self.starts[t], self.starts[t + 1]
-            score[self.owner[a:z]] += self.weight[a:z]
+        """Unused documents that share a term with i, best first."""
+        score = self.scores(i)
         score[~unused] = 0
         few = min(64, self.n)
         some = np.argpartition(-score, few - 1)[:few]
@@ -234,37 +279,43 @@ def pack(docs: list[np.ndarray], index: Index, window: int = WINDOW):
         seed = cut_one
 
 
-def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS) -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS, shard_ids: int = SHARD_IDS) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = path or vocabulary()
     kind = Ids(path).kind
     tokens = written(tokenised(docs, path, id_col, text_col), "tokens")
-    df, n, mean = document_frequencies(tokens, kind)
+    df, n, total = document_frequencies(tokens, kind)
+    mean = total / max(n, 1)
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast((idf, mean))
     id_type = docs.schema[id_col].dataType.simpleString()
-    shards = max(1, -(-n // shard_docs))
+    shards = max(1, -(-n // shard_docs), -(-total // shard_ids))
+    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
         idf, mean = shared.value
-        held, own = [], None
-        schema = None
+        held, size, own, before, kind_of_id = [], 0, None, 0, None
 
         def settle():
+            nonlocal before
             if not held:
                 return
             docs = [np.frombuffer(x, kind) for _, x in held]
-            rows = [(held[i][0], a, k, crc32(docs[i][a : a + k].astype("<u4").tobytes()), len(docs[i]), (own << 32) + s, o) for i, a, k, s, o in pack(docs, Index(docs, idf, mean, None), window)]
+            rows = [(held[i][0], a, k, crc32(docs[i][a : a + k].astype("<u4").tobytes()), len(docs[i]), (own << 32) + before + s, o) for i, a, k, s, o in pack(docs, Index(docs, idf, mean), window)]
+            before += rows[-1][5] - (own << 32) - before + 1
             cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], schema), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], kind_of_id), *(pa.array(c, pa.int64()) for c in cols[1:])], names=names)
 
         for b in batches:
-            schema = b.schema.field(1).type
-            for s, i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if s != own:
+            kind_of_id = b.schema.field(1).type
+            for s, i, x in zip(*(b.column(k).to_pylist() for k in range(3))):
+                # A range that came out too large makes several shards.
+                if s != own or len(held) >= 2 * shard_docs or size > 2 * shard_ids * kind.itemsize:
                     yield from settle()
-                    held, own = [], s
+                    before = before if s == own else 0
+                    held, size, own = [], 0, s
                 held.append((i, x))
+                size += len(x)
         yield from settle()
 
     out = dealt(tokens, kind, df, idf, mean, shards).mapInArrow(run, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
