@@ -10,13 +10,14 @@ precision.
 
 Vectors are only hashed with their label, so other labels never meet. Equal
 vectors are collapsed first. Each cell's vectors are dealt into blocks, pairs of
-blocks go to tasks, and a task multiplies blocks and returns one row for each
-vector that has links: how many, and the smallest id it is connected to there.
-No pair leaves a task, and no cell, however full, is gathered in one. A pair
+blocks go to tasks. There a first pass compares 64 signs of random projections
+and lets only rows with a likely partner go on; these alone are sent their
+vectors, and a task multiplies blocks and returns one row for each vector that
+has links: how many, and the smallest id it is connected to there. No pair leaves a task, and no cell, however full, is gathered in one. A pair
 that meets more than once is counted only at its first meeting in a fixed order.
 
-Defined cases: vectors that are null, zero, or hold null or non-finite components, and vectors without a label, link with
-nothing; vectors of different lengths never link; rows that repeat id, label
+Defined cases: vectors that are null, zero, or hold null or non-finite
+components, and vectors without a label, link with nothing; vectors of different lengths never link; rows that repeat id, label
 and vector count as one; an id that names several vectors is compared by one; rows without an id
 are returned unlinked; an empty table gives no rows.
 """
@@ -85,7 +86,8 @@ def cells(unit: np.ndarray, label: np.ndarray, tables: int = TABLES, probes: int
 
 
 def _labelled(table: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    vector = F.col(vector_col).cast("array<double>")
+    given = table.schema[vector_col].dataType.simpleString()
+    vector = F.col(vector_col) if given == "array<float>" else F.col(vector_col).cast("array<double>")
     sound = vector.isNotNull() & F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     return table.select(F.col(id_col).alias("id"), F.xxhash64(F.col(label_col), F.size(vector)).alias("label"), vector.alias("v"), F.coalesce(sound, F.lit(False)).alias("sound"))
 
@@ -101,6 +103,7 @@ def _meet(rows: pa.Table, least: float):
     h, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if not len(h) or not len(q):
         return None
+    v = v.astype(np.float64)
     norm = np.sqrt((v * v).sum(1))
     near = v[h] @ v[q].T / norm[h][:, None] / norm[q][None, :] >= least
     a, b = np.nonzero(near)
@@ -136,10 +139,60 @@ def _meet(rows: pa.Table, least: float):
     return ids[some], counted[some], root[some]
 
 
+def signs(unit: np.ndarray, seed: int = 12) -> np.ndarray:
+    """64 signs of random projections, as a number."""
+    ways = np.random.default_rng([seed, unit.shape[1]]).standard_normal((unit.shape[1], 64))
+    return np.packbits(unit @ ways > 0, axis=1).view(np.int64).reshape(-1)
+
+
+def groups_of(batches, keys: int, settle):
+    """Calls settle(key, rows) for each run of rows that agree in their first ``keys`` columns."""
+    rest, at = [], None
+    for b in batches:
+        ks = np.stack([b.column(i).to_numpy() for i in range(keys)])
+        ends = [*(np.flatnonzero((ks[:, 1:] != ks[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+        start = 0
+        for end in ends:
+            if end > start:
+                own = tuple(ks[:, start])
+                if own != at and rest:
+                    yield from settle(pa.Table.from_batches(rest).combine_chunks())
+                    rest = []
+                at = own
+                rest.append(b.slice(start, end - start))
+            start = end
+    if rest:
+        yield from settle(pa.Table.from_batches(rest).combine_chunks())
+
+
+def screened(dealt: DataFrame, least: float) -> DataFrame:
+    """The rows of ``dealt(key, hb, qb, id, home, side, bits)`` that may have a
+    link in their block pair, by their signs: two vectors at the threshold differ
+    in more signs than the bound with probability 1e-6 at most."""
+    p = np.arccos(least) / np.pi
+    bound = int(np.ceil(64 * p + 6 * np.sqrt(64 * p * (1 - p))))
+
+    def settle(t: pa.Table):
+        side, ids, bits = t["side"].to_numpy(), t["id"].to_numpy(), t["bits"].to_numpy().view(np.uint64)
+        h, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        keep = np.zeros(len(side), bool)
+        for a in range(0, len(h), 64):
+            x = h[a : a + 64]
+            near = (np.bitwise_count(bits[x][:, None] ^ bits[q][None]) <= bound) & (ids[x][:, None] != ids[q][None])
+            keep[x] = near.any(1)
+            keep[q] |= near.any(0)
+        yield from t.drop_columns(["bits"]).filter(pa.array(keep)).to_batches()
+
+    def run(batches):
+        return groups_of(batches, 3, settle)
+
+    return dealt.mapInArrow(run, "key long, hb long, qb long, id long, home boolean, side int")
+
+
 def linked(vectors: DataFrame, least: float = 0.98, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, block: int = BLOCK) -> DataFrame:
     """(id, n, root) rows from ``vectors(id, copies, label, v)``, ids unique:
     parts of each id's number of links, and an id it is connected to."""
-    held = pa.schema([("id", pa.int64()), ("homes", pa.list_(pa.int64())), ("probed", pa.list_(pa.int64()))])
+    held = pa.schema([("id", pa.int64()), ("homes", pa.list_(pa.int64())), ("probed", pa.list_(pa.int64())), ("bits", pa.int64())])
 
     def hashed(batches):
         for b in batches:
@@ -149,14 +202,14 @@ def linked(vectors: DataFrame, least: float = 0.98, tables: int = TABLES, probes
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             for size in np.unique(sizes):
                 some = np.flatnonzero(sizes == size)
-                x = flat[starts[some][:, None] + np.arange(size)]
-                top = np.abs(x).max(1)[:, None]
-                x = x / top
-                homes, probed = cells(x / np.sqrt((x * x).sum(1))[:, None], b.column(1).to_numpy()[some], tables, probes, scale)
+                x = flat[starts[some][:, None] + np.arange(size)].astype(np.float64)
+                x = x / np.abs(x).max(1)[:, None]
+                x = x / np.sqrt((x * x).sum(1))[:, None]
+                homes, probed = cells(x, b.column(1).to_numpy()[some], tables, probes, scale)
                 put = lambda a: pa.ListArray.from_arrays(np.arange(0, a.size + 1, a.size // len(a), dtype=np.int32), a.reshape(-1))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), put(homes), put(probed)], schema=held)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), put(homes), put(probed), pa.array(signs(x))], schema=held)
 
-    keys = cut(vectors.select("id", "label", "v").mapInArrow(hashed, "id long, homes array<long>, probed array<long>"))
+    keys = cut(vectors.select("id", "label", "v").mapInArrow(hashed, "id long, homes array<long>, probed array<long>, bits long"))
     places = keys.select("id", F.explode("homes").alias("key"), F.lit(True).alias("home")).unionByName(keys.select("id", F.explode("probed").alias("key"), F.lit(False).alias("home")))
     sizes = places.groupBy("key").agg(F.sum(F.col("home").cast("long")).alias("h"), F.count(F.lit(1)).alias("q")).where("h > 0 and q > 1")
     met = places.join(sizes, "key")
@@ -164,36 +217,19 @@ def linked(vectors: DataFrame, least: float = 0.98, tables: int = TABLES, probes
     # A row that lives in the cell is on both sides: once against each block of the other side.
     as_home = met.where("home").select("id", "key", "home", F.lit(0).alias("side"), cut_to("h", 0).alias("hb"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("q") / block) - 1)).alias("qb"))
     as_query = met.select("id", "key", "home", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("h") / block) - 1)).alias("hb"), cut_to("q", 1).alias("qb"))
-    dealt = as_home.unionByName(as_query)
-    full = vectors.select("id", "copies", "v").join(keys, "id")
+    # Vectors are not shipped until their signs say that a cell holds a likely partner.
+    narrow = as_home.unionByName(as_query).join(keys.select("id", "bits"), "id").select("key", "hb", "qb", "id", "home", "side", "bits")
+    dealt = cut(screened(narrow.repartition("key", "hb", "qb").sortWithinPartitions("key", "hb", "qb"), least))
+    full = vectors.select("id", "copies", "v").join(keys.drop("bits"), "id")
     dealt = dealt.join(full, "id").select("key", "hb", "qb", "id", "copies", "home", "side", "v", "homes", "probed")
     dealt = dealt.repartition("key", "hb", "qb").sortWithinPartitions("key", "hb", "qb")
     out = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
 
-    def compared(batches):
-        rest, at = [], None
-
-        def settle():
-            got = _meet(pa.Table.from_batches(rest).combine_chunks(), least) if rest else None
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], schema=out)
-
-        for b in batches:
-            ks = np.stack([b.column(i).to_numpy() for i in range(3)])
-            ends = [*(np.flatnonzero((ks[:, 1:] != ks[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
-            start = 0
-            for end in ends:
-                if end == start:
-                    continue
-                own = tuple(ks[:, start])
-                if own != at:
-                    yield from settle()
-                    rest, at = [], own
-                rest.append(b.slice(start, end - start))
-                start = end
-        yield from settle()
+    def settle(t: pa.Table):
+        if got := _meet(t, least):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], schema=out)
 
-    return dealt.mapInArrow(compared, "id long, n long, root long")
+    return dealt.mapInArrow(lambda batches: groups_of(batches, 3, settle), "id long, n long, root long")
 
 
 def embedding_groups(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, **how) -> DataFrame:
