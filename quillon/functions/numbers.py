@@ -33,6 +33,23 @@ def backoff(attempt: Column, base: float = 2.0, cap: float = 60.0) -> Column:
     return F.least(F.lit(cap), base * F.pow(F.lit(2.0), attempt - 1))
 
 
+def next_reset(ts: Column, reset_hour: int) -> Column:
+    """The next moment at which the quota begins anew, strictly after ``ts``."""
+    today = F.date_trunc("day", ts) + F.expr(f"make_dt_interval(0, {reset_hour % 24})")
+    return F.when(today > ts, today).otherwise(today + F.expr("make_dt_interval(1)"))
+
+
+def retry_after(header: Column, now: Column) -> Column:
+    """Seconds of a Retry-After header: a number, or the time until an HTTP date; never negative."""
+    date = F.try_to_timestamp(F.regexp_replace(header, "^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    return F.greatest(F.lit(0.0), F.coalesce(header.try_cast("double"), F.unix_seconds(date).cast("double") - F.unix_seconds(now)))
+
+
+def jittered(seconds: Column, key: Column, share: float = 0.25) -> Column:
+    """A wait made longer by up to ``share`` of it, by a hash of ``key``: the same on every rerun."""
+    return seconds * (1 + share * (F.pmod(F.xxhash64(key), F.lit(1000)) / 1000))
+
+
 def epoch_seconds(c: Column) -> Column:
     """Epochs beyond 1e11 are milliseconds."""
     return F.when(c > 1e11, c / 1000).otherwise(c)

@@ -82,3 +82,59 @@ def stub(name: Column) -> Column:
     """Three letters of a name that no table knows; UNK if it has none."""
     letters = F.upper(F.substring(F.regexp_replace(country_key(name), "[^A-Za-z]", ""), 1, 3))
     return F.when(F.coalesce(letters, F.lit("")) == "", "UNK").otherwise(letters)
+
+
+# Titles, presiding officers, what in brackets is no country, and long names of countries.
+TITLES = (
+    "Mr|Mrs|Ms|Miss|Mme|M|Dr|Sir|Dame|Lord|Lady|Baroness|Prince|Princess|Sheikh|Sheikha|Archbishop|Bishop|Cardinal|"
+    "Monsignor|Rabbi|Judge|Justice|President|Chief|Hon|Excellency|"
+    "(?:Major |Lieutenant |Brigadier |Rear |Vice )?(?:General|Admiral)|Colonel|Captain|Commander"
+)
+PRESIDING = r"(?i)^The\s+(Acting\s+|Temporary\s+|Vice-)?(President|Chair(man|person)?)\b"
+NO_COUNTRY = r"(?i)^\s*(spoke|continued|interpretation|in\s+(English|French|Arabic)|resumed)\b"
+BODY = r"(?i)\b(Department|Office|Secretariat|Division|Programme|Agency|Commission|Committee|Fund|Organization|United Nations)\b"
+SHORT_NAMES = {
+    "United Kingdom of Great Britain and Northern Ireland": "United Kingdom",
+    "United States of America": "United States",
+    "Bolivarian Republic of Venezuela": "Venezuela",
+    "Plurinational State of Bolivia": "Bolivia",
+    "Kingdom of the Netherlands": "Netherlands",
+    "Islamic Republic of Iran": "Iran",
+    "Observer State of Palestine": "State of Palestine",
+}
+
+
+def header_of(text: Column, longest: int = 220) -> Column:
+    """The speaker's header of a paragraph: what stands before a colon, if that
+    reads like a person with a title or a presiding officer; else null."""
+    at = F.call_function("locate", F.lit(":"), text)
+    head = F.trim(text.substr(F.lit(1), at - 1))
+    name = F.trim(F.regexp_replace(head, r"\([^()]*\)", ""))
+    person = name.rlike(PRESIDING) | name.rlike(r"(?i)^The Secretary-General\b") | name.rlike(rf"^(?:{TITLES})\b\.?\s+\S")
+    return F.when((at > 0) & (at <= longest + 1) & person, head)
+
+
+def surname(person: Column) -> Column:
+    """A name without its title."""
+    plain = F.regexp_replace(F.regexp_replace(person, r"\s+", " "), r"^[ .,]+|[ .,]+$", "")
+    return F.trim(F.regexp_replace(plain, rf"^(?:{TITLES})\.?\s+", ""))
+
+
+def speaker_of(header: Column, chair_country: Column | None = None, roster_country: Column | None = None) -> Column:
+    """A struct of name, country, language and role. Of the brackets, one says the
+    language, and the first that is neither a note nor a UN body the country; a
+    presiding officer's country comes from the cover, others' from the roster."""
+    inside = F.transform(F.regexp_extract_all(header, F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
+    name = F.regexp_replace(F.regexp_replace(F.regexp_replace(header, r"\([^()]*\)", ""), r"\s+", " "), r"^[ ,;:]+|[ ,;:]+$", "")
+    spoken = F.filter(F.transform(F.filter(inside, lambda p: p.rlike(NO_COUNTRY)), lambda p: F.regexp_extract(p, "(?i)spoke in ([A-Za-z]+)", 1)), lambda x: x != "")
+    named = F.get(F.filter(inside, lambda p: (p != "") & ~p.rlike(NO_COUNTRY) & ~p.rlike(BODY)), F.lit(0))
+    presides = name.rlike(PRESIDING)
+    none = F.lit(None).cast("string")
+    given = F.coalesce(named, F.when(presides, chair_country if chair_country is not None else none), roster_country if roster_country is not None else none, F.lit(""))
+    bare = F.regexp_replace(given, r"\s*\.\s*(Minister|Deputy|President|Prime|Secretary|Ambassador).*$", "")
+    bare = F.regexp_replace(bare, r"^[ .,]+|[ .,]+$", "")
+    short = F.create_map(*[F.lit(x) for pair in SHORT_NAMES.items() for x in pair])
+    country = F.coalesce(F.try_element_at(short, bare), bare)
+    role = F.when(presides, "president").when(country != "", "representative").otherwise("official/briefer")
+    language = F.coalesce(F.get(spoken, F.size(spoken) - 1), F.when(role == "official/briefer", "").otherwise("English"))
+    return F.struct(name.alias("name"), country.alias("country"), language.alias("language"), role.alias("role"))

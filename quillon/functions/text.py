@@ -141,3 +141,17 @@ def numbered(cell: Column) -> Column:
     parts = F.split(cell, r"(?m)^\s*(?=\d+\.\s)")
     clean = F.transform(parts, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"^\s*\d+\.\s*", ""), r"\s+", " ")))
     return F.filter(clean, lambda p: p != "")
+
+
+def citation(source: Column, names: dict[str, str]) -> Column:
+    """An attribution in one line, its country, in brackets at the end or after
+    the last comma, by its stated name in brackets; ``names`` are lower-case."""
+    plain = F.regexp_replace(collapse(source), "[,;]+$", "")
+    stated = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    known = lambda c: F.try_element_at(stated, F.lower(F.trim(c)))
+    bracket = F.regexp_extract(plain, r"\(([^)]+)\)$", 1)
+    head = F.regexp_replace(plain, r"\s*\([^)]+\)$", "")
+    last = F.regexp_extract(plain, r"^(.*),\s*([^,]+)$", 2)
+    rest = F.regexp_extract(plain, r"^(.*),\s*([^,]+)$", 1)
+    inside = F.concat(head, F.lit(" ("), F.coalesce(known(bracket), F.trim(bracket)), F.lit(")"))
+    return F.when(bracket != "", inside).when(known(last).isNotNull(), F.concat(rest, F.lit(" ("), known(last), F.lit(")"))).otherwise(plain)

@@ -106,3 +106,13 @@ def drop_equal(df: DataFrame, columns: list[str]) -> list[str]:
     same = df.agg(*[F.bool_and(F.col(a).eqNullSafe(F.col(b))).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
     gone = {b for i, (_, b) in enumerate(pairs) if same[f"p{i}"]}
     return [c for c in columns if c not in gone]
+
+
+def records(units: DataFrame, long: DataFrame, dimensions: list[str], key: str = "unit_id") -> DataFrame:
+    """One row per annotation of ``long(unit_id, annotation_index, dimension,
+    value, verified)`` with the dimensions, which a codebook lists, as columns;
+    missing ones and units without annotations say NONE."""
+    wide = long.groupBy(key, "annotation_index").agg(*[F.max(F.when(F.col("dimension") == d, F.col("value"))).alias(d) for d in dimensions], F.max("verified").alias("verified"))
+    out = units.join(wide, key, "left")
+    said = F.when(F.col("verified") == 1, "yes").when(F.col("verified") == 0, "NO").otherwise("")
+    return out.select(*units.columns, "annotation_index", *[F.coalesce(d, F.lit("NONE")).alias(d) for d in dimensions], said.alias("evidence_verified"))

@@ -70,3 +70,19 @@ def draw(frame: DataFrame, key: str, allocation: DataFrame, seed: int) -> DataFr
     at = W.partitionBy("stratum").orderBy(draw_order(key, seed), key)
     rows = held.withColumn("_r", F.row_number().over(at)).where("_r <= n_h")
     return rows.withColumn("pi", F.col("n_h") / F.col("size")).withColumn("weight", F.col("size") / F.col("n_h")).drop("_r")
+
+
+def quantile_of(rows: DataFrame, value: str, parts: int) -> Column:
+    """Which of ``parts`` quantiles a whole number lies in, as text: cut after the
+    (m i / parts)-th smallest of m. The cuts come from counts by value, which are
+    few for lengths in units; ``rows`` is read once for them."""
+    counts = rows.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")).orderBy("v").collect()  # a row for each length
+    total, seen, cuts = sum(r["c"] for r in counts), 0, []
+    for r in counts:
+        seen += r["c"]
+        while len(cuts) < parts and seen >= max(1, total * (len(cuts) + 1) // parts):
+            cuts.append(r["v"])
+    out = F.lit(str(parts - 1))
+    for i in range(len(cuts) - 1, -1, -1):
+        out = F.when(F.col(value) <= cuts[i], str(i)).otherwise(out)
+    return out
