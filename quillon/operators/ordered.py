@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -15,11 +17,24 @@ def inherit(df: DataFrame, group: list[str], order: list, hit: Column, carries:
     return df.withColumn(to, F.coalesce(F.last(told, ignorenulls=True).over(at), F.lit(False)))
 
 
-def runs(df: DataFrame, group: list[str], order: list, value: str, to: str = "run") -> DataFrame:
-    """Numbers the stretches of equal neighbouring values (gaps and islands)."""
-    at = W.partitionBy(*group).orderBy(*order)
-    new = (~F.col(value).eqNullSafe(F.lag(value).over(at)) | F.lag(F.lit(1)).over(at).isNull()).cast("int")
-    return df.withColumn("_new", new).withColumn(to, F.sum("_new").over(at.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+def runs(df: DataFrame, group: list[str], order: list, value: str, to: str = "run", slice_by: Column | None = None) -> DataFrame:
+    """Numbers the stretches of equal neighbouring values (gaps and islands).
+    ``slice_by`` never falls along the order: then each slice of a group is
+    numbered on its own, and the slices, as few as they are, are stitched, so that
+    a group with very many rows is many tasks."""
+    df = df.withColumn("_slice", F.lit(0) if slice_by is None else slice_by)
+    at = W.partitionBy(*group, "_slice").orderBy(*order)
+    new = (~F.col(value).eqNullSafe(F.lag(value).over(at)) & F.lag(F.lit(1)).over(at).isNotNull()).cast("int")
+    df = df.withColumn("_new", new).withColumn("_local", F.sum("_new").over(at.rowsBetween(W.unboundedPreceding, 0)))
+    place = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
+    ends = df.groupBy(*group, "_slice").agg(F.min_by(F.struct(value), place).alias("_first"), F.max_by(F.struct(value), place).alias("_last"), F.max("_local").alias("_k"))
+    over = W.partitionBy(*group).orderBy("_slice")
+    begins = (~F.col("_first").eqNullSafe(F.lag("_last").over(over)) | F.lag(F.lit(1)).over(over).isNull()).cast("int")
+    ends = ends.withColumn("_begins", begins + F.coalesce(F.lag("_k").over(over), F.lit(0)))
+    keys = [*group, "_slice"]
+    ends = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.sum("_begins").over(over.rowsBetween(W.unboundedPreceding, 0)).alias("_base"))
+    out = df.join(ends, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]))
+    return out.withColumn(to, F.col("_base") + F.col("_local")).drop("_slice", "_new", "_local", "_base", *[f"_k{i}" for i in range(len(keys))])
 
 
 def islands(df: DataFrame, group: list[str], order: list, starts: Column, to: str = "island") -> DataFrame:
@@ -67,15 +82,38 @@ def mode_of(df: DataFrame, group: list[str], value: str, to: str = "mode") -> Da
 def cut_points(df: DataFrame, value: str, parts: int) -> list:
     """Order statistics that cut sorted values in ``parts``: the value at
     position floor(n i / parts) for i = 1 .. parts - 1 (1-based)."""
-    n = df.where(F.col(value).isNotNull()).count()
-    if not n:
-        return []
-    at = [max(1, n * i // parts) for i in range(1, parts)]
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    below = F.sum("n").over(W.orderBy(value))
-    reach = counts.withColumn("below", below)
-    exprs = [F.min(F.when(F.col("below") >= k, F.col(value))).alias(f"c{i}") for i, k in enumerate(at)]
-    return list(reach.agg(*exprs).first())
+    known = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
+    n = known.count()
+    return kth_values(known, [max(1, n * i // parts) for i in range(1, parts)]) if n else []
+
+
+def kth_values(values: DataFrame, ranks: list[int], few: int = 10_000, bins: int = 512) -> list:
+    """The values (column v, numbers) at 1-based ranks: rounds of counts in
+    ``bins`` equal ranges narrow each rank to one range, and once a range holds
+    few different values these are counted. Only counts reach the driver."""
+    low, high = values.agg(F.min("v"), F.max("v")).first()
+    spans = {k: (float(low), float(high), k) for k in ranks}  # the range a rank lies in, and its rank there
+    found: dict[int, object] = {}
+    while len(found) < len(set(ranks)):
+        for k, (a, z, rank) in [x for x in spans.items() if x[0] not in found]:
+            inside = values.where(F.col("v").between(a, z))
+            counts = inside.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+            if a == z or counts.limit(few + 1).count() <= few:
+                for r in counts.orderBy("v").collect():  # few rows
+                    rank -= r["c"]
+                    if rank <= 0:
+                        found[k] = r["v"]
+                        break
+                continue
+            step = (z - a) / bins
+            part = F.least(F.floor((F.col("v") - a) / step), F.lit(bins - 1))
+            held = inside.groupBy(part.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("b").collect()  # a row for each range
+            for r in held:
+                if rank <= r["c"]:
+                    spans[k] = (float(r["low"]), float(r["high"]), rank)
+                    break
+                rank -= r["c"]
+    return [found[k] for k in ranks]
 
 
 def tercile(df: DataFrame, value: str, to: str, names: tuple[str, ...] = ("short", "medium", "long")) -> DataFrame:

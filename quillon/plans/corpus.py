@@ -130,7 +130,7 @@ _ISLANDS = f"WITH {UNITS}, a AS (SELECT country, unit_id, date, status, CASE WHE
 
 @query(_ISLANDS)
 def model_runs_islands(spark, sf):
-    r = od.runs(units(spark, sf), ["country"], ["date", "unit_id"], "status")
+    r = od.runs(units(spark, sf), ["country"], ["date", "unit_id"], "status", slice_by=F.trunc("date", "month"))
     return r.groupBy("country", "run").agg(F.min("status").alias("model"), F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.count(F.lit(1)).alias("n"))
 
 

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillon.functions import speech as sp
+from quillon.operators import ordered as od
 from quillon.operators import panel as pn
 from quillon.operators import phases as ph
 from quillon.operators import sampling as sm
@@ -127,3 +128,20 @@ def test_store_verbs(spark):
     assert {tuple(r) for r in two.select("run_id", "score").collect()} == {("r1", 7), ("r2", 8)}
     state = spark.range(5).select(st.attempt_state(F.col("id") == 4, F.col("id")).alias("s"))
     assert [r["s"] for r in state.collect()] == ["pending", "pending", "pending", "failed", "ok"]
+
+
+def test_runs_in_slices_and_ranks_by_rounds(spark):
+    r = random.Random(6)
+    rows = [(g, i, r.choice(["x", "y", None])) for g in ("a", "b", None) for i in range(120)]
+    df = spark.createDataFrame(rows, "g string, i int, v string")
+    whole = sorted((r["g"] or "", r["i"], r["run"]) for r in od.runs(df, ["g"], ["i"], "v").collect())
+    cut = sorted((r["g"] or "", r["i"], r["run"]) for r in od.runs(df, ["g"], ["i"], "v", slice_by=F.floor(F.col("i") / 7)).collect())
+    last, want = {}, []
+    for g, i, v in sorted(rows, key=lambda x: (x[0] or "", x[1])):
+        n, before = last.get(g, (0, object()))
+        last[g] = (n + (v != before), v)
+        want.append((g or "", i, last[g][0]))
+    assert whole == cut == want
+    numbers = [r.choice([r.random(), 0.5, r.randrange(9)]) for _ in range(500)]
+    values = spark.createDataFrame([(float(x),) for x in numbers], "v double")
+    assert od.kth_values(values, [1, 100, 250, 500], few=5, bins=4) == [sorted(numbers)[k - 1] for k in (1, 100, 250, 500)]
