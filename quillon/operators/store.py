@@ -70,7 +70,8 @@ def cleared(rows: DataFrame, deletions: DataFrame, key: list[str], at: str = "up
 def last_of(log: DataFrame, key: list[str], at: str, tie: str) -> DataFrame:
     """The last row of each key: what an upsert would have left."""
     rest = [c for c in log.columns if c not in key]
-    last = log.groupBy(*key).agg(F.max(F.struct(at, tie, *[c for c in rest if c not in (at, tie)])).alias("_last"))
+    held = list(dict.fromkeys([at, *([] if tie in key else [tie]), *rest]))
+    last = log.groupBy(*key).agg(F.max(F.struct(*held)).alias("_last"))
     return last.select(*key, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.streaming.jobs import prevalence_windows, quota_windows
+from quillon.streaming.jobs import drained, prevalence_windows, quota_windows
 
 from .base import query, table
 
@@ -25,23 +25,30 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-def _drained(df: DataFrame) -> DataFrame:
-    name = f"q{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode("complete").start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    return df.sparkSession.table(name)
+def _folder(spark: SparkSession) -> str:
+    """A folder of its own where all executors can write: under the checkpoint
+    folder the session names; a local one in local mode only."""
+    sc = spark.sparkContext
+    shared = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not shared and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    at = f"{shared or '/tmp/checkpoints/quillon'}/stream-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
+def _drained(df: DataFrame, keys: list[str]) -> DataFrame:
+    return drained(df, keys, _folder(df.sparkSession))
 
 
 @query("SELECT CAST(ts - INTERVAL 7 HOUR AS DATE) AS day, count(*) AS requests_used FROM events GROUP BY 1")
 def stream_quota(spark, sf):
-    out = _drained(quota_windows(_source(spark, sf, "events"), reset_hour=7))
+    out = _drained(quota_windows(_source(spark, sf, "events"), reset_hour=7), ["start"])
     return out.select(F.to_date(F.col("start") - F.expr("INTERVAL 7 HOURS")).alias("day"), "requests_used")
 
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_prevalence(spark, sf):
-    out = _drained(prevalence_windows(_source(spark, sf, "events"), "event_type"))
+    out = _drained(prevalence_windows(_source(spark, sf, "events"), "event_type"), ["start", "event_type"])
     return out.select(F.to_date("start").alias("day"), "event_type", "n")

@@ -53,10 +53,11 @@ SHEET_ROWS, CELL_CHARS, SHEET_NAME = 1_048_575, 32_767, 31
 
 
 def for_sheet(df: DataFrame, mark: str = " [cut]") -> DataFrame:
-    """Rows and texts that fit a sheet; cut cells say so."""
+    """Rows and texts that fit a sheet; cut cells say so. The first rows by all
+    columns stay, so that reruns agree."""
     texts = [c for c, t in df.dtypes if t == "string"]
     cut = {c: F.when(F.length(c) > CELL_CHARS, F.concat(F.substring(c, 1, CELL_CHARS - len(mark)), F.lit(mark))).otherwise(F.col(c)) for c in texts}
-    return df.withColumns(cut).limit(SHEET_ROWS)
+    return df.orderBy(*df.columns).limit(SHEET_ROWS).withColumns(cut)
 
 
 def sheet_name(name: str) -> str:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.store import last_of
+
 
 def quota_windows(attempts: DataFrame, ts: str = "ts", reset_hour: int = 0, late: str = "1 hour") -> DataFrame:
     """Requests per quota day: a tumbling day that begins at the reset hour."""
@@ -28,3 +30,22 @@ def start_worker(units: DataFrame, annotate: Callable[[DataFrame], DataFrame], l
         annotate(df).withColumn("attempt_id", F.lit(number)).write.mode("overwrite").parquet(f"{log}/batch={number}")
 
     return units.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def drained(stream: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Runs an aggregating stream over all that is there now and returns its last
+    state. Every batch writes the groups it changed as a table of its own under
+    ``at``, so nothing passes through the driver, and a batch that is run again
+    replaces itself; of each group the last batch's row counts."""
+
+    def put(df: DataFrame, number: int) -> None:
+        df.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{at}/rows/part={number}")
+
+    q = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+    finally:
+        q.stop()
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields), "batch long", "part long"])
+    rows = stream.sparkSession.read.schema(schema).parquet(f"{at}/rows").drop("part")
+    return last_of(rows, keys, "batch", keys[0]).drop("batch").select(*stream.columns)
