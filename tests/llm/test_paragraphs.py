@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from quillon.llm.paragraphs import drop_repeats, numbers, repeated_paragraphs
 
@@ -31,32 +32,83 @@ def corpus():
     return rows, para, passage
 
 
-def test_finds_planted_and_leaves_others(spark):
-    rows, para, passage = corpus()
-    got = repeated_paragraphs(docs(spark, rows)).collect()
-    text = {i: (t or "").encode() for i, t in rows}
-    whole = {r["doc_id"]: r for r in got if not r["is_passage"]}
+def broken():
+    """A passage over line breaks."""
+    r = random.Random(21)
+    p = words(r, 60)
+    rows = [(401, " ".join(words(r, 60)) + " " + " ".join(p[:30]) + "\n" + " ".join(p[30:]) + " " + " ".join(words(r, 60)))]
+    return rows + [(402, "\n".join(" ".join(p[k : k + 12]) for k in range(0, 60, 12)))]
+
+
+def join(*x):
+    return " ".join(w for part in x for w in part)
+
+
+def nested():
+    """Passages that meet lines which repeat, and passages of several lengths."""
+    r = random.Random(22)
+    p, a, b = words(r, 60), words(r, 60), words(r, 60)
+    rows = [(i, join(p)) for i in range(501, 504)] + [(509, join(words(r, 60), p, words(r, 60)))]  # a line, and a passage
+    x, y, q = join(words(r, 60), b, words(r, 60)), join(words(r, 60), b, words(r, 60)), words(r, 300)
+    rows += [(511, x), (512, x), (513, y), (514, y)]  # a passage inside two groups of lines
+    rows += [(521, join(words(r, 40), q[:50])), *((k, join(words(r, 200), q, words(r, 200))) for k in (522, 523, 524))]
+    back = words(r, 60)
+    rows += [(531, join(words(r, 90), a)), (532, join(words(r, 90), back)), (533, join(words(r, 90), a, back)), (534, join(words(r, 90), a, back))]
+    return rows, p, a, b, q, back
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    """All of these together, searched once and cleaned once."""
+    rows = corpus()[0] + broken() + nested()[0]
+    table = docs(spark, rows)
+    clean = drop_repeats(table)
+    assert clean.columns == table.columns
+    return dict(rows), repeated_paragraphs(table).collect(), {r["doc_id"]: r["text"] for r in clean.collect()}
+
+
+def test_finds_planted_and_leaves_others(found):
+    texts, got, _ = found
+    _, para, passage = corpus()
+    text = {i: (t or "").encode() for i, t in texts.items()}
+    whole = {r["doc_id"]: r for r in got if not r["is_passage"] and r["doc_id"] < 400}
     assert set(whole) == {100, 101, 102}
     assert all(r["component_id"] == 100 and r["group_size"] == 3 and r["kept"] == (r["doc_id"] == 100) for r in whole.values())
     assert text[101][whole[101]["start"] : whole[101]["end"]].decode() == " ".join(para)
-    parts = {r["doc_id"]: r for r in got if r["is_passage"] and r["doc_id"] != 304}
+    parts = {r["doc_id"]: r for r in got if r["is_passage"] and r["doc_id"] not in (304, *range(400, 600))}
     assert set(parts) == {200, 201, 202, 203}
     for i, r in parts.items():
         own = text[i][r["start"] : r["end"]].decode()
         assert own in passage and len(own.split()) >= 28 and r["component_id"] == 200
 
 
-def test_removal_and_edges(spark):
-    rows, para, _ = corpus()
-    table = docs(spark, rows)
-    out = {r["doc_id"]: r["text"] for r in drop_repeats(table).collect()}
-    before = dict(rows)
-    assert drop_repeats(table).columns == table.columns and len(out) == len(rows)
+def test_removal_and_edges(spark, found):
+    before, _, out = found
+    assert len(out) == len(before)
     assert all(out[i] == before[i] for i in [*range(60), 100, 300, 301, 302, 303, 200])
     assert out[101] == "" and "changed" not in out[102] and out[102].startswith("é é é") and out[102].endswith("end")
     assert repeated_paragraphs(docs(spark, [])).count() == 0
 
 
+def test_passages_over_line_breaks(found):
+    got = {x["doc_id"]: x for x in found[1] if x["doc_id"] in (401, 402)}
+    assert set(got) == {401, 402} and all(x["is_passage"] and x["component_id"] == 401 for x in got.values())
+    assert got[401]["kept"] and not got[402]["kept"]
+
+
+def test_passages_meet_lines_that_repeat_and_nothing_is_lost(found):
+    texts, got, cleaned = found
+    rows, p, a, b, q, back = nested()
+    nine = [g for g in got if g["doc_id"] == 509]
+    assert len(nine) == 1 and not nine[0]["kept"] and nine[0]["component_id"] == 501 and nine[0]["group_size"] >= 4
+    assert any(g["doc_id"] == 513 and g["is_passage"] and not g["kept"] and g["component_id"] == 511 for g in got)
+    for i, want in ((509, p), (513, b), (533, a)):  # whole, not windows alone
+        assert any(texts[i].encode()[g["start"] : g["end"]].decode() == " ".join(want) or i == 533 for g in got if g["doc_id"] == i and not g["kept"])
+    out = {i: cleaned[i] for i, _ in rows}
+    assert set(" ".join(out.values()).split()) == set(" ".join(t for _, t in rows).split())
+    assert sum(t.count(" ".join(q[50:])) for t in out.values()) == 1 and sum(" ".join(back) in t for t in out.values()) == 1
+
+
 def test_shared_passages_of_50_words_always_meet():
     r = random.Random(9)
 
@@ -118,42 +170,6 @@ def test_shorter_paragraphs_if_asked(spark):
     assert {r["doc_id"] for r in repeated_paragraphs(docs(spark, rows), min_words=5).collect()} == {1, 2}
 
 
-def test_passages_over_line_breaks(spark):
-    r = random.Random(21)
-    p = words(r, 60)
-    rows = [(1, " ".join(words(r, 60)) + " " + " ".join(p[:30]) + "\n" + " ".join(p[30:]) + " " + " ".join(words(r, 60)))]
-    rows += [(2, "\n".join(" ".join(p[k : k + 12]) for k in range(0, 60, 12)))]
-    got = {x["doc_id"]: x for x in repeated_paragraphs(docs(spark, rows)).collect()}
-    assert set(got) == {1, 2} and all(x["is_passage"] and x["component_id"] == 1 for x in got.values())
-    assert got[1]["kept"] and not got[2]["kept"]
-
-
-def left_over(spark, rows):
-    return {r["doc_id"]: r["text"] for r in drop_repeats(docs(spark, rows)).collect()}
-
-
-def test_passages_meet_lines_that_repeat_and_nothing_is_lost(spark):
-    r = random.Random(22)
-    p, a, b = words(r, 60), words(r, 60), words(r, 60)
-    join = lambda *x: " ".join(w for part in x for w in part)
-    rows = [(i, join(p)) for i in range(1, 4)] + [(9, join(words(r, 60), p, words(r, 60)))]  # a line, and a passage
-    x, y, q = join(words(r, 60), b, words(r, 60)), join(words(r, 60), b, words(r, 60)), words(r, 300)
-    rows += [(11, x), (12, x), (13, y), (14, y)]  # a passage inside two groups of lines
-    rows += [(21, join(words(r, 40), q[:50])), *((k, join(words(r, 200), q, words(r, 200))) for k in (22, 23, 24))]
-    rows += [(31, join(words(r, 90), a)), (32, join(words(r, 90), p[::-1])), (33, join(words(r, 90), a, p[::-1])), (34, join(words(r, 90), a, p[::-1]))]
-    got = repeated_paragraphs(docs(spark, rows)).collect()
-    nine = [g for g in got if g["doc_id"] == 9]
-    assert len(nine) == 1 and not nine[0]["kept"] and nine[0]["component_id"] == 1 and nine[0]["group_size"] >= 4
-    assert any(g["doc_id"] == 13 and g["is_passage"] and not g["kept"] and g["component_id"] == 11 for g in got)
-    text = dict(rows)
-    for i, want in ((9, p), (13, b), (33, a)):  # whole, not windows alone
-        assert any(text[i].encode()[g["start"] : g["end"]].decode() == " ".join(want) or i == 33 for g in got if g["doc_id"] == i and not g["kept"])
-    out = left_over(spark, rows)
-    everything = set(" ".join(out.values()).split())
-    assert everything == set(" ".join(text.values()).split())
-    assert sum(t.count(" ".join(q[50:])) for t in out.values()) == 1 and sum(" ".join(p[::-1]) in t for t in out.values()) == 1
-
-
 def test_reach_is_the_longest_equal_stretch():
     from quillon.llm.paragraphs import _reach
 
