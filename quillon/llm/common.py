@@ -24,18 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where that is
-    unset (tests, local mode), a folder of our own."""
+    """The folder all executors share: spark.checkpoint.dir, or, in local mode
+    (tests), a folder of our own. A cluster without one is refused."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         given = sc.getConf().get("spark.checkpoint.dir")
-        if not given:
-            local = sc.master.startswith("local[") or sc.master == "local"
-            given = "/tmp/checkpoints/quillon" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        sc.setCheckpointDir(given)
+        if not given and not (sc.master.startswith("local[") or sc.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(given or "/tmp/checkpoints/quillon")
+        _gone_at_exit(spark, sc.getCheckpointDir())
     return sc.getCheckpointDir()
 
 
+def _gone_at_exit(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -48,9 +53,10 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Hints a broadcast only if ``df`` (already materialised) has few rows;
     otherwise the planner is left to shuffle."""
+    rows = BROADCAST_ROWS if rows is None else rows
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -163,8 +169,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    _gone_at_exit(spark, at)
     out = spark.read.schema(df.schema).parquet(at)
     out.written_at = at
     return out

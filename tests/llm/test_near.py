@@ -117,3 +117,26 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(301)) and all(got[1000 + i] == 1000 for i in range(500))
     assert all(got[a] == got[b] for a, b in edges if a != b)
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_without_broadcasts(spark, monkeypatch):
+    """Above the bound on broadcasts the same rows come out."""
+    from quillon.llm import common
+    from quillon.llm.exact_dedup import exact_groups
+
+    r = random.Random(7)
+    base = [f"w{r.randrange(900)}" for _ in range(60)]
+    rows = [(k, varied(r, base, k % 9)) for k in range(60)] + [(100 + k, " ".join(base)) for k in range(20)] + [(200, None), (201, "x y")]
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert found(mh.near_groups(docs(spark, rows))) == brute(rows)
+    text = {i: t or "" for i, t in rows}
+    for x in exact_groups(docs(spark, rows)).collect():
+        assert x["keep_id"] == max(i for i, t in text.items() if t == text[x["doc_id"]])
+
+
+def test_ids_of_any_type_and_repeated_ids(spark):
+    texts = ["a b c d e f g", "a b c d e f g", "q w e r t y u i", "q w e r t y u i o p a s d f g h j k l", None]
+    table = spark.createDataFrame([("k2", texts[0]), ("k1", texts[1]), ("k3", texts[2]), ("k3", texts[3]), ("k4", texts[4])], "doc_id string, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in mh.near_groups(table).collect())
+    assert got == [("k1", 3, "k1", True), ("k2", 3, "k1", False), ("k3", 4, "k3", True), ("k3", 15, "k3", True), ("k4", 0, "k4", True)]
+    assert sorted(r["doc_id"] for r in mh.drop_near_copies(table).collect()) == ["k1", "k3", "k3", "k4"]
