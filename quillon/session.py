@@ -16,6 +16,7 @@ def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> Spark
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         "spark.driver.host": "127.0.0.1",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     for k, v in settings.items():
         b = b.config(k, v)
