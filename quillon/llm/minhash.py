@@ -126,15 +126,16 @@ def full_sets(items: DataFrame, id_col: str, text_col: str, width: int = WIDTH)
     return items.select(id_col, text_of(text_col).alias("t")).mapInArrow(run, "id long, s binary")
 
 
-def sketched_sets(sets: DataFrame, bins: int, bands: int, rows: int, mask: int) -> DataFrame:
-    """(id, n, bands, sig, mask) of sets(id, s)."""
+def sketched_sets(sets: DataFrame, bins: int, bands: int, rows: int, mask: int, finer: int) -> DataFrame:
+    """(id, n, bands, sig, mask) of sets(id, s); sig has ``finer`` coordinates."""
 
     def run(batches):
         for b in batches:
             for a, z in slices(pc.binary_length(b.column(1)).to_pylist(), BATCH_BYTES):
                 own = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1).slice(a, z - a)]
-                n, _, _, *rest = sketch_columns(own, bins, bands, rows, mask)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), n, *rest], names=["id", "n", "bands", "sig", "mask"])
+                n, _, _, keys, _, masks = sketch_columns(own, bins, bands, rows, mask)
+                sig = pa.array([x.tobytes() for x in sketches(own, finer).astype(np.uint8)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), n, keys, sig, masks], names=["id", "n", "bands", "sig", "mask"])
 
     return sets.select("id", "s").mapInArrow(run, "id long, n long, bands array<long>, sig binary, mask binary")
 

@@ -54,7 +54,7 @@ from .common import Bits, components, cut, discard, sieve, sifted, small, text_o
 
 MIN_WORDS = 20
 WINDOW, SPAN = 28, 21
-BINS, BANDS, ROWS, MASK = 32, 12, 2, 512
+BINS, BANDS, ROWS, MASK, FINER = 32, 12, 2, 1024, 256
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: The columns of the table of numbers, each a blob of one kind, and its part.
 NUMBERS = {"l_start": "<i4", "l_end": "<i4", "l_node": "<i8", "l_keys": "<i8", "w_start": "<i4", "w_stop": "<i4", "w_rest": "<i4", "w_end": "<i4", "w_digest": "<i8"}
@@ -203,9 +203,10 @@ def _repeated_lines(docs: DataFrame, table: DataFrame, least: int) -> DataFrame:
     line = F.expr("substring(cast(text as binary), a + 1, z - a)").cast("string")
     own = some.join(small(places), "doc").select(F.col("node").alias("id"), line.alias("text"))
     sets = cut(mh.full_sets(own, "id", "text").dropDuplicates(["id"]))
-    pairs = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    items_of = lambda ids: mh.sketched_sets(sets.join(ids, "id", "left_semi"), BINS, BANDS, ROWS, MASK)
-    comps = mh.settled(members, pairs, sets, items_of, least, BINS)
+    # A pair that meets its leader once is left to the next step, which takes up whatever is still open in a bucket.
+    pairs = members.where("id <> lead").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).count().where("count > 1").select("a", "b")
+    items_of = lambda ids: mh.sketched_sets(sets.join(ids, "id", "left_semi"), BINS, BANDS, ROWS, MASK, FINER)
+    comps = mh.settled(members, pairs, sets, items_of, least, FINER)
     equal = _repeated(table, "l_node").withColumnRenamed("value", "id")
     named = cut(equal.join(comps, "id", "full").select("id", F.coalesce("component", "id").alias("component")))
     named = named.withColumnRenamed("id", "node")
@@ -319,18 +320,17 @@ def _contexts(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
     return some.join(asked, "doc").mapInArrow(run, "doc long, left boolean, at int, bound int, around binary")
 
 
+_PREFIX = [re.compile(rb"[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}[^\x20\x09-\x0D]+" % max(0, n - 1)) for n in range(256)]
+
+
 def _reach(own: bytes, other: bytes, left: bool, words: int) -> tuple[int, int, int]:
-    """How many words, at most ``words``, two texts share from the end (left) or
-    the beginning on, and their bytes in both."""
-    a, b = ([(*m.span(), m.group().translate(scan.LOWER)) for m in _WORD.finditer(x)] for x in (own, other))
+    """How many words, at most ``words`` (under 256), two texts share from the
+    end (left) or the beginning on, and their bytes in both."""
     if left:
-        a.reverse(), b.reverse()
-    n = 0
-    while n < min(len(a), len(b), words) and a[n][2] == b[n][2]:
-        n += 1
-    if not n:
-        return 0, 0, 0
-    return (n, len(own) - a[n - 1][0], len(other) - b[n - 1][0]) if left else (n, a[n - 1][1], b[n - 1][1])
+        own, other = own[::-1], other[::-1]
+    a, b = (x.translate(scan.LOWER).split(None, words)[:words] for x in (own, other))
+    n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return (n, _PREFIX[n].match(own).end(), _PREFIX[n].match(other).end()) if n else (0, 0, 0)
 
 
 def _extended(docs: DataFrame, removed: DataFrame, window: int, span: int) -> DataFrame:
