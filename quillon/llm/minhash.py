@@ -127,7 +127,7 @@ def full_sets(items: DataFrame, id_col: str, text_col: str, width: int = WIDTH)
 
 
 def sketched_sets(sets: DataFrame, bins: int, bands: int, rows: int, mask: int, finer: int) -> DataFrame:
-    """(id, n, bands, sig, mask) of sets(id, s); sig has ``finer`` coordinates."""
+    """(id, n, bands, sig, mask, s) of sets(id, s); sig has ``finer`` coordinates."""
 
     def run(batches):
         for b in batches:
@@ -135,9 +135,9 @@ def sketched_sets(sets: DataFrame, bins: int, bands: int, rows: int, mask: int,
                 own = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1).slice(a, z - a)]
                 n, _, _, keys, _, masks = sketch_columns(own, bins, bands, rows, mask)
                 sig = pa.array([x.tobytes() for x in sketches(own, finer).astype(np.uint8)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), n, keys, sig, masks], names=["id", "n", "bands", "sig", "mask"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), n, keys, sig, masks, b.column(1).slice(a, z - a)], names=["id", "n", "bands", "sig", "mask", "s"])
 
-    return sets.select("id", "s").mapInArrow(run, "id long, n long, bands array<long>, sig binary, mask binary")
+    return sets.select("id", "s").mapInArrow(run, "id long, n long, bands array<long>, sig binary, mask binary, s binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, least: int = 75) -> DataFrame:
@@ -147,11 +147,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: int = 75) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([p, q])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= least * (len(p) + len(q) - shared))
+                keep.append(_meets(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     held = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b")
@@ -184,19 +180,47 @@ def _likely(rows: dict[str, np.ndarray], least: int, floor: float, band: int):
         p, q = rows["mask"][a], rows["mask"][b]
         most = np.minimum(n[a] - np.bitwise_count(p & ~q).sum(1, dtype=np.int64), n[b] - np.bitwise_count(q & ~p).sum(1, dtype=np.int64))
         may = 100 * most >= least * (n[a] + n[b] - most)
-        a, b = a[may], b[may]
-        yield np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+        yield a[may], b[may]
+
+
+def _enough(pairs, c: np.ndarray, sets: list[np.ndarray], least: int):
+    """Of pairs of rows those that join components ``c`` not joined before, each
+    confirmed on the full sets: as many links as it takes, and no more."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    for a, b in pairs:
+        for i, j in zip(a.tolist(), b.tolist()):
+            x, y = find(int(c[i])), find(int(c[j]))
+            if x != y and _meets(sets[i], sets[j], least):
+                parent[max(x, y)] = min(x, y)
+                yield i, j
+
+
+def _meets(p: np.ndarray, q: np.ndarray, least: int) -> bool:
+    both = np.concatenate([p, q])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= least * (len(p) + len(q) - shared)
 
 
 def likely_pairs(open_: DataFrame, items: DataFrame, least: int, bins: int, block: int = BLOCK) -> DataFrame:
     """(a, b): pairs worth confirming among ``open_(key, id, c, m)``, the members
-    of buckets that hold several components."""
+    of buckets that hold several components. If ``items`` has the full sets (s),
+    they are confirmed on the spot, and of a block pair only those leave that join
+    components."""
+    whole = "s" in items.columns
+    held = ["n", "bands", "sig", "mask", *(["s"] if whole else [])]
     floor = least / 100 - 4.5 * (least / 100 * (1 - least / 100) / bins) ** 0.5
     blocks = F.ceil(F.col("m") / block)
     dealt = open_.withColumn("own", F.pmod(F.xxhash64("id", "key"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
     dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "c", side.alias("side"))
-    dealt = dealt.join(items.select("id", "n", "bands", "sig", "mask"), "id").select("key", "x", "y", "id", "c", "side", "n", "bands", "sig", "mask")
+    dealt = dealt.join(items.select("id", *held), "id").select("key", "x", "y", "id", "c", "side", *held)
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -210,8 +234,13 @@ def likely_pairs(open_: DataFrame, items: DataFrame, least: int, bins: int, bloc
                 rows["bands"] = t["bands"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
                 for c in ("sig", "mask"):
                     rows[c] = np.frombuffer(b"".join(t[c].to_pylist()), np.uint8).reshape(t.num_rows, -1)
-                for a, b in _likely(rows, least, floor, int((rows["bands"][0] == at[0]).argmax())):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=out)
+                found = _likely(rows, least, floor, int((rows["bands"][0] == at[0]).argmax()))
+                if whole:
+                    links = list(_enough(found, rows["c"], [np.frombuffer(x, np.uint64) for x in t["s"].to_pylist()], least))
+                    found = [tuple(np.array(links, np.int64).reshape(-1, 2).T)]
+                for a, b in found:
+                    a, b = rows["id"][a], rows["id"][b]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=out)
 
         for b in batches:
             ks = np.stack([b.column(i).to_numpy() for i in range(3)])
@@ -245,14 +274,16 @@ def buckets(items: DataFrame) -> DataFrame:
 def settled(members: DataFrame, pairs: DataFrame, sets: DataFrame, items_of, least: int, bins: int) -> DataFrame:
     """(id, component) of the linked ids. ``members(key, id, m)`` are the
     buckets, ``pairs(a, b)`` their leaders with members, ``sets(id, s)`` the
-    full sets; ``items_of(ids)`` gives (id, n, bands, sig, mask)."""
+    full sets; ``items_of(ids)`` gives (id, n, bands, sig, mask), and s where sets
+    are small enough to travel."""
     links = cut(confirmed(pairs, sets, least))
     comps = cut(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
     open_ = members.select("key", "id", "m").join(small(comps), "id", "left").withColumn("c", F.coalesce("component", "id"))
     mixed = open_.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     open_ = cut(open_.select("key", "id", "m", "c").join(small(cut(mixed)), "key"))
     items = items_of(open_.select("id").distinct())
-    more = confirmed(cut(likely_pairs(open_, items, least, bins)), sets, least)
+    more = cut(likely_pairs(open_, items, least, bins))
+    more = more if "s" in items.columns else confirmed(more, sets, least)
     links = cut(links.unionByName(more))
     return cut(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
 

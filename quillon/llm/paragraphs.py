@@ -203,8 +203,9 @@ def _repeated_lines(docs: DataFrame, table: DataFrame, least: int) -> DataFrame:
     line = F.expr("substring(cast(text as binary), a + 1, z - a)").cast("string")
     own = some.join(small(places), "doc").select(F.col("node").alias("id"), line.alias("text"))
     sets = cut(mh.full_sets(own, "id", "text").dropDuplicates(["id"]))
-    # A pair that meets its leader once is left to the next step, which takes up whatever is still open in a bucket.
-    pairs = members.where("id <> lead").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).count().where("count > 1").select("a", "b")
+    # Each paragraph is compared with the leader that it meets most often; the next step takes up whatever is still open in a bucket.
+    met = members.where("id <> lead").groupBy("id", "lead").count()
+    pairs = met.groupBy(F.col("id").alias("b")).agg(F.min(F.struct((-F.col("count")).alias("k"), "lead"))["lead"].alias("a")).select("a", "b")
     items_of = lambda ids: mh.sketched_sets(sets.join(ids, "id", "left_semi"), BINS, BANDS, ROWS, MASK, FINER)
     comps = mh.settled(members, pairs, sets, items_of, least, FINER)
     equal = _repeated(table, "l_node").withColumnRenamed("value", "id")
