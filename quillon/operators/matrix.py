@@ -115,4 +115,5 @@ def records(units: DataFrame, long: DataFrame, dimensions: list[str], key: str =
     wide = long.groupBy(key, "annotation_index").agg(*[F.max(F.when(F.col("dimension") == d, F.col("value"))).alias(d) for d in dimensions], F.max("verified").alias("verified"))
     out = units.join(wide, key, "left")
     said = F.when(F.col("verified") == 1, "yes").when(F.col("verified") == 0, "NO").otherwise("")
-    return out.select(*units.columns, "annotation_index", *[F.coalesce(d, F.lit("NONE")).alias(d) for d in dimensions], said.alias("evidence_verified"))
+    number = F.coalesce(F.col("annotation_index").cast("string"), F.lit(""))
+    return out.select(*units.columns, number.alias("annotation_index"), *[F.coalesce(d, F.lit("NONE")).alias(d) for d in dimensions], said.alias("evidence_verified"))

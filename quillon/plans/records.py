@@ -58,7 +58,7 @@ def roster(spark, sf):
 
 
 @query(f"""WITH {UNITS}, {ANN}, a AS (SELECT unit_id, annotation_index, returnflag, CASE WHEN linestatus = 'F' THEN linestatus END AS linestatus, verified FROM ann WHERE returnflag <> 'N')
-SELECT u.unit_id, u.speech_id, CAST(annotation_index AS INTEGER) AS annotation_index, coalesce(returnflag, 'NONE') AS returnflag, coalesce(linestatus, 'NONE') AS linestatus,
+SELECT u.unit_id, u.speech_id, coalesce(CAST(annotation_index AS VARCHAR), '') AS annotation_index, coalesce(returnflag, 'NONE') AS returnflag, coalesce(linestatus, 'NONE') AS linestatus,
   CASE verified WHEN 1 THEN 'yes' WHEN 0 THEN 'NO' ELSE '' END AS evidence_verified
 FROM units u LEFT JOIN a ON u.unit_id = a.unit_id WHERE u.status <> 'P'""")
 def pilot_records(spark, sf):
