@@ -36,7 +36,8 @@ from .scan import Vocabulary, blobs, gathered, parts, slices, unblobbed
 WINDOW, END = 2048, 1
 SHARD_DOCS, SHARD_IDS = 2048, 1 << 22
 K1, B = 1.2, 0.75
-KEPT_PIECES = 600_000
+#: Pieces and words that a worker remembers; they stay with it from task to task.
+KEPT_PIECES, KEPT_WORDS = 200_000, 1_000_000
 BATCH_BYTES = 4 << 20
 #: Terms that more than one in DENSE documents of a shard hold are scored as one matrix product, MOST_DENSE at most.
 DENSE, MOST_DENSE = 16, 1024
@@ -51,32 +52,31 @@ class Ids:
         self.pieces = Pieces(path)
         self.kind = np.dtype("<u2" if self.pieces.lib.get_vocab_size() < 1 << 16 else "<u4")
         self.symbols = str.maketrans({chr(b): s for b, s in enumerate(byte_symbols())})
-        self.words, self.known = Vocabulary(self._learn, self.kind), {}
+        self.words, self.known = Vocabulary(self._learn, self.kind, KEPT_WORDS), {}
 
     def _encode(self, text: str) -> list[int]:
         return self.pieces.lib.encode(text, add_special_tokens=False).ids
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         symbols = piece.encode("utf-8").decode("latin-1").translate(self.symbols)
-        return [t.id for t in self.pieces.lib.model.tokenize(symbols)]
+        return np.array([t.id for t in self.pieces.lib.model.tokenize(symbols)], self.kind).tobytes()
 
-    def _learn(self, words: list[bytes]) -> tuple[list[int], np.ndarray]:
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) >= KEPT_PIECES:
             self.known.clear()
         known, values, sizes = self.known, [], []
         texts = [w.decode("utf-8").lower() for w in words]
         for w, own in zip(words, self.pieces.split_plain(texts)):
-            before = len(values)
             if own is None:
-                values += self._encode(w.decode("utf-8"))
+                got = np.array(self._encode(w.decode("utf-8")), self.kind).tobytes()
             else:
                 for p in own:
-                    got = known.get(p)
-                    if got is None:
-                        got = known[p] = self._piece(p)
-                    values += got
-            sizes.append(len(values) - before)
-        return values, np.array(sizes, np.int64)
+                    if p not in known:
+                        known[p] = self._piece(p)
+                got = b"".join([known[p] for p in own])
+            values.append(got)
+            sizes.append(len(got) // self.kind.itemsize)
+        return np.frombuffer(b"".join(values), self.kind), np.array(sizes, np.int64)
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, each with the end id, and their numbers."""
