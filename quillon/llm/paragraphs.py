@@ -407,6 +407,12 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per repeated paragraph or passage: id, start, end (bytes of the
     UTF-8 text, end exclusive), is_passage, component_id and component_start
     (the component's first place), group_size (places), kept."""
+    return _repeats(docs, id_col, text_col, min_words, window, span, least).drop("doc")
+
+
+def _repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS, window: int = WINDOW, span: int = SPAN, least: int = 75) -> DataFrame:
+    """The rows of ``repeated_paragraphs`` with doc, the hash that tells rows of
+    one id and different texts apart."""
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("doc", F.xxhash64("id", "text"))
     table = written(_table(rows, min_words, window, span), "numbers")
     whole = _repeated_lines(rows, table, least)
@@ -418,16 +424,18 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = cut(named.withColumn("passage", F.lit(False)).unionByName(parts.withColumn("passage", F.lit(True))))
     groups = found.groupBy("node").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("group_size"))
     out = found.join(small(cut(groups)), "node")
-    return out.select(F.col("id").alias(id_col), "start", "end", F.col("passage").alias("is_passage"), F.col("first.id").alias("component_id"), F.col("first.start").alias("component_start"), "group_size", "kept")
+    return out.select("doc", F.col("id").alias(id_col), "start", "end", F.col("passage").alias("is_passage"), F.col("first.id").alias("component_id"), F.col("first.start").alias("component_start"), "group_size", "kept")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with the removals cut out of the text; other columns as they
-    were, whatever their names."""
+    were, whatever their names. Removals belong to an id together with its text:
+    rows of one id, or without an id, lose their own repeats only."""
     plain, name = unnamed(docs)
-    told = repeated_paragraphs(plain.select(F.col(name(id_col)).alias("doc_id"), F.col(name(text_col)).alias("text")), **how)
-    spans = told.where("not kept").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    held = plain.join(spans, plain[name(id_col)] == spans["doc_id"], "left")
+    told = _repeats(plain, name(id_col), name(text_col), **how)
+    spans = told.where("not kept").groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    held = plain.withColumn("own", F.xxhash64(F.col(name(id_col)), text_of(name(text_col))))
+    held = held.join(spans, held["own"] == spans["doc"], "left")
     raw = held.withColumn("raw", F.col(name(text_col)).cast("binary"))
     cut_out = "aggregate(spans, struct(cast('' as binary) as done, 0 as at), (a, s) -> struct(if(s.start > a.at, concat(a.done, substring(raw, a.at + 1, s.start - a.at)), a.done) as done, greatest(a.at, s.end) as at), a -> concat(a.done, substring(raw, a.at + 1)))"
     text = F.when(F.col("spans").isNull(), F.col(name(text_col))).otherwise(F.expr(cut_out).cast("string"))

@@ -309,7 +309,8 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """``docs`` with the spans replaced in the text: base values by their kind,
-    terms that reveal an entity removed or generalised to a placeholder."""
+    terms that reveal an entity removed or generalised to a placeholder. Spans that
+    overlap are replaced together, the first one's placeholder standing for all."""
     plain, name = unnamed(docs)
     own, text = name(id_col), name(text_col)
     found = pii_spans(plain.select(F.col(own).alias("doc_id"), F.col(text).alias("text")), **thresholds).where("size(base) + size(added) > 0")
@@ -317,7 +318,7 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     rows = plain.withColumn("key", F.xxhash64(text_of(text))).withColumn("t", text_of(text))
     rows = rows.join(found, (F.col("key") == F.col("text_key")) & F.col(own).eqNullSafe(F.col("doc_id")), "left")
     word = "case s.kind when 'remove' then '' when 'generalise' then '[TERM]' else concat('[', upper(s.kind), ']') end"
-    step = f"(a, s) -> if(s.start < a.at, a, struct(concat(a.done, substring(t, a.at + 1, s.start - a.at), {word}) as done, s.end as at))"
+    step = f"(a, s) -> if(s.start < a.at, struct(a.done as done, greatest(a.at, s.end) as at), struct(concat(a.done, substring(t, a.at + 1, s.start - a.at), {word}) as done, s.end as at))"
     new = F.expr(f"aggregate(spans, struct('' as done, 0 as at), {step}, a -> concat(a.done, substring(t, a.at + 1)))")
     rows = rows.withColumn("cleaned", F.when(F.col("spans").isNull(), F.col(text)).otherwise(new))
     return rows.select(*["cleaned" if c == text else c for c in plain.columns]).toDF(*docs.columns)

@@ -6,10 +6,15 @@ that overlap by half and together cover the whole document; every filter keeps
 its largest response (max pooling), and a logistic layer over the pooled
 responses gives one probability. The network sees bytes of the text alone.
 
+Scores use the parameters rounded to a binary grid, in double precision: every
+product and sum is then exact, so a score depends on the text alone, whatever the
+kernel, the batch or the text's place in it.
+
 It is fitted on the driver on a bounded sample: at most TRAIN_ROWS labelled
 rows, those with the lowest hash of their id; of a text longer than TRAIN_BYTES
-a whole segment of so many bytes, at a place drawn by the hash. Scoring covers every byte of every text, SEGMENT bytes at a
-time, so memory is bounded whatever the length.
+a whole segment of so many bytes, at a place drawn by the hash. Scoring covers
+every byte of every text, SEGMENT bytes at a time, so memory is bounded whatever
+the length.
 
 Defined cases: null and empty texts are scored as one chunk of padding; rows
 without a label are never learned from; with no usable label, or one class
@@ -19,6 +24,7 @@ rows.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +43,10 @@ ECHO = 24
 SEGMENT = 1 << 19
 TILE = 4096
 PAD = 256
+#: Bits after the point of embeddings, filters, shifts and responses, and output weights. With parameters
+#: under BOUND a response needs 43 bits and a logit 51, less than the 53 of a double.
+EMBED_BITS, FILTER_BITS, SHIFT_BITS, OUT_BITS = 12, 16, 16, 12
+BOUND = 8
 
 
 @dataclass
@@ -53,6 +63,11 @@ class Network:
         f32 = lambda *s, scale: (g.standard_normal(s) * scale).astype(np.float32)
         return Network(f32(PAD + 1, DIM, scale=0.5), f32(WIDTH * INPUT, FILTERS, scale=(WIDTH * INPUT) ** -0.5), np.zeros(FILTERS, np.float32), f32(FILTERS, scale=FILTERS**-0.5), float(np.log(rate / (1 - rate))))
 
+    def rounded(self) -> "Network":
+        """The network on its grid, where the order of sums makes no difference."""
+        grid = lambda x, bits: np.clip(np.rint(np.asarray(x, np.float64) * 2.0**bits) / 2.0**bits, -BOUND, BOUND)
+        return Network(grid(self.embed, EMBED_BITS), grid(self.filters, FILTER_BITS), grid(self.shift, SHIFT_BITS), grid(self.out, OUT_BITS), float(grid(self.bias, OUT_BITS)))
+
 
 def _echo(raw: np.ndarray) -> np.ndarray:
     out = np.zeros(len(raw), bool)
@@ -87,14 +102,11 @@ def _pooled(net: Network, blocks: list[tuple[np.ndarray, np.ndarray]], where: bo
     starts = ends - sizes
     rows, echo = np.concatenate([b for b, _ in blocks]), np.concatenate([e for _, e in blocks])
     half = STEP * INPUT
-    filters, both = np.hstack([net.filters[:half], net.filters[half:]]), np.empty((len(rows), 2 * FILTERS), np.float32)
-    # Products of one shape only: a row's response must not depend on how many rows stand beside it.
-    tile = np.zeros((TILE, half), np.float32)
+    kind = net.filters.dtype
+    filters, both = np.hstack([net.filters[:half], net.filters[half:]]), np.empty((len(rows), 2 * FILTERS), kind)
     for a in range(0, len(rows), TILE):
-        own = _input(net, rows[a : a + TILE], echo[a : a + TILE]).reshape(-1, half)
-        tile[: len(own)] = own
-        both[a : a + len(own)] = (tile @ filters)[: len(own)]
-    got = np.full((len(rows), FILTERS), -np.inf, np.float32)
+        np.matmul(_input(net, rows[a : a + TILE], echo[a : a + TILE]).reshape(-1, half), filters, out=both[a : a + TILE])
+    got = np.full((len(rows), FILTERS), -np.inf, kind)
     np.add(both[:-1, :FILTERS], both[1:, FILTERS:], out=got[:-1])
     got[ends - 1] = -np.inf  # a chunk does not run from one item into the next
     top = np.maximum.reduceat(got, starts, axis=0)
@@ -105,8 +117,10 @@ def _pooled(net: Network, blocks: list[tuple[np.ndarray, np.ndarray]], where: bo
 
 def scores(net: Network, texts: list[bytes]) -> np.ndarray:
     """One probability for each text; long texts go through in segments that
-    overlap by a step, so that no chunk is missed."""
-    top = np.full((len(texts), FILTERS), -np.inf, np.float32)
+    overlap by a step, so that no chunk is missed. The same text gets the same
+    score, to the last bit, in any batch."""
+    net = net.rounded()
+    top = np.full((len(texts), FILTERS), -np.inf)
     held, owner, size = [], [], 0
 
     def flush():
@@ -123,8 +137,9 @@ def scores(net: Network, texts: list[bytes]) -> np.ndarray:
             if size >= SEGMENT:
                 flush()
     flush()
-    z = (np.maximum(top + net.shift, 0).astype(np.float64) * net.out.astype(np.float64)).sum(axis=1) + net.bias
-    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    act = np.rint(np.clip(top + net.shift, 0, 1 << 14) * 2.0**SHIFT_BITS) / 2.0**SHIFT_BITS
+    z = np.clip((act * net.out).sum(axis=1) + net.bias, -60, 60)
+    return np.array([1 / (1 + math.exp(-x)) for x in z.tolist()])
 
 
 def train(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int = 32, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Network:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm.exact_dedup import drop_exact_copies, exact_groups
-from quillon.llm.mixing import mix, mixed_documents
+from quillon.llm.mixing import GOLDEN, mix, mixed_documents, schedule
 from quillon.llm.minhash import drop_near_copies
 from quillon.llm.paragraphs import drop_repeats
 from quillon.llm.pii import sanitised
@@ -135,3 +135,40 @@ def test_sha_of_text_follows(spark):
     got = op9_exact_dedup(spark, "/root/testdata/sf0.001").toPandas()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     assert all(hashlib.sha256(texts[r.doc_id].encode()).hexdigest() == r.text_sha256 for r in got.itertuples())
+
+
+def test_every_prefix_of_the_schedule_is_near_the_weights(spark):
+    shares = {"a": 0.5, "b": 0.3, "c": 0.2}
+    sources = spark.createDataFrame([("a", 0.0, 0.5), ("b", 0.5, 0.8), ("c", 0.8, 1.0)], "key string, low double, high double")
+    got = schedule(sources, 3000).toPandas().sort_values("slot")
+    assert list(got["slot"]) == list(range(3000))
+    for k, share in shares.items():
+        met = (got["key"] == k).cumsum().to_numpy()
+        assert max(abs(met[m - 1] - share * m) for m in range(1, 3001)) < 4
+        assert list(got[got["key"] == k]["rank"]) == list(range(met[-1]))
+
+
+def test_the_sequence_decides_the_slots(spark):
+    rows = [(i, "w " * (3 + i % 7), "abc"[i % 3]) for i in range(900)] + [(2000, None, "a"), (2001, "", "b")]
+    a, b = (mix(docs(spark, rows), step=s).toPandas().set_index("doc_id").sort_index() for s in (GOLDEN, 2**0.5 - 1))
+    assert (a["taken"] == b["taken"]).mean() > 0.9  # targets don't hang on the order, turns do
+    both = a["first_slot"].notna()
+    assert both.sum() > 500 and (a["first_slot"] != b["first_slot"])[both].mean() > 0.9
+    assert ((a["taken"] > 0) == both).all() and a.loc[2000, "taken"] == a.loc[2001, "taken"] == 0
+    # The first tenth of the slots holds the sources in the proportion of their targets.
+    of = {i: s for i, _, s in rows}
+    a["source"] = [of[i] for i in a.index]
+    early = a[a["first_slot"] < a["first_slot"].max() / 10].groupby("source")["size"].sum()
+    want = a.groupby("source")["target"].first()
+    assert (abs(early / early.sum() - want / want.sum()) < 0.08).all()
+
+
+def test_mixed_documents_come_in_the_order_of_slots(spark):
+    rows = [(i, f"{i} " + "w " * 9, "ab"[i % 2]) for i in range(400)]
+    slot = {r["doc_id"]: r["first_slot"] for r in mix(docs(spark, rows)).collect()}
+    first, seen = [], set()
+    for r in mixed_documents(docs(spark, rows)).collect():
+        if r["doc_id"] not in seen:
+            seen.add(r["doc_id"])
+            first.append(slot[r["doc_id"]])
+    assert first == sorted(first)

@@ -176,3 +176,11 @@ def test_reach_is_the_longest_equal_stretch():
     assert _reach(b"x A  b c", b"y a b\nc", True, 9) == (3, 6, 5)
     assert _reach(b"a b x", b"a  b y", False, 9) == (2, 3, 4)
     assert _reach(b"a b", b"c", False, 9) == (0, 0, 0)
+
+
+def test_removals_belong_to_an_id_with_its_text(spark):
+    r = random.Random(31)
+    para, other = " ".join(words(r, 60)), " ".join(words(r, 60))
+    rows = [(1, para), (2, "a\n" + para), (2, other), (None, "b\n" + para), (None, "c " + other[:40])]
+    got = sorted((x["doc_id"] or 0, x["text"]) for x in drop_repeats(docs(spark, rows)).collect())
+    assert got == sorted([(1, para), (2, "a\n"), (2, other), (0, "b\n"), (0, "c " + other[:40])])
