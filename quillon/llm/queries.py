@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .audit import FILTERS, MIN_DISTINCT, MIN_WORDS, MOST_CAPITALS, ORDERS, audit
 from .bpe import token_counts
 from .common import table, text_of
 from .exact_dedup import exact_groups
@@ -71,8 +72,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_sanitisation, op2_lattice_embedding_dedup, op3_bm25_packing, op4_paragraph_dedup, op5_bpe_token_counts, op6_histogram_sharding, op7_quality_classifier, op8_minhash_near_dedup, op9_exact_dedup, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_pii_sanitisation, op2_lattice_embedding_dedup, op3_bm25_packing, op4_paragraph_dedup, op5_bpe_token_counts, op6_histogram_sharding, op7_quality_classifier, op8_minhash_near_dedup, op9_exact_dedup, op10_source_mixing, op13_filter_audit)}
 
 
 OP9_SQL = """
@@ -117,5 +122,34 @@ FROM c LEFT JOIN n ON c.id = n.doc_id
 """
 
 
+#: Bits of the failed filters of every document, then every order by plain comparison of places.
+OP13_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+f AS (
+  SELECT part, doc_id, [len(w) < {MIN_WORDS}, 100 * len(list_distinct(w)) < {MIN_DISTINCT} * len(w),
+    100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > {MOST_CAPITALS} * length(t), regexp_matches(t, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+n AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY part, fails),
+o AS (SELECT unnest({ORDERS!r}) AS filter_order),
+p AS (SELECT filter_order, step, substr(filter_order, step, 1) AS filter, strpos('{FILTERS}', substr(filter_order, step, 1)) AS pos FROM o, range(1, 6) r(step)),
+earlier AS (SELECT n.*, p.*, list_contains(list_transform(range(1, step), lambda s: fails[strpos('{FILTERS}', substr(filter_order, s, 1))]), true) AS gone FROM n, p),
+s AS (
+  SELECT part, filter_order, step, filter,
+    sum(CASE WHEN NOT gone AND NOT fails[pos] THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND fails[pos] THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN gone AND fails[pos] THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails[pos] AND len(list_filter(fails, lambda x: x)) = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN NOT gone AND fails[pos] THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND fails[pos] THEN toxic ELSE 0 END) AS toxic_lost
+  FROM earlier GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, filter, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lattice_embedding_dedup": OP2_SQL, "op8_minhash_near_dedup": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_lattice_embedding_dedup": OP2_SQL, "op8_minhash_near_dedup": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op13_filter_audit": OP13_SQL}

@@ -183,4 +183,5 @@ def test_removals_belong_to_an_id_with_its_text(spark):
     para, other = " ".join(words(r, 60)), " ".join(words(r, 60))
     rows = [(1, para), (2, "a\n" + para), (2, other), (None, "b\n" + para), (None, "c " + other[:40])]
     got = sorted((x["doc_id"] or 0, x["text"]) for x in drop_repeats(docs(spark, rows)).collect())
-    assert got == sorted([(1, para), (2, "a\n"), (2, other), (0, "b\n"), (0, "c " + other[:40])])
+    # The place without an id comes first and stays.
+    assert got == sorted([(1, ""), (2, "a\n"), (2, other), (0, "b\n" + para), (0, "c " + other[:40])])
