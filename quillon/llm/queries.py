@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import aligned_tokens
 from .audit import FILTERS, MIN_DISTINCT, MIN_WORDS, MOST_CAPITALS, ORDERS, audit
 from .bpe import token_counts
 from .chat import formatted, read_back
@@ -83,12 +84,16 @@ def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(formatted(rows), in_order=True).withColumnRenamed("conv", "conv_id")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_tokens(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_sanitisation, op2_lattice_embedding_dedup, op3_bm25_packing, op4_paragraph_dedup, op5_bpe_token_counts, op6_histogram_sharding, op7_quality_classifier, op8_minhash_near_dedup, op9_exact_dedup, op10_source_mixing, op11_chat_formatting, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_pii_sanitisation, op2_lattice_embedding_dedup, op3_bm25_packing, op4_paragraph_dedup, op5_bpe_token_counts, op6_histogram_sharding, op7_quality_classifier, op8_minhash_near_dedup, op9_exact_dedup, op10_source_mixing, op11_chat_formatting, op12_token_alignment, op13_filter_audit)}
 
 
 OP9_SQL = """

@@ -167,15 +167,19 @@ class ByteLevel:
         some, out = [i for i, j in enumerate(joint) if j], [None] * len(found)
         try:
             ids = self.fast.encode_ordinary(b"".join([found[i] for i in some]).decode("utf-8"))
-            for i, own in zip(some, cut_at([self.bytes[t] for t in ids], ids, [len(found[i]) for i in some])):
+            for i, own in zip(some, cut_at([self.bytes[t] for t in ids], ids, [found[i] for i in some])):
                 out[i] = own
         except ValueError:
             pass
         return _end_to_end([self.alone(x.decode("utf-8")) if own is None else own for x, own in zip(found, out)])
 
 
-def cut_at(pieces: list[bytes], ids: list[int], sizes: list[int]) -> list[list[int]]:
-    """Ids in stretches of so many bytes; each stretch must end with a token."""
+def cut_at(pieces: list[bytes], ids: list[int], texts: list[bytes]) -> list[list[int]]:
+    """Ids of joined texts, one list a text; each text must end with a token, and
+    the tokens' bytes must be those of the texts."""
+    if b"".join(pieces) != b"".join(texts):
+        raise ValueError("the bytes of the tokens are others")
+    sizes = [len(t) for t in texts]
     ends = np.cumsum([len(p) for p in pieces])
     bounds = np.searchsorted(ends, np.cumsum(sizes))
     if not len(sizes):
@@ -186,6 +190,10 @@ def cut_at(pieces: list[bytes], ids: list[int], sizes: list[int]) -> list[list[i
     return [ids[a:z] for a, z in zip([0, *bounds], bounds)]
 
 
+#: What a piece model writes for a space.
+SPACE_MARK = "▁".encode("utf-8")
+
+
 class PieceModel:
     """A sentencepiece model with byte fallback that adds a space in front."""
 
@@ -206,8 +214,10 @@ class PieceModel:
         try:
             if not self.cuts:
                 raise ValueError("tokens can run over cuts")
-            ids = self.lib.encode("x" + b"".join(found).decode("utf-8"), num_threads=1)
-            own = cut_at([self.bytes[t] for t in ids], ids, [2, *(len(x) for x in found)])[1:]
+            some = [x for x in found if SPACE_MARK not in x]  # which never comes back
+            ids = self.lib.encode("x" + b"".join(some).decode("utf-8"), num_threads=1)
+            joint = iter(cut_at([self.bytes[t] for t in ids], ids, [b" x", *some])[1:])
+            own = [self.alone(x) if SPACE_MARK in x else next(joint) for x in found]
         except ValueError:  # or bytes that don't come back: find out whose
             own = [self.alone(x) for x in found]
         return _end_to_end(own)
