@@ -38,8 +38,8 @@ from .tokens import ByteLevel, Lists, PieceModel, Store, segments
 
 #: Pairs that are broadcast at most, and the numerator of the share of rows that makes a pair one of them.
 HEAVY = 1 << 22
-SLICE_BYTES = 4 << 20
-KEPT_SEGMENTS, KEPT_PAIRS = 400_000, 6_000_000
+SLICE_BYTES = 1 << 20
+KEPT_SEGMENTS, KEPT_PAIRS = 150_000, 2_000_000
 #: Links expanded at once; a group of more is a product of its different ids.
 WIDE = 1 << 20
 
