@@ -65,12 +65,6 @@ def strip_fences(c: Column) -> Column:
     return F.when(found != "", found).otherwise(F.trim(plain))
 
 
-def clip_confidence(c: Column) -> Column:
-    """A number as text, held to 0..1; anything else is null."""
-    n = c.try_cast("double")
-    return F.when(n.isNotNull() & ~F.isnan(n), F.least(F.lit(1.0), F.greatest(F.lit(0.0), n)))
-
-
 def blank(c: Column) -> Column:
     return F.coalesce(F.trim(c), F.lit("")) == ""
 

@@ -1,21 +1,20 @@
-"""Codebooks: declared schemas of annotations, and the checks of replies against
-them as DataFrame expressions.
+"""Codebooks: declared schemas of annotations.
 
 A codebook is a mapping with id, version, title and dimensions; a dimension has
-name, scale (nominal, ordinal), required, conditional_on, score_aggregation,
+name, scale (nominal, ordinal), required, conditional_on (a dimension, or a mapping
+of dimension and in, the codes it must have), score_aggregation,
 allow_multiple_values and categories; a category has code, label, definition
-and, for ordinal scales, value."""
+and, for ordinal scales, value. Replies are checked in ``replies``."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCALES, AGGREGATIONS = ("nominal", "ordinal"), ("max", "min", "mean", "first")
-KEYS = {"codebook": {"id", "version", "title", "unit", "dimensions", "description", "max_annotations", "evidence_required", "notes"}, "dimension": {"name", "scale", "required", "conditional_on", "score_aggregation", "allow_multiple_values", "categories", "description"}, "category": {"code", "value", "label", "definition", "examples", "excludes"}}
+KEYS = {"codebook": {"id", "version", "title", "unit", "dimensions", "description", "max_annotations", "allow_multiple_annotations", "evidence_required", "notes"}, "dimension": {"name", "scale", "required", "conditional_on", "score_aggregation", "allow_multiple_values", "categories", "description"}, "category": {"code", "value", "label", "definition", "examples", "excludes"}}
 
 
 class CodebookError(ValueError):
@@ -32,6 +31,7 @@ class Dimension:
     aggregation: str = "max"
     values: dict[str, int] = field(default_factory=dict)
     multiple: bool = False
+    conditional_in: tuple[str, ...] = ()
 
     @property
     def allows_none(self) -> bool:
@@ -111,11 +111,16 @@ def parse(raw: dict) -> Codebook:
             x, y = ({w for w in str(c.get("definition", "")).lower().split() if len(w) > 2} for c in (a, b))
             if x and y and len(x & y) / len(x | y) >= 0.5:
                 warnings.append(f"{at}: definitions of {a.get('code')} and {b.get('code')} overlap")
-        dims.append(Dimension(name or "", tuple(c or "" for c in codes), scale, bool(d.get("required", True)), d.get("conditional_on"), d.get("score_aggregation", "max"), values, bool(d.get("allow_multiple_values", False))))
+        on = d.get("conditional_on")
+        on, only = (on.get("dimension"), tuple(on.get("in") or ())) if isinstance(on, dict) else (on, ())
+        dims.append(Dimension(name or "", tuple(c or "" for c in codes), scale, bool(d.get("required", True)), on, d.get("score_aggregation", "max"), values, bool(d.get("allow_multiple_values", False)), only))
     parent = {d.name: d.conditional_on for d in dims}
     for d in dims:
         if d.conditional_on and d.conditional_on not in parent:
             errors.append(f"{d.name}: conditional_on {d.conditional_on!r} is no dimension")
+        strange = set(d.conditional_in) - {c for other in dims if other.name == d.conditional_on for c in other.codes}
+        if strange:
+            errors.append(f"{d.name}: conditional_on names no codes {sorted(strange)}")
         x, met = d.name, set()
         while x and x not in met:
             met.add(x)
@@ -124,74 +129,7 @@ def parse(raw: dict) -> Codebook:
             errors.append(f"{d.name}: conditional_on runs in a circle")
     if errors:
         raise CodebookError("; ".join(errors))
-    return Codebook(raw["id"], raw["version"], tuple(dims), int(raw.get("max_annotations", 4)), bool(raw.get("evidence_required", True)), tuple(warnings))
-
-
-REPLY = "map<string,array<map<string,string>>>"
-
-
-def coerced(d: Dimension, given: Column) -> Column:
-    """A reply's value: null or blank is NONE; NONE in any case; of a list the
-    first element, where lists are allowed."""
-    v = F.trim(given)
-    if d.multiple:
-        v = F.when(v.startswith("["), F.get(F.from_json(v, "array<string>"), F.lit(0))).otherwise(v)
-    v = F.when(F.coalesce(v, F.lit("")) == "", "NONE").otherwise(v)
-    return F.when(F.upper(v) == "NONE", "NONE").otherwise(v)
-
-
-def fault(cb: Codebook, ann: Column) -> Column:
-    """The first fault of one annotation (a map of strings), or null."""
-    value = {d.name: coerced(d, F.try_element_at(ann, F.lit(d.name))) for d in cb.dimensions}
-    known = reduce(lambda a, b: a | b, [F.map_contains_key(ann, d.name) for d in cb.dimensions])
-    tests = [(~known, F.lit("no known dimension"))]
-    silent = reduce(lambda a, b: a & b, [v == "NONE" for v in value.values()])
-    for d in cb.dimensions:
-        v = value[d.name]
-        tests.append(((v != "NONE") & ~v.isin(*d.codes), F.concat(F.lit(f"{d.name}: no code "), v)))
-    for d in cb.dimensions:
-        v = value[d.name]
-        if d.conditional_on:
-            tests.append(((v != "NONE") & (value[d.conditional_on] == "NONE"), F.lit(f"{d.name}: needs {d.conditional_on}")))
-    for d in cb.dimensions:
-        v = value[d.name]
-        if d.required and not d.conditional_on:
-            tests.append(((v == "NONE") & ~silent, F.lit(f"{d.name}: required")))
-    if cb.evidence_required:
-        tests.append((~silent & (F.trim(F.coalesce(F.try_element_at(ann, F.lit("evidence")), F.lit(""))) == ""), F.lit("no evidence")))
-    out = F.lit(None).cast("string")
-    for test, say in tests[::-1]:
-        out = F.when(test, say).otherwise(out)
-    return out
-
-
-def validated(cb: Codebook, replies: DataFrame, reply: str = "reply", n_units: str = "n_units") -> DataFrame:
-    """replies with ``parsed`` and ``error``; a reply is taken or refused as a
-    whole: error is the first fault, null if there is none."""
-    from quillon.functions.text import strip_fences
-
-    p = replies.withColumn("parsed", F.from_json(strip_fences(F.col(reply)), REPLY))
-    want = F.transform(F.sequence(F.lit(1), F.col(n_units)), lambda i: i.cast("string"))
-    keys = F.map_keys("parsed")
-    missing, extra = F.array_except(want, keys), F.array_except(keys, want)
-    each = F.flatten(F.transform(F.map_values("parsed"), lambda a: F.transform(a, lambda x: fault(cb, x))))
-    many = F.exists(F.map_values("parsed"), lambda a: F.size(a) > cb.max_annotations)
-    first = F.get(F.filter(each, lambda e: e.isNotNull()), F.lit(0))
-    error = F.when(F.col("parsed").isNull(), "no object of lists").when(F.size(missing) > 0, "paragraphs missing").when(F.size(extra) > 0, "paragraphs too many").when(F.exists(F.map_values("parsed"), lambda a: a.isNull()), "no list").when(many, "too many annotations").otherwise(first)
-    return p.withColumn("error", error)
-
-
-def annotation_rows(cb: Codebook, valid: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, unit_no, annotation_index, dimension, value, evidence, confidence)
-    of accepted replies; annotations that say nothing are left out but keep
-    their number."""
-    from quillon.functions.text import clip_confidence
-
-    u = valid.where("error is null").select(*keys, F.explode("parsed").alias("unit_no", "anns"))
-    a = u.select(*keys, "unit_no", F.posexplode("anns").alias("annotation_index", "ann"))
-    values = F.array(*[F.struct(F.lit(d.name).alias("dimension"), coerced(d, F.try_element_at("ann", F.lit(d.name))).alias("value")) for d in cb.dimensions])
-    a = a.withColumn("v", F.explode(F.filter(values, lambda v: v["value"] != "NONE")))
-    return a.select(*keys, F.col("unit_no").cast("int"), "annotation_index", "v.dimension", "v.value", F.try_element_at("ann", F.lit("evidence")).alias("evidence"), clip_confidence(F.try_element_at("ann", F.lit("confidence"))).alias("confidence"))
+    return Codebook(raw["id"], raw["version"], tuple(dims), int(raw.get("max_annotations", 4)) if raw.get("allow_multiple_annotations", True) else 1, bool(raw.get("evidence_required", True)), tuple(warnings))
 
 
 def speech_blocks(units: DataFrame) -> DataFrame:

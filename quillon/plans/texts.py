@@ -9,6 +9,7 @@ from quillon.functions import numbers as num
 from quillon.functions import text as tx
 from quillon.operators import graph as gr
 from quillon.operators import ordered as od
+from quillon.operators import replies as rp
 from quillon.operators import sampling as sm
 from quillon.operators.segment import pieces
 
@@ -225,7 +226,7 @@ def reply_outcomes(spark, sf):
 def reply_cleaning(spark, sf):
     """Fenced replies back to their object; confidences held to 0..1."""
     fenced = F.concat(F.lit("Here:\n```json\n"), F.col("props"), F.lit("\n```\nDone."))
-    return table(spark, sf, "events").select("event_id", F.round(tx.clip_confidence(F.col("value").cast("string")), 6).alias("confidence"), tx.strip_fences(fenced).alias("reply"))
+    return table(spark, sf, "events").select("event_id", F.round(rp.confidence_of(F.try_parse_json(F.col("value").cast("string"))), 6).alias("confidence"), tx.strip_fences(fenced).alias("reply"))
 
 
 @query("SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY CAST(date_trunc('day', ts) AS DATE)), 6) AS share FROM events GROUP BY 1, 2")

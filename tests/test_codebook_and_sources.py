@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import codebook as cbk
+from quillon.operators import replies as rp
 from quillon.sources import tables as src
 from quillon.streaming.jobs import start_worker
 
@@ -34,28 +35,66 @@ def reply(**units):
     return json.dumps({k[1:]: v for k, v in units.items()})
 
 
-GOOD = [{"kind": "A", "who": "x" and "X", "evidence": "words", "confidence": "1.4"}, {"kind": "none", "who": None}, {"kind": "B", "evidence": "more"}]
+GOOD = [{"kind": "A", "who": "X", "evidence": "words", "confidence": 1.4}, {"kind": "none", "who": None}, {"kind": "B", "evidence": "more", "confidence": "0.9"}]
+SCALED = {**RAW, "allow_multiple_annotations": False, "dimensions": [
+    {"name": "level", "scale": "ordinal", "allow_multiple_values": True, "categories": [{"code": str(i), "value": i, "definition": "x"} for i in range(3)]},
+    {"name": "why", "required": False, "conditional_on": {"dimension": "level", "in": ["1", "2"]}, "categories": [{"code": "P", "definition": "y"}]},
+]}
 
 
-@pytest.mark.parametrize("text,n,error", [
-    (reply(_1=GOOD, _2=[]), 2, None),
-    ("```json\n" + reply(_1=GOOD) + "\n```", 1, None),
-    (reply(_1=GOOD), 2, "paragraphs missing"),
-    (reply(_1=[], _2=[]), 1, "paragraphs too many"),
-    ("no json", 1, "no object of lists"),
-    (reply(_1=[{"kind": "C", "evidence": "e"}]), 1, "kind: no code C"),
-    (reply(_1=[{"kind": "NONE", "who": "X", "evidence": "e"}]), 1, "who: needs kind"),
-    (reply(_1=[{"kind": "A"}]), 1, "no evidence"),
-    (reply(_1=[{"evidence": "e"}]), 1, "no known dimension"),
-    (reply(_1=[{"kind": "A", "evidence": "e"}] * 5), 1, "too many annotations"),
+@pytest.mark.parametrize("raw,text,n,error", [
+    (RAW, reply(_1=GOOD, _2=[]), 2, None),
+    (RAW, "Sure:\n```json\n" + reply(_1=GOOD) + "\n```", 1, None),
+    (RAW, reply(_1=None, _2=GOOD[:1]), 2, None),
+    (RAW, "{}", 0, None),
+    (RAW, None, 1, "no JSON"),
+    (RAW, "no json", 1, "no JSON"),
+    (RAW, '{"1": [], "1": []}', 1, "no JSON"),
+    (RAW, "[1, 2]", 1, "no object"),
+    (RAW, reply(_1=GOOD), 2, "missing keys 2"),
+    (RAW, reply(_1=[], _2=[], _10=[]), 1, "unexpected keys 10, 2"),
+    (RAW, reply(_1=[], _2={"kind": "A"}), 2, "key 2: no list"),
+    (RAW, reply(_1=["x"]), 1, "key 1, annotation 0: no object"),
+    (RAW, reply(_1=[{"kind": "NONE"}, {"evidence": "e"}]), 1, "key 1, annotation 1: no known dimension"),
+    (RAW, reply(_1=[{"kind": ["A"], "evidence": "e"}]), 1, "key 1, annotation 0: kind: a list"),
+    (RAW, reply(_1=[{"kind": "C", "evidence": "e"}]), 1, "key 1, annotation 0: kind: no code C"),
+    (RAW, reply(_1=[{"kind": {"a": 1}, "evidence": "e"}]), 1, 'key 1, annotation 0: kind: no code {"a":1}'),
+    (RAW, reply(_1=[{"kind": " ", "who": "X", "evidence": "e"}]), 1, "key 1, annotation 0: kind: required"),
+    (RAW, reply(_1=[{"kind": "A"}]), 1, "key 1, annotation 0: no evidence"),
+    (RAW, reply(_1=[{"kind": "A", "evidence": 7}]), 1, "key 1, annotation 0: no evidence"),
+    (RAW, reply(_1=[{"kind": "A", "evidence": " \n"}]), 1, "key 1, annotation 0: no evidence"),
+    (RAW, reply(_1=[{"kind": "A", "evidence": "e"}] * 5), 1, "key 1: too many annotations"),
+    (SCALED, reply(_1=[{"level": 1, "why": "P", "evidence": "e"}]), 1, None),
+    (SCALED, reply(_1=[{"level": ["2", "0"], "evidence": "e"}]), 1, None),
+    (SCALED, reply(_1=[{"level": [], "why": "NONE"}]), 1, None),
+    (SCALED, reply(_1=[{"level": "0", "why": "P", "evidence": "e"}]), 1, "key 1, annotation 0: why: needs level"),
+    (SCALED, reply(_1=[{"level": "3", "evidence": "e"}]), 1, "key 1, annotation 0: level: no code 3"),
+    (SCALED, reply(_1=[{"level": "1", "evidence": "e"}] * 2), 1, "key 1: too many annotations"),
 ])
-def test_replies(spark, text, n, error):
-    cb = cbk.parse(RAW)
-    got = cbk.validated(cb, spark.createDataFrame([("s", text, n)], "speech_id string, reply string, n_units int"))
+def test_replies(spark, raw, text, n, error):
+    cb = cbk.parse(raw)
+    got = rp.checked(cb, spark.createDataFrame([("s", text, n)], "speech_id string, reply string, n_units int"))
+    rows = rp.reply_rows(cb, got, ["speech_id"]).orderBy("unit_no", "annotation_index", "dimension").collect()
     assert got.first()["error"] == error
-    if error is None:
-        rows = [(r["unit_no"], r["annotation_index"], r["dimension"], r["value"], r["confidence"]) for r in cbk.annotation_rows(cb, got, ["speech_id"]).orderBy("annotation_index", "dimension").collect()]
-        assert rows == [(1, 0, "kind", "A", 1.0), (1, 0, "who", "X", 1.0), (1, 2, "kind", "B", None)]
+    if error:
+        assert not rows  # refused as a whole
+    elif raw is RAW and text and "more" in text:
+        assert [(r["annotation_index"], r["dimension"], r["value"], r["confidence"]) for r in rows] == [(0, "kind", "A", 1.0), (0, "who", "X", 1.0), (2, "kind", "B", None)]
+    elif raw is SCALED:
+        assert [r["value"] for r in rows] == {"P": ["1", "P"], "2": ["2"], "E": []}["P" if "P" in text else "2" if "2" in text else "E"]
+
+
+def test_evidence_of_replies(spark):
+    cb = cbk.parse(RAW)
+    text = reply(_1=[{"kind": "A", "evidence": "The “second”  words"}], _2=[{"kind": "B", "evidence": "first words ... follow here"}, {"kind": "B", "evidence": "nowhere"}])
+    df = spark.createDataFrame([("s", text, 2, ['so the "second" words', "the first words that follow here"])], "speech_id string, reply string, n_units int, texts array<string>")
+    got = rp.reply_rows(cb, rp.checked(cb, df), ["speech_id"], "texts").orderBy("unit_no", "annotation_index")
+    assert [(r["unit_no"], r["verified"]) for r in got.collect()] == [(1, True), (2, True), (2, False)]
+
+
+def test_conditions_name_codes():
+    with pytest.raises(cbk.CodebookError, match="names no codes"):
+        cbk.parse({**SCALED, "dimensions": [SCALED["dimensions"][0], {**SCALED["dimensions"][1], "conditional_on": {"dimension": "level", "in": ["9"]}}]})
 
 
 def test_blocks_and_rows(spark):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import numbers as num
 from quillon.functions import stats
 from quillon.functions import text as tx
+from quillon.operators import replies as rp
 from quillon.operators import cluster as cl
 from quillon.operators import matrix as mx
 from quillon.operators import ordered as od
@@ -61,7 +62,8 @@ def test_evidence(spark, evidence, found):
 def test_scalars(spark):
     assert one(spark, tx.model_tag(F.col("m")), m="org/some-model-instruct:free") == "some-model"
     assert one(spark, tx.strip_fences(F.col("m")), m='x\n```json\n{"a": 1}\n``` y') == '{"a": 1}'
-    assert one(spark, tx.clip_confidence(F.col("m")), m="1.7") == 1.0 and one(spark, tx.clip_confidence(F.col("m")), m="high") is None
+    conf = rp.confidence_of(F.try_parse_json("m"))
+    assert [one(spark, conf, m=x) for x in ("1.7", "-2", "0.25", "1", '"0.7"', "true", "null", "high")] == [1.0, 0.0, 0.25, 1.0, None, None, None, None]
     assert one(spark, num.long_date(F.col("m")), m="7 March 2024") == date(2024, 3, 7) and one(spark, num.long_date(F.col("m")), m="soon") is None
     assert one(spark, tx.dehyphenate(F.col("m")), m="inter-\nnational") == "international"
     assert one(spark, num.bucket_of(F.col("m"), (0, 5, 10)), m=7) == "5-9" and one(spark, num.bucket_of(F.col("m"), (0, 5, 10)), m=70) == "10+"
