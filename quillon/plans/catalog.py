@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, discovery, records, replies, statistics, streams, texts  # noqa: F401  they register themselves
+from . import corpus, discovery, records, replies, rules, statistics, streams, texts  # noqa: F401  they register themselves
 from .base import REGISTRY
 
 

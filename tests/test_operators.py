@@ -11,6 +11,7 @@ from quillon.functions import numbers as num
 from quillon.functions import stats
 from quillon.functions import text as tx
 from quillon.operators import replies as rp
+from quillon.operators import rules as ru
 from quillon.operators import cluster as cl
 from quillon.operators import matrix as mx
 from quillon.operators import ordered as od
@@ -72,7 +73,7 @@ def test_scalars(spark):
 def test_segments(spark):
     words = " ".join(["word"] * 16)
     turns = spark.createDataFrame([("S", 1, f"I thank all. {words}\n\n“{words}\n \n{words}\n\nshort\n\n“{words}", "X")], "doc_symbol string, turn_index int, speech string, country string")
-    got = [(r["para_index"], r["para_is_procedural"]) for r in sg.units_of(turns, "^I thank").orderBy("para_index").collect()]
+    got = [(r["para_index"], r["para_is_procedural"]) for r in sg.units_of(turns, ru.parse([{"pattern": "^I thank"}, {"name": "quote", "kind": ru.INHERIT}])).orderBy("para_index").collect()]
     assert got == [(0, 1), (1, 1), (2, 0), (4, 0)]
 
 
