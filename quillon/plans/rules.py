@@ -18,12 +18,12 @@ RAW = [
         [ ,.]
         """},
     {"name": "license", "mode": "search", "pattern": r"licen[sc]e|copyright"},
-    {"name": "figures", "mode": "search", "flags": [], "pattern": r"[0-9]{2,}", "require": r"[A-Z]{2,}", "max_words": 60},
+    {"name": "figures", "mode": "search", "flags": [], "pattern": r"[0-9]{2,}", "require": r"[A-Z]", "max_words": 80},
     {"name": "quote", "kind": ru.INHERIT},
     {"name": "question", "mode": "search", "pattern": r"[?!|]$"},
 ]
 RULES = ru.parse(RAW)
-BLOC_MAPS = {"by_region": {"FRANCE": "west", "GERMANY": "west", "CHINA": "east", "JAPAN": "east"}, "none": {}}
+BLOC_MAPS = {"by_region": {"NATION_0": "west", "NATION_3": "west", "NATION_7": "east", "NATION_19": "east"}, "none": {}}
 
 _WORDS = r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))"
 _JUDGED = rf"""p AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS raw FROM documents),
@@ -31,7 +31,7 @@ q AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1
 t AS (SELECT doc_id, para_index, CASE WHEN para_index % 3 = 1 THEN '“' || text || '”' ELSE text END AS text FROM q),
 h AS (SELECT *, {_WORDS} AS n, substr(text, 1, 1) IN ('“', '"', '‘', '''') AS quote FROM t),
 m AS (SELECT *, CASE WHEN n <= 40 AND regexp_matches(text, '(?i)\A(?:the|and|les|is|una?)[ ,.]') THEN 'opening' WHEN regexp_matches(text, '(?i)licen[sc]e|copyright') THEN 'license'
-  WHEN n <= 60 AND regexp_matches(text, '[0-9]{{2,}}') AND regexp_matches(text, '[A-Z]{{2,}}') THEN 'figures' END AS own, CASE WHEN regexp_matches(text, '[?!|]$') THEN 'question' END AS behind FROM h),
+  WHEN n <= 80 AND regexp_matches(text, '[0-9]{{2,}}') AND regexp_matches(text, '[A-Z]') THEN 'figures' END AS own, CASE WHEN regexp_matches(text, '[?!|]$') THEN 'question' END AS behind FROM h),
 v AS (SELECT *, last_value(CASE WHEN own IS NOT NULL OR behind IS NOT NULL THEN 1 WHEN NOT quote THEN 0 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY para_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS told FROM m),
 j AS (SELECT doc_id, para_index, n, coalesce(own, CASE WHEN quote AND told = 1 THEN 'quote' END, behind) AS rule FROM v)"""
 
@@ -55,7 +55,7 @@ def substantive_paragraphs(spark, sf):
     return _judged(spark, sf).where("rule is null").withColumn("n_words", n).where("n_words >= 15").select("doc_id", "para_index", "n_words")
 
 
-@query(f"WITH {UNITS} SELECT CASE country WHEN 'FRANCE' THEN 'west' WHEN 'GERMANY' THEN 'west' WHEN 'CHINA' THEN 'east' WHEN 'JAPAN' THEN 'east' END AS bloc, count(*) AS n, count(DISTINCT speech_id) AS speeches FROM units GROUP BY 1")
+@query(f"WITH {UNITS} SELECT CASE country WHEN 'NATION_0' THEN 'west' WHEN 'NATION_3' THEN 'west' WHEN 'NATION_7' THEN 'east' WHEN 'NATION_19' THEN 'east' END AS bloc, count(*) AS n, count(DISTINCT speech_id) AS speeches FROM units GROUP BY 1")
 def bloc_counts(spark, sf):
     """Units and speeches by the blocs of a named map."""
     bloc = ru.bloc_of(F.col("country"), ru.blocs(BLOC_MAPS, "by_region"))

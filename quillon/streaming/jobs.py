@@ -49,3 +49,20 @@ def drained(stream: DataFrame, keys: list[str], at: str) -> DataFrame:
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields), "batch long", "part long"])
     rows = stream.sparkSession.read.schema(schema).parquet(f"{at}/rows").drop("part")
     return last_of(rows, keys, "batch", keys[0]).drop("batch").select(*stream.columns)
+
+
+def appended(stream: DataFrame, at: str) -> DataFrame:
+    """Runs a stream of rows over all that is there now and returns them; run
+    again with the same ``at``, it goes on from its checkpoint. Every batch writes
+    a table of its own, so a batch that is run again replaces itself."""
+
+    def put(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{at}/rows/part={number}")
+
+    q = stream.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+    finally:
+        q.stop()
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields), "part long"])
+    return stream.sparkSession.read.schema(schema).parquet(f"{at}/rows").drop("part")
