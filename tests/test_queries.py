@@ -23,7 +23,7 @@ def con(sf):
 
 
 def plain(x):
-    if x is None or x is pd.NaT or isinstance(x, float) and math.isnan(x):
+    if x is None or x is pd.NaT or x is pd.NA or isinstance(x, float) and math.isnan(x):
         return None
     kind = type(x).__name__
     if "bool" in kind:
