@@ -104,14 +104,35 @@ SHORT_NAMES = {
 }
 
 
-def header_of(text: Column, longest: int = 220) -> Column:
-    """The speaker's header of a paragraph: what stands before a colon, if that
-    reads like a person with a title or a presiding officer; else null."""
+def split_header(text: Column, prefix: Column | None = None, longest: int = 220) -> Column:
+    """struct(header, body) of a paragraph that opens a turn, else null. The
+    header ends at a colon; where the record drops it, behind the brackets that
+    follow the bold ``prefix``. It must be as long as the prefix, and read like a
+    person with a title or a presiding officer. Without ``prefix`` any paragraph
+    with a colon is tried."""
     at = F.call_function("locate", F.lit(":"), text)
-    head = F.trim(text.substr(F.lit(1), at - 1))
+    colon = (at > 0) & (at <= longest + 1)
+    head, body = F.trim(text.substr(F.lit(1), at - 1)), F.trim(text.substr(at + 1, F.length(text)))
+    bold = F.lit(True)
+    if prefix is not None:
+        bold = F.coalesce(prefix, F.lit("")) != ""
+        rest = F.substring(text, F.length(F.trim(prefix)) + 1, F.length(text))
+        brackets = F.regexp_extract(rest, r"^\s*((?:\([^()]*\)\s*)+)", 0)
+        found = text.startswith(F.trim(prefix)) & (brackets != "")
+        cut = F.length(F.trim(prefix)) + F.length(brackets)
+        head = F.when(colon, head).when(found, F.trim(text.substr(F.lit(1), cut)))
+        body = F.when(colon, body).when(found, F.trim(text.substr(cut + 1, F.length(text))))
+        bold = bold & (F.length(head) >= F.length(F.rtrim(F.regexp_replace(prefix, "[ :]+$", ""))) - 2)
+    else:
+        head = F.when(colon, head)
     name = F.trim(F.regexp_replace(head, r"\([^()]*\)", ""))
     person = name.rlike(PRESIDING) | name.rlike(r"(?i)^The Secretary-General\b") | name.rlike(rf"^(?:{TITLES})\b\.?\s+\S")
-    return F.when((at > 0) & (at <= longest + 1) & person, head)
+    return F.when(bold & person, F.struct(head.alias("header"), body.alias("body")))
+
+
+def header_of(text: Column, longest: int = 220) -> Column:
+    """The speaker's header of a paragraph without layout."""
+    return split_header(text, None, longest)["header"]
 
 
 def surname(person: Column) -> Column:
@@ -120,10 +141,11 @@ def surname(person: Column) -> Column:
     return F.trim(F.regexp_replace(plain, rf"^(?:{TITLES})\.?\s+", ""))
 
 
-def speaker_of(header: Column, chair_country: Column | None = None, roster_country: Column | None = None) -> Column:
-    """A struct of name, country, language and role. Of the brackets, one says the
+def speaker_of(header: Column, chair_country: Column | None = None, roster_country: Column | None = None, chair_name: Column | None = None) -> Column:
+    """A struct of name, country, language, role and notes. Of the brackets, one says the
     language, and the first that is neither a note nor a UN body the country; a
-    presiding officer's country comes from the cover, others' from the roster."""
+    presiding officer's country comes from the cover, others' from the roster; The
+    President is called by the cover's name. Other brackets are notes."""
     inside = F.transform(F.regexp_extract_all(header, F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
     name = F.regexp_replace(F.regexp_replace(F.regexp_replace(header, r"\([^()]*\)", ""), r"\s+", " "), r"^[ ,;:]+|[ ,;:]+$", "")
     spoken = F.filter(F.transform(F.filter(inside, lambda p: p.rlike(NO_COUNTRY)), lambda p: F.regexp_extract(p, "(?i)spoke in ([A-Za-z]+)", 1)), lambda x: x != "")
@@ -137,4 +159,11 @@ def speaker_of(header: Column, chair_country: Column | None = None, roster_count
     country = F.coalesce(F.try_element_at(short, bare), bare)
     role = F.when(presides, "president").when(country != "", "representative").otherwise("official/briefer")
     language = F.coalesce(F.get(spoken, F.size(spoken) - 1), F.when(role == "official/briefer", "").otherwise("English"))
-    return F.struct(name.alias("name"), country.alias("country"), language.alias("language"), role.alias("role"))
+    # Brackets that say neither the country nor nothing: in their order.
+    is_country = lambda p: ~p.rlike(NO_COUNTRY) & ~p.rlike(BODY)
+    said = F.filter(inside, lambda p: p != "")
+    marked = F.transform(said, lambda p, i: F.when(is_country(p) & (F.size(F.filter(F.slice(said, 1, i), is_country)) == 0), F.lit(None)).otherwise(p))
+    notes = F.array_join(F.filter(marked, lambda p: p.isNotNull()), "; ")
+    if chair_name is not None:
+        name = F.when(name.rlike("(?i)^The President$") & (F.coalesce(chair_name, F.lit("")) != ""), chair_name).otherwise(name)
+    return F.struct(name.alias("name"), country.alias("country"), language.alias("language"), role.alias("role"), notes.alias("notes"))

@@ -39,7 +39,7 @@ def speaker_headers(spark, sf):
     t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("turn_id"), F.expr(_case(0)).alias("text"))
     t = t.withColumn("header", sp.header_of(F.col("text"))).where("header is not null")
     roster = F.when(sp.surname(F.regexp_replace("header", r"\([^()]*\)", "")) == "Roster", "Listland")
-    return t.select("turn_id", sp.speaker_of(F.col("header"), F.lit("NATION_C"), roster).alias("s")).select("turn_id", "s.*")
+    return t.select("turn_id", sp.speaker_of(F.col("header"), F.lit("NATION_C"), roster).alias("s")).select("turn_id", "s.name", "s.country", "s.language", "s.role")
 
 
 @query("""WITH p AS (
@@ -102,3 +102,35 @@ def waiting_times(spark, sf):
     now = F.col("ts").cast("timestamp")
     wait = num.retry_after(header, now)
     return table(spark, sf, "events").select("event_id", num.next_reset(now, 5).alias("next_reset"), F.when(F.col("event_id") % 3 < 2, wait).alias("wait"))
+
+
+#: An order is a meeting; the nations of its customer's region sit on it, every second one with the name a line below.
+_DAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
+_MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+
+
+def _covers(spark, sf):
+    names = lambda xs: "array(" + ", ".join(f"'{x}'" for x in xs) + ")"
+    t = lambda n: table(spark, sf, n)
+    line = "concat(n_name, ' . . . . . . ', if(n_nationkey % 2 = 0, '\n', ''), if(n_nationkey % 3 = 0, concat('Mr. First', n_nationkey, '/Ms. Other', n_nationkey), concat('Mrs. Name', n_nationkey % 7)), if(n_nationkey % 5 = 0, '\n\nObservers and guests', ''))"
+    seats = t("nation").selectExpr("n_regionkey", "n_nationkey", f"{line} AS line").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct("n_nationkey", "line"))).getField("line"), "\n").alias("lines"))
+    o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t("nation").join(F.broadcast(seats), "n_regionkey")), F.col("c_nationkey") == F.col("n_nationkey"))
+    day = f"concat({names(_DAYS)}[dayofweek(o_orderdate) - 1], ', ', day(o_orderdate), ' ', {names(_MONTHS)}[month(o_orderdate) - 1], ' ', year(o_orderdate))"
+    head = f"concat('United Nations\nS/PV.', if(o_orderkey % 2 = 0, ' ', ''), o_orderkey, if(o_orderkey % 7 = 0, ' (Resumption 1)', ''), '\nSecurity Council\n', o_orderkey % 90, if(o_orderkey % 4 = 0, 'TH plenary', 'th'), ' meeting\n', if(o_orderkey % 5 = 0, '', {day}), ', 10 a.m.\nNew York\n')"
+    chair = "concat('President: Mr.  Chair', c_custkey, ' . . . . . . \n(', n_name, ')\n')"
+    return o.selectExpr("o_orderkey AS meeting", f"concat({head}, if(o_orderkey % 11 = 0, '', {chair}), 'Members:\n', lines, '\nAgenda\nNobody . . . . . Mr. Late') AS text")
+
+
+@query("""WITH m AS (SELECT o_orderkey AS k, o_orderdate AS d, c_custkey, nation.* FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+p AS (SELECT n_regionkey AS r, n_nationkey AS pos, unnest(CASE WHEN n_nationkey % 3 = 0 THEN ['First' || n_nationkey, 'Other' || n_nationkey] ELSE ['Name' || n_nationkey % 7] END) AS surname, n_name AS country FROM nation),
+s AS (SELECT k, surname, country, pos FROM m JOIN p ON n_regionkey = r UNION ALL SELECT k, 'Chair' || c_custkey, n_name, 99 FROM m WHERE k % 11 <> 0)
+SELECT k AS meeting, 'S/PV.' || CASE WHEN k % 2 = 0 THEN ' ' ELSE '' END || k || CASE WHEN k % 7 = 0 THEN ' (Resumption 1)' ELSE '' END AS doc_symbol,
+  CASE WHEN k % 5 = 0 THEN '' ELSE day(d) || ' ' || monthname(d) || ' ' || year(d) END AS meeting_date, CAST(k % 90 AS VARCHAR) AS meeting_number,
+  CASE WHEN k % 11 = 0 THEN '' ELSE 'Mr. Chair' || c_custkey END AS president_name, surname, arg_min(s.country, s.pos) AS country
+FROM s JOIN m USING (k) GROUP BY ALL""")
+def cover_rosters(spark, sf):
+    """Covers read from their texts, a row a name of the roster."""
+    from quillon.operators import cover as cv
+
+    c = cv.read_covers(_covers(spark, sf))
+    return c.select("meeting", "doc_symbol", "meeting_date", "meeting_number", "president_name", F.explode("roster").alias("surname", "country"))
