@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The phrases that mark a group's statement and a national capacity.
@@ -167,3 +167,51 @@ def speaker_of(header: Column, chair_country: Column | None = None, roster_count
     if chair_name is not None:
         name = F.when(name.rlike("(?i)^The President$") & (F.coalesce(chair_name, F.lit("")) != ""), chair_name).otherwise(name)
     return F.struct(name.alias("name"), country.alias("country"), language.alias("language"), role.alias("role"), notes.alias("notes"))
+
+
+# Names of states, without accents, and their codes.
+ISO3 = {
+    "Albania": "ALB", "Algeria": "DZA", "Argentina": "ARG", "Armenia": "ARM", "Australia": "AUS", "Austria": "AUT", "Bahrain": "BHR", "Bangladesh": "BGD",
+    "Belgium": "BEL", "Bolivia": "BOL", "Brazil": "BRA", "Brunei Darussalam": "BRN", "Cabo Verde": "CPV", "Cambodia": "KHM", "Cameroon": "CMR", "Canada": "CAN",
+    "Chile": "CHL", "China": "CHN", "Colombia": "COL", "Croatia": "HRV", "Cuba": "CUB", "Czechia": "CZE", "Denmark": "DNK", "Ecuador": "ECU",
+    "Egypt": "EGY", "Finland": "FIN", "France": "FRA", "Gabon": "GAB", "Germany": "DEU", "Ghana": "GHA", "Greece": "GRC", "Guatemala": "GTM",
+    "Guyana": "GUY", "Holy See": "VAT", "Hungary": "HUN", "Iceland": "ISL", "India": "IND", "Indonesia": "IDN", "Iran": "IRN", "Iraq": "IRQ",
+    "Ireland": "IRL", "Israel": "ISR", "Italy": "ITA", "Jamaica": "JAM", "Japan": "JPN", "Jordan": "JOR", "Kazakhstan": "KAZ", "Kuwait": "KWT",
+    "Kyrgyzstan": "KGZ", "Lao People's Democratic Republic": "LAO", "Lebanon": "LBN", "Libya": "LBY", "Liechtenstein": "LIE", "Luxembourg": "LUX",
+    "Malaysia": "MYS", "Maldives": "MDV", "Malta": "MLT", "Mauritania": "MRT", "Mexico": "MEX", "Morocco": "MAR", "Mozambique": "MOZ", "Namibia": "NAM",
+    "Netherlands": "NLD", "New Zealand": "NZL", "Nicaragua": "NIC", "Nigeria": "NGA", "Norway": "NOR", "Oman": "OMN", "Pakistan": "PAK",
+    "Palestine": "PSE", "Panama": "PAN", "Peru": "PER", "Philippines": "PHL", "Poland": "POL", "Portugal": "PRT", "Qatar": "QAT",
+    "Republic of Korea": "KOR", "Romania": "ROU", "Russian Federation": "RUS", "Saint Lucia": "LCA", "Saudi Arabia": "SAU", "Senegal": "SEN",
+    "Serbia": "SRB", "Sierra Leone": "SLE", "Slovenia": "SVN", "Somalia": "SOM", "South Africa": "ZAF", "Spain": "ESP", "Sri Lanka": "LKA",
+    "Switzerland": "CHE", "Syrian Arab Republic": "SYR", "Thailand": "THA", "Timor-Leste": "TLS", "Trinidad and Tobago": "TTO", "Tunisia": "TUN",
+    "Turkiye": "TUR", "Uganda": "UGA", "Ukraine": "UKR", "United Arab Emirates": "ARE", "United Kingdom": "GBR",
+    "United States": "USA", "Venezuela": "VEN", "Viet Nam": "VNM", "Yemen": "YEM",
+}
+#: Equality that sees no accents: letters are as their base letters.
+ACCENTLESS = "UNICODE_AI"
+#: Letters that a collation reads as others, though they have no accent to take off.
+STROKED = "łŁđĐøØħĦŧŦ"
+
+
+def folded(name: Column) -> Column:
+    """A name's plain letters: of each sign the letter that equals it under the
+    collation; signs without one stay."""
+    letters = F.array(*[F.lit(chr(c)) for r in (range(65, 91), range(97, 123)) for c in r])
+    plain = F.split(F.replace(F.trim(name), F.lit("’"), F.lit("'")), "")
+
+    def base(c: Column) -> Column:
+        found = F.get(F.filter(letters, lambda x: F.collate(x, ACCENTLESS) == F.collate(c, ACCENTLESS)), F.lit(0))
+        return F.when(c.rlike("^[\\x00-\\x7f]$") | c.isin(*STROKED), c).otherwise(F.coalesce(found, c))
+
+    return F.array_join(F.transform(plain, base), "")
+
+
+def with_iso3(df: DataFrame, name: str, to: str = "iso3", codes: dict[str, str] = ISO3) -> DataFrame:
+    """``df`` with the code of each name: the stated one, joined under a collation
+    that sees no accents; else a stub of its first three letters, UNK if it has none."""
+    known = df.sparkSession.createDataFrame(list(codes.items()), "_state string, _code string")
+    key = F.translate(F.replace(F.trim(F.col(name)), F.lit("’"), F.lit("'")), STROKED, "\u0001" * len(STROKED))
+    found = df.join(F.broadcast(known), F.collate(key, ACCENTLESS) == F.collate(F.col("_state"), ACCENTLESS), "left")
+    short = F.upper(F.substring(F.regexp_replace(folded(F.col(name)), "[^A-Za-z]", ""), 1, 3))
+    rest = F.when(F.coalesce(short, F.lit("")) == "", "UNK").otherwise(short)
+    return found.withColumn(to, F.coalesce("_code", rest)).drop("_state", "_code")

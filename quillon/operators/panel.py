@@ -6,10 +6,11 @@ come to the driver."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, timedelta
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillon.functions import stats
@@ -36,6 +37,37 @@ def build_panel(units: DataFrame, event: str, window: tuple[str, str], group: st
     return p.join(both, group, "left_semi")
 
 
+def gated_panel(units: DataFrame, event: str, window: tuple[str, str], in_denominator: Column, span: tuple[str, str] | None = None, group: str = "country", day: str = "date") -> tuple[DataFrame, Callable[[], dict]]:
+    """The panel of rows in the denominator, and what the gates dropped. The counts
+    are observed in the pass that makes the panel: call the second result after
+    the panel has been run or written. With ``span`` (of one model), a window that
+    leaves it, clipped to the days there are, is skipped: no rows, and why."""
+    lo, hi = (F.lit(x).cast("date") for x in window)
+    seen, sides = Observation(), Observation()
+    if span is not None:
+        days = units.agg(F.min(day).alias("a"), F.max(day).alias("z")).first()
+        a, z = (str(x) for x in (max(days["a"], date.fromisoformat(window[0])), min(days["z"], date.fromisoformat(window[1]))))
+        if not (span[0] <= a and z <= span[1]):
+            why = f"window {a}..{z} leaves the span {span[0]}..{span[1]}"
+            return build_panel(units.where(F.lit(False)), event, window, group, day), lambda: {"skipped": why}
+        units = units.where(F.col(day).between(F.lit(span[0]).cast("date"), F.lit(span[1]).cast("date")))
+    inside = units.where(F.col(day).between(lo, hi)).withColumn("_denom", F.coalesce(in_denominator, F.lit(False)))
+    kept = inside.where("_denom").drop("_denom").withColumn("post", (F.col(day) >= F.lit(event).cast("date")).cast("int"))
+    # The rows are counted on the way to the groups alone: the panel reads them a second time.
+    counted = inside.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if("_denom").alias("in_denominator")).where("_denom").withColumn("post", (F.col(day) >= F.lit(event).cast("date")).cast("int"))
+    groups = counted.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.min("post").alias("_low"), F.max("post").alias("_high"))
+    both = F.col("_low") < F.col("_high")
+    groups = groups.observe(sides, F.count(F.lit(1)).alias("groups"), F.count_if(both).alias("groups_kept"), F.coalesce(F.sum(F.when(both, F.col("_n"))), F.lit(0)).alias("rows_kept"))
+    panel = kept.withColumn("m", months_since(F.col(day), event)).withColumn("post_m", F.col("post") * F.col("m"))
+    panel = panel.join(groups.where(both).select(group), group, "left_semi")
+
+    def dropped() -> dict:
+        a, b = seen.get, sides.get
+        return {"skipped": None, "rows": a["rows"], "dropped_denominator": a["rows"] - a["in_denominator"], "groups": b["groups"], "groups_dropped": b["groups"] - b["groups_kept"], "rows_dropped": a["in_denominator"] - b["rows_kept"], "rows_kept": b["rows_kept"]}
+
+    return panel, dropped
+
+
 def cells(panel: DataFrame, group: str = "country", day: str = "date", y: str = "y") -> DataFrame:
     """Group-meeting cells: mean y, rows as weight, post and mean months."""
     out = panel.groupBy(group, day).agg(F.avg(y).alias(y), F.count(F.lit(1)).alias("w"), F.max("post").alias("post"), F.avg("m").alias("m"))

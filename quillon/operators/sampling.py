@@ -86,3 +86,24 @@ def quantile_of(rows: DataFrame, value: str, parts: int) -> Column:
     for i in range(len(cuts) - 1, -1, -1):
         out = F.when(F.col(value) <= cuts[i], str(i)).otherwise(out)
     return out
+
+
+def reading_sample(units: DataFrame, signatures: DataFrame, codes: list[str], seed: int, cell: int = 20, top_codes: int = 6, absent: str = "_ABSENT") -> DataFrame:
+    """At most ``cell`` units of each cluster and phase, in the order of a seeded
+    hash, of those that carry one of their cluster's ``top_codes`` most
+    over-represented codes; with the codes they carry (matched, joined by ``|``).
+    A cluster whose top codes are all of absence gives any units.
+
+    ``units`` has unit_id, cluster, phase and an indicator for each of ``codes``;
+    ``signatures`` (cluster, code, v_test) has a row a cluster and code, so its top
+    codes are a small table. Ranks beyond ``cell`` are dropped before the shuffle."""
+    rank = F.row_number().over(W.partitionBy("cluster").orderBy(F.col("v_test").desc_nulls_last(), "code"))
+    top = signatures.withColumn("_r", rank).where((F.col("_r") <= top_codes) & F.col("v_test").isNotNull() & ~F.col("code").endswith(absent))
+    top = top.groupBy(F.col("cluster").alias("_g")).agg(F.array_sort(F.collect_list(F.struct("_r", "code"))).getField("code").alias("_codes"))
+    carried = F.filter(F.array(*[F.when(F.col(c) == 1, F.lit(c)) for c in codes]), lambda c: c.isNotNull())
+    u = units.join(F.broadcast(top), F.col("cluster").eqNullSafe(F.col("_g")), "left")
+    u = u.withColumn("matched", F.filter("_codes", lambda c: F.array_contains(carried, c)))
+    u = u.where(F.col("_codes").isNull() | (F.size("matched") > 0))
+    at = W.partitionBy("cluster", "phase").orderBy(draw_order("unit_id", seed), "unit_id")
+    u = u.withColumn("_n", F.row_number().over(at)).where(F.col("_n") <= cell)
+    return u.withColumn("matched", F.coalesce(F.array_join("matched", "|"), F.lit(""))).drop("_g", "_codes", "_n")

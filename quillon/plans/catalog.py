@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, discovery, pages, records, replies, rules, statistics, stores, streams, texts  # noqa: F401  they register themselves
+from . import corpus, discovery, pages, records, replies, rules, samples, statistics, stores, streams, texts  # noqa: F401  they register themselves
 from .base import REGISTRY
 
 

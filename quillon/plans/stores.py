@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.sources import commits as co
 from quillon.sources import store as so
 
 from .base import UNITS, query, table, units
@@ -34,3 +35,19 @@ def store_selected(spark, sf):
     best = so.select_store(spark, root, want)
     kept = so.read_table(spark, best, "units").where("para_is_procedural = 0")
     return kept.agg(F.count(F.lit(1)).alias("paragraphs"), F.count_distinct("speech_id").alias("speeches"), F.count_distinct(F.substring_index("speech_id", "#", 1)).alias("meetings"))
+
+
+@query("SELECT o_orderkey AS unit_id, count(l_orderkey) AS n_annotations, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS returned FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' GROUP BY 1")
+def published_units(spark, sf):
+    """Jobs and their annotations, published by batches of one commit each, read together."""
+    t = co.Tables(spark, _folder(spark))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("unit_id"), F.col("o_orderstatus").alias("status"))
+    a = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("unit_id"), F.col("l_returnflag").alias("value"))
+    for status in ("F", "O", "F"):  # the last is a batch that runs again
+        jobs = o.where(F.col("status") == status)
+        notes = a.join(jobs.select("unit_id"), "unit_id")
+        stray = lambda own: "annotations without a job" if own["annotations"].join(own["jobs"], "unit_id", "left_anti").limit(1).count() else None
+        t.commit({"jobs": jobs, "annotations": notes}, stray, key=status)
+    notes = t.read("annotations").groupBy(F.col("unit_id").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.max((F.col("value") == "R").cast("int")).alias("r"))
+    out = t.read("jobs").join(notes, F.col("unit_id") == F.col("of"), "left")
+    return out.select("unit_id", F.coalesce("n", F.lit(0)).alias("n_annotations"), F.coalesce("r", F.lit(0)).alias("returned"))

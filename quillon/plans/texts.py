@@ -249,6 +249,6 @@ def provenance_flag(spark, sf):
 
 
 @query(f"WITH {UNITS}, r AS (SELECT bloc, country, status, count(*) AS n FROM units GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY bloc, status ORDER BY md5(country || '|7'), country) AS i FROM r) SELECT bloc, status, country, n FROM k WHERE i <= 2")
-def reading_sample(spark, sf):
+def country_sample(spark, sf):
     r = units(spark, sf).groupBy("bloc", "country", "status").agg(F.count(F.lit(1)).alias("n"))
     return od.top(r, ["bloc", "status"], [sm.draw_order("country", 7), "country"], 2, "i").select("bloc", "status", "country", "n")
