@@ -137,13 +137,6 @@ def opening_text(spark, sf):
     return c.groupBy("conv_id").agg(F.md5(od.joined_in_order("text", ["turn"], " ")).alias("digest"), F.bool_or(F.col("role") == "system").alias("has_system"))
 
 
-@query("WITH s AS (SELECT *, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS starts FROM conversations), i AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM s) SELECT conv_id, CAST(island AS BIGINT) AS speaker_turn, count(*) AS n, min(turn) AS first_turn, CAST(sum(length(text)) AS BIGINT) AS chars FROM i WHERE island > 0 GROUP BY conv_id, island")
-def turn_assembly(spark, sf):
-    """A turn begins at each user message and carries what follows."""
-    i = od.islands(table(spark, sf, "conversations"), ["conv_id"], ["turn"], F.col("role") == "user")
-    return i.where("island > 0").groupBy("conv_id", F.col("island").alias("speaker_turn")).agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("first_turn"), F.sum(F.length("text")).alias("chars"))
-
-
 @query(rf"WITH {_PIECES}, s AS (SELECT *, CASE WHEN regexp_matches(text, '^[a-z]') AND NOT regexp_matches(coalesce(lag(text) OVER (PARTITION BY doc_id ORDER BY para_index), '.'), '[.!?:]$') THEN 0 ELSE 1 END AS new FROM para), i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY para_index) AS island FROM s) SELECT doc_id, CAST(island AS BIGINT) AS para, count(*) AS n_pieces, md5(string_agg(text, ' ' ORDER BY para_index)) AS digest FROM i GROUP BY doc_id, island")
 def continuation_merge(spark, sf):
     p = _para(spark, sf)
