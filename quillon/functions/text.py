@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,13 @@ DASHES, HYPHEN = "–—‐‑", "----"
 SPACE = r"(?U)\s+"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it: a
+    column that is named twice is an expression that is computed twice, inside a
+    lambda once more for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def collapse(c: Column) -> Column:
     """Runs of Unicode white space become one space; ends are trimmed."""
     return F.trim(F.regexp_replace(c, SPACE, " "))
@@ -60,9 +69,8 @@ def model_tag(c: Column, suffixes: tuple[str, ...] = (":free", ":beta", "-instru
 
 def strip_fences(c: Column) -> Column:
     """The outermost braces of a reply, code fences gone."""
-    plain = F.regexp_replace(c, r"```[A-Za-z]*", "")
-    found = F.regexp_extract(plain, r"(?s)\{.*\}", 0)
-    return F.when(found != "", found).otherwise(F.trim(plain))
+    braces = lambda plain: F.coalesce(F.nullif(F.regexp_extract(plain, r"(?s)\{.*\}", 0), F.lit("")), F.trim(plain))
+    return let(F.regexp_replace(c, r"```[A-Za-z]*", ""), braces)
 
 
 def blank(c: Column) -> Column:
@@ -84,10 +92,12 @@ def jaccard(a: Column, b: Column) -> Column:
 def evidence_found(evidence: Column, paragraph: Column, least: int = 8) -> Column:
     """Contained whole, or, where it is elided, its fragments of at least
     ``least`` characters in order."""
-    ev, para = normalise_evidence(evidence), normalise_evidence(paragraph)
-    whole = F.contains(para, ev)
-    parts = F.filter(F.transform(F.split(ev, r"\.\.\.|…"), lambda p: F.trim(p)), lambda p: F.length(p) >= least)
-    return whole | ((F.size(parts) > 0) & (ordered_fragments(parts, para) > 0))
+
+    def found(ev: Column, para: Column) -> Column:
+        parts = F.filter(F.transform(F.split(ev, r"\.\.\.|…"), lambda p: F.trim(p)), lambda p: F.length(p) >= least)
+        return F.contains(para, ev) | let(parts, lambda parts: (F.size(parts) > 0) & (ordered_fragments(parts, para) > 0))
+
+    return let(normalise_evidence(evidence), lambda ev: let(normalise_evidence(paragraph), lambda para: found(ev, para)))
 
 
 def ordered_fragments(parts: Column, text: Column) -> Column:

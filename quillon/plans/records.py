@@ -109,12 +109,18 @@ _DAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Satu
 _MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
 
+def _cores(spark) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _covers(spark, sf):
     names = lambda xs: "array(" + ", ".join(f"'{x}'" for x in xs) + ")"
     t = lambda n: table(spark, sf, n)
     line = "concat(n_name, ' . . . . . . ', if(n_nationkey % 2 = 0, '\n', ''), if(n_nationkey % 3 = 0, concat('Mr. First', n_nationkey, '/Ms. Other', n_nationkey), concat('Mrs. Name', n_nationkey % 7)), if(n_nationkey % 5 = 0, '\n\nObservers and guests', ''))"
     seats = t("nation").selectExpr("n_regionkey", "n_nationkey", f"{line} AS line").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct("n_nationkey", "line"))).getField("line"), "\n").alias("lines"))
     o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t("nation").join(F.broadcast(seats), "n_regionkey")), F.col("c_nationkey") == F.col("n_nationkey"))
+    # An order is few bytes, its cover much work: the rows are dealt to all cores while they are thin.
+    o = o.select("o_orderkey", "o_orderdate", "c_custkey", "n_name", "lines").repartition(_cores(spark), "o_orderkey")
     day = f"concat({names(_DAYS)}[dayofweek(o_orderdate) - 1], ', ', day(o_orderdate), ' ', {names(_MONTHS)}[month(o_orderdate) - 1], ' ', year(o_orderdate))"
     head = f"concat('United Nations\nS/PV.', if(o_orderkey % 2 = 0, ' ', ''), o_orderkey, if(o_orderkey % 7 = 0, ' (Resumption 1)', ''), '\nSecurity Council\n', o_orderkey % 90, if(o_orderkey % 4 = 0, 'TH plenary', 'th'), ' meeting\n', if(o_orderkey % 5 = 0, '', {day}), ', 10 a.m.\nNew York\n')"
     chair = "concat('President: Mr.  Chair', c_custkey, ' . . . . . . \n(', n_name, ')\n')"
@@ -133,4 +139,4 @@ def cover_rosters(spark, sf):
     from quillon.operators import cover as cv
 
     c = cv.read_covers(_covers(spark, sf))
-    return c.select("meeting", "doc_symbol", "meeting_date", "meeting_number", "president_name", F.explode("roster").alias("surname", "country"))
+    return c.select("meeting", "doc_symbol", "meeting_date", "meeting_number", "president_name", F.explode_outer("roster").alias("surname", "country")).where("surname is not null")

@@ -75,3 +75,16 @@ def test_headers_without_a_colon_notes_and_the_president(spark):
     assert read("The President (spoke in Arabic): Yes", "The President") == ("The President (spoke in Arabic)", "Yes", "Mr. Lund", "Chad", "spoke in Arabic")
     assert read("Mrs. Shino I thank you.", "Mrs. Shino") is None and read("Agenda item 3: more", "Agenda item 3") is None
     assert read("Mr. Oak: yes", "") is None and read("Mr. Oak: yes", "Mr. Oak and all of his many friends") is None
+
+
+def test_a_cover_is_read_once(spark, sf):
+    """The fold over the lines stands once in the plan, no filter before the explode repeats it, and all cores take part."""
+    import __spark_entry__ as entry
+
+    got = entry.queries()["cover_rosters"](spark, sf)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and plan.count(cv.PRESIDENT) == 2 and "RepartitionByExpression" in plan
+    long = "Members:\n" + "\n".join(f"Land {i} . . . . . Mr. N{i % 150}" for i in range(200))
+    one = cv.read_covers(spark.createDataFrame([(long,)], "text string"))
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    assert one.first()["roster"] == plain(long) and len(plain(long)) == 150
