@@ -52,7 +52,7 @@ _ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_ret
 def _replies(spark, sf):
     """unit_id, n_units, texts, reply: one row an order."""
     lines = table(spark, sf, "lineitem").selectExpr("l_orderkey AS unit_id", f"{_PARAGRAPH} AS text", f"{_ANSWER} AS answer", f"struct({_ORDER}) AS place")
-    got = lines.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("place", "text", "answer"))).alias("lines"), F.count(F.lit(1)).cast("int").alias("n_units"))
+    got = lines.groupBy("unit_id").agg(F.sort_array(F.collect_list(F.struct("place", "text", "answer"))).alias("lines"), F.count(F.lit(1)).cast("int").alias("n_units"))
     parts = F.expr(f"array_join(transform(lines, (x, i) -> {_PART.replace('no =', 'i + 1 =').replace('no,', 'i + 1,').replace('answer', 'x.answer')}), ', ')")
     return got.withColumn("parts", parts).select("unit_id", "n_units", F.col("lines.text").alias("texts"), F.expr(_REPLY).alias("reply"))
 

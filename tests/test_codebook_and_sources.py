@@ -92,6 +92,15 @@ def test_evidence_of_replies(spark):
     assert [(r["unit_no"], r["verified"]) for r in got.collect()] == [(1, True), (2, True), (2, False)]
 
 
+def test_a_reply_is_parsed_once(spark, sf):
+    """However often its parts are asked for, and no filter before the explode repeats it."""
+    import __spark_entry__ as entry
+
+    for name in ("reply_faults", "reply_rows"):
+        plan = entry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("```[A-Za-z]*") == 1 and plan.lower().count("parsejson") == 1, name
+
+
 def test_conditions_name_codes():
     with pytest.raises(cbk.CodebookError, match="names no codes"):
         cbk.parse({**SCALED, "dimensions": [SCALED["dimensions"][0], {**SCALED["dimensions"][1], "conditional_on": {"dimension": "level", "in": ["9"]}}]})
