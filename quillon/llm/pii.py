@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from zlib import crc32
+from hashlib import md5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -154,29 +154,34 @@ def words_of(text: str, spans: list[tuple[int, int, str]]) -> set[str]:
 
 
 class Sieve:
-    """A bit for every word looked for, 16 for each on average."""
+    """Bits for the words looked for, 16 for each on average and more: a word sets
+    four of one block of 64, so that few others (under 1 %) pass by chance."""
 
     def __init__(self, words: DataFrame):
         self.bits_of = bits_of = min(MOST_BITS, max(LEAST_BITS, (16 * words.count()).bit_length()))
-        bit = F.col("word").cast("binary")
-        got = words.select(F.crc32(bit).bitwiseAND(F.lit((1 << bits_of) - 1)).alias("h")).groupBy(F.shiftright("h", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 32 as int))")).alias("bits"))
+        hashed = F.md5(F.col("word").cast("binary"))
+        digits = lambda start, n: F.conv(F.substring(hashed, start, n), 16, 10).cast("long")
+        rows = words.select(digits(1, 8).bitwiseAND(F.lit((1 << bits_of - 6) - 1)).alias("at"), digits(9, 6).alias("m"))
+        mask = F.expr(" | ".join(f"shiftleft(1L, cast(shiftright(m, {6 * i}) & 63 as int))" for i in range(4)))
         bits, self.empty = bytearray(1 << (bits_of - 3)), True
-        for r in got.toLocalIterator():  # at most 2**(MOST_BITS - 5) rows
-            bits[4 * r["at"] : 4 * r["at"] + 4] = r["bits"].to_bytes(4, "little")
+        for r in rows.groupBy("at").agg(F.bit_or(mask).alias("bits")).toLocalIterator():  # at most 2**(MOST_BITS - 6) rows
+            bits[8 * r["at"] : 8 * r["at"] + 8] = r["bits"].to_bytes(8, "little", signed=True)
             self.empty = False
         self.shared = words.sparkSession.sparkContext.broadcast(bytes(bits))
 
     def picker(self):
         """A test of words that remembers its answers, for one task."""
-        bits, mask, known = self.shared.value, (1 << self.bits_of) - 1, {}
+        bits, last, known = self.shared.value, (1 << self.bits_of - 6) - 1, {}
 
         def holds(word: str) -> bool:
             got = known.get(word)
             if got is None:
                 if len(known) >= KEPT_WORDS:
                     known.clear()
-                h = crc32(word.encode("utf-8", "surrogatepass")) & mask
-                got = known[word] = bool(bits[h >> 3] >> (h & 7) & 1)
+                h = md5(word.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+                at, m = 8 * (int.from_bytes(h[:4], "big") & last), int.from_bytes(h[4:7], "big")
+                block = int.from_bytes(bits[at : at + 8], "little")
+                got = known[word] = bool(block >> (m & 63) & block >> (m >> 6 & 63) & block >> (m >> 12 & 63) & block >> (m >> 18) & 1)
             return got
 
         return holds
@@ -186,8 +191,9 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_of(text_col).alias("text"))
 
 
-def co_occurrence(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(entity, n_e), and (entity, word, n_et), in documents."""
+def co_occurrence(docs: DataFrame, text_col: str = "text", keep: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entity, n_e), and (entity, word, n_et), in documents; of the latter only
+    those for which ``keep``, of entity and n, holds."""
 
     def find(batches):
         seen: dict[tuple[str, str], int] = {}
@@ -210,7 +216,8 @@ def co_occurrence(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, D
         yield out()
 
     met = _texts(docs, text_col).mapInArrow(find, "entity string, word string, n long")
-    met = cut(met.groupBy("entity", "word").agg(F.sum("n").alias("n")))
+    met = met.groupBy("entity", "word").agg(F.sum("n").alias("n"))
+    met = cut(met if keep is None else met.where((F.col("word") == "") | keep))
     return met.where("word = ''").select("entity", F.col("n").alias("n_e")), met.where("word <> ''").select("entity", "word", F.col("n").alias("n_et"))
 
 
@@ -252,10 +259,12 @@ def revealing_words(docs: DataFrame, text_col: str = "text", kind: tuple[float,
     """(word, action): the terms over the disclosure threshold; ``kind`` and
     ``value`` are (alpha, z)."""
     n = float(max(docs.count(), 1))
-    n_e, pairs = co_occurrence(docs, text_col)
     broad = F.col("entity").endswith(":")
+    alpha, z = (F.when(broad, k).otherwise(v) for k, v in zip(kind, value))
+    # As n_e is n_et at least, a pair that fails with n_et in its place fails: most rare ones are not written at all.
+    n_e, pairs = co_occurrence(docs, text_col, (1 + 1e-9) * wilson(F.col("n"), F.col("n"), z) >= F.pow(F.col("n") / n, 1 - alpha))
     pairs = pairs.join(n_e, "entity").where(F.col("n_e") < n)
-    pairs = pairs.withColumns({"alpha": F.when(broad, kind[0]).otherwise(value[0]), "z": F.when(broad, kind[1]).otherwise(value[1])})
+    pairs = pairs.withColumns({"alpha": alpha, "z": z})
     # p(e | t) must reach p(e) ** (1 - alpha). No term can that stands in more documents than with the entity alone.
     pairs = pairs.withColumn("least", F.pow(F.col("n_e") / n, 1 - F.col("alpha")))
     pairs = cut(pairs.where(wilson(F.col("n_et"), F.col("n_et"), F.col("z")) >= F.col("least")))

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from quillon.llm import queries as q
 from quillon.llm.bpe import Counter, token_counts, vocabulary
-from quillon.llm.pii import base_spans, emails, pii_spans, revealing_words, sanitised
+from quillon.llm.pii import Sieve, base_spans, co_occurrence, emails, pii_spans, revealing_words, sanitised
 from quillon.llm.quality import SEGMENT, Network, fit_quality, keep_good, score_quality, scores, train
 
 SCHEMA = "doc_id long, text string, id string, near long"
@@ -72,6 +72,29 @@ def test_revealing_words(spark):
     assert pii_spans(docs(spark, [])).count() == 0 and sanitised(docs(spark, [])).count() == 0
 
 
+def test_the_sieve_holds_its_words_and_few_others(spark):
+    words = [f"word{i}é" for i in range(20_000)]
+    holds = Sieve(spark.createDataFrame([(w,) for w in words], "word string")).picker()
+    assert all(map(holds, words)) and sum(holds(f"other{i}") for i in range(50_000)) < 500
+
+
+def test_rare_pairs_are_not_written_and_no_term_is_lost(spark, sf, monkeypatch):
+    from quillon.llm import pii
+
+    table, sizes = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet"), []
+
+    def told(keep_all):
+        def own(docs, text_col, keep=None):
+            n_e, pairs = co_occurrence(docs, text_col, None if keep_all else keep)
+            sizes.append(pairs.count())
+            return n_e, pairs
+
+        monkeypatch.setattr(pii, "co_occurrence", own)
+        return {(r["word"], r["action"]) for r in revealing_words(table).collect()}
+
+    assert told(True) == told(False) != set() and sizes[1] < 0.6 * sizes[0]
+
+
 def test_counts_match_the_library(spark, sf):
     lib, own = Tokenizer.from_file(vocabulary()), Counter(vocabulary())
     texts = ODD + [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
