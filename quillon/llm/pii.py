@@ -241,7 +241,7 @@ def document_counts(docs: DataFrame, words: DataFrame, text_col: str = "text") -
                 for w in terms_of(folded(t)):
                     if holds(w):
                         seen[w] = seen.get(w, 0) + 1
-                if len(seen) >= KEPT_COUNTS:
+                if len(seen) >= KEPT_WORDS:  # each time they are given out costs a row a word
                     yield out()
         yield out()
 
