@@ -26,6 +26,8 @@ id are never linked.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -155,26 +157,34 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: int = 75) -> DataFrame:
     return held.mapInArrow(run, "a long, b long")
 
 
-def _likely(rows: dict[str, np.ndarray], least: int, floor: float, band: int):
-    """Pairs of two blocks that may be links: of different components, sizes and
-    estimate near enough, this band the first they share."""
-    left, right = np.flatnonzero(rows["side"] <= 0), np.flatnonzero(rows["side"] != 0)
-    if (rows["side"] < 0).all():
-        right = left
-    sig, c, n, bands, ids = rows["sig"], rows["c"], rows["n"], rows["bands"], rows["id"]
-    for s in range(0, len(left), 32):
-        x = left[s : s + 32]
-        ok = (c[x][:, None] != c[right][None]) & (ids[x][:, None] != ids[right][None])
-        ok &= 100 * np.minimum(n[x][:, None], n[right][None]) >= least * np.maximum(n[x][:, None], n[right][None])
-        if (rows["side"] < 0).all():
-            ok &= ids[x][:, None] < ids[right][None]
-        if not ok.any():
-            continue
-        a, b = np.nonzero(ok)
-        a, b = x[a], right[b]
-        near = (sig[a] == sig[b]).mean(1) >= floor
+def _likely(rows: dict[str, np.ndarray], least: int, floor: float, most_pairs: int = 1 << 16):
+    """Pairs of rows of one block pair (``group``; the rows of one lie together)
+    that may be links: of different components, sizes and estimate near enough,
+    this block pair's band the first they share. Many small block pairs are
+    compared at once."""
+    group, sig, c, n, bands, ids = rows["group"], rows["sig"], rows["c"], rows["n"], rows["bands"], rows["id"]
+    order = np.lexsort((rows["side"], group))
+    group, side = group[order], rows["side"][order]
+    # The rows that a row meets: those behind it in its own block, or all of the other block.
+    end = np.searchsorted(group, group, side="right")
+    other = np.searchsorted(group * 3 + side, group * 3 + 1)
+    start = np.where(side < 0, np.arange(len(order)) + 1, np.where(side == 0, other, end))
+    ends = np.cumsum(end - start)
+    s = 0
+    while s < len(order):
+        e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + most_pairs, side="right")))
+        sizes = (end - start)[s:e]
+        a = order[np.repeat(np.arange(s, e), sizes)]
+        b = order[np.repeat(start[s:e] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+        s = e
+        ok = (c[a] != c[b]) & (ids[a] != ids[b]) & (100 * np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]))
+        a, b = a[ok], b[ok]
+        near = [np.count_nonzero(sig[a[i : i + 4096]] == sig[b[i : i + 4096]], axis=1) / sig.shape[1] >= floor for i in range(0, len(a), 4096)]
+        near = np.concatenate([np.empty(0, bool), *near])
         a, b = a[near], b[near]
-        first = (bands[a] == bands[b]).argmax(1) == band
+        if not len(a):
+            continue
+        first = (bands[a] == bands[b]).argmax(1) == rows["band"][a]
         a, b = a[first], b[first]
         # A bit of one set that the other lacks is an element at least that it lacks: no link is lost by this bound.
         p, q = rows["mask"][a], rows["mask"][b]
@@ -183,7 +193,7 @@ def _likely(rows: dict[str, np.ndarray], least: int, floor: float, band: int):
         yield a[may], b[may]
 
 
-def _enough(pairs, c: np.ndarray, sets: list[np.ndarray], least: int):
+def _enough(pairs, c: np.ndarray, sets: pa.BinaryArray, least: int):
     """Of pairs of rows those that join components ``c`` not joined before, each
     confirmed on the full sets: as many links as it takes, and no more."""
     parent: dict[int, int] = {}
@@ -196,7 +206,7 @@ def _enough(pairs, c: np.ndarray, sets: list[np.ndarray], least: int):
     for a, b in pairs:
         for i, j in zip(a.tolist(), b.tolist()):
             x, y = find(int(c[i])), find(int(c[j]))
-            if x != y and _meets(sets[i], sets[j], least):
+            if x != y and _meets(*(np.frombuffer(sets[k].as_buffer(), np.uint64) for k in (i, j)), least):
                 parent[max(x, y)] = min(x, y)
                 yield i, j
 
@@ -224,37 +234,37 @@ def likely_pairs(open_: DataFrame, items: DataFrame, least: int, bins: int, bloc
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def run(batches):
-        rest, at = [], None
-
-        def settle():
-            if sum(b.num_rows for b in rest) > 1:
-                t = pa.Table.from_batches(rest).combine_chunks()
-                rows = {c: t[c].to_numpy() for c in ("id", "c", "side", "n")}
-                rows["bands"] = t["bands"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-                for c in ("sig", "mask"):
-                    rows[c] = np.frombuffer(b"".join(t[c].to_pylist()), np.uint8).reshape(t.num_rows, -1)
-                found = _likely(rows, least, floor, int((rows["bands"][0] == at[0]).argmax()))
-                if whole:
-                    links = list(_enough(found, rows["c"], [np.frombuffer(x, np.uint64) for x in t["s"].to_pylist()], least))
-                    found = [tuple(np.array(links, np.int64).reshape(-1, 2).T)]
-                for a, b in found:
-                    a, b = rows["id"][a], rows["id"][b]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=out)
+    def settle(t: pa.Table, new: np.ndarray):
+        t = t.combine_chunks()
+        rows = {c: t[c].to_numpy() for c in ("id", "c", "side", "n")}
+        rows["bands"] = t["bands"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        for c in ("sig", "mask"):
+            rows[c] = np.frombuffer(b"".join(t[c].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        rows["group"] = np.repeat(np.arange(len(new)), np.diff(np.append(new, t.num_rows)))
+        rows["band"] = (rows["bands"] == t["key"].to_numpy()[:, None]).argmax(1)
+        found = _likely(rows, least, floor)
+        if whole:
+            links = list(_enough(found, rows["c"], t["s"].combine_chunks(), least))
+            found = [tuple(np.array(links, np.int64).reshape(-1, 2).T)]
+        for a, b in found:
+            a, b = rows["id"][a], rows["id"][b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=out)
 
-        for b in batches:
-            ks = np.stack([b.column(i).to_numpy() for i in range(3)])
-            ends = [*(np.flatnonzero((ks[:, 1:] != ks[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
-            start = 0
-            for end in ends:
-                if end > start:
-                    own = tuple(ks[:, start])
-                    if own != at:
-                        yield from settle()
-                        rest, at = [], own
-                    rest.append(b.slice(start, end - start))
-                start = end
-        yield from settle()
+    def run(batches):
+        rest = None
+        for b in itertools.chain(batches, [None]):
+            t = rest if b is None else pa.Table.from_batches([*(rest.to_batches() if rest else []), b])
+            if not t:
+                continue
+            ks = np.stack([t[c].to_numpy() for c in ("key", "x", "y")])
+            new = np.concatenate([[0], np.flatnonzero((ks[:, 1:] != ks[:, :-1]).any(0)) + 1])
+            last = t.num_rows if b is None else int(new[-1])  # the next batch may go on with its last block pair
+            rest = t.slice(last)
+            new = new[new < last]
+            weights = 1024 + (pc.binary_length(t["s"]).to_numpy() if whole else np.zeros(t.num_rows, np.int64))
+            for p, q in slices(np.add.reduceat(weights[:last], new).tolist() if len(new) else [], BATCH_BYTES):
+                a, z = int(new[p]), int(new[q]) if q < len(new) else last
+                yield from settle(t.slice(a, z - a), new[p:q] - a)
 
     return dealt.mapInArrow(run, "a long, b long")
 

@@ -39,6 +39,7 @@ and text are one; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -55,6 +56,8 @@ from .common import Bits, components, cut, discard, sieve, sifted, small, text_o
 MIN_WORDS = 20
 WINDOW, SPAN = 28, 21
 BINS, BANDS, ROWS, MASK, FINER = 32, 12, 2, 1024, 256
+#: Parts that hashes are dealt into, as leading bits.
+PART_BITS = 12
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: The columns of the table of numbers, each a blob of one kind, and its part.
 NUMBERS = {"l_start": "<i4", "l_end": "<i4", "l_node": "<i8", "l_keys": "<i8", "w_start": "<i4", "w_stop": "<i4", "w_rest": "<i4", "w_end": "<i4", "w_digest": "<i8"}
@@ -149,18 +152,40 @@ def _table(docs: DataFrame, least: int, window: int, span: int) -> DataFrame:
 
 def _repeated(table: DataFrame, column: str, again: str | None = None) -> DataFrame:
     """(value): the values of a column that stand more than once; a value whose
-    number in the column ``again`` is not negative stands twice."""
+    number in the column ``again`` is not negative stands twice.
 
-    def run(batches):
+    The values are hashes: their leading bits deal them into parts of like size.
+    A batch sends a part's values as one blob, each of them twice at most."""
+
+    def deal(batches):
         for b in batches:
             v = scan.unblobbed(b.column(0), np.int64)[0]
             if again:
                 v = np.concatenate([v, v[scan.unblobbed(b.column(1), np.int32)[0] >= 0]])
-            v, m = np.unique(v, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(m)], names=["value", "m"])
-
-    counts = table.select(column, *([again] if again else [])).mapInArrow(run, "value long, m long")
-    return cut(counts.groupBy("value").agg(F.sum("m").alias("m")).where("m > 1").select("value"))
+            v = np.sort(v)
+            v = v[np.concatenate([np.ones(min(2, len(v)), bool), v[2:] != v[:-2]])]
+            part, counts = np.unique(v >> (64 - PART_BITS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(part), scan.blobs(v, counts)], names=["part", "held"])
+
+    def count(batches):
+        rest, at = [], None
+        for b in itertools.chain(batches, [None]):
+            done = rest
+            if b is not None:
+                if not b.num_rows:
+                    continue
+                part, held = b.column(0).to_numpy(), b.column(1).to_pylist()
+                last = int(np.searchsorted(part, part[-1]))  # the next batch may go on with this part
+                if last == 0 and part[-1] == at:
+                    rest += held
+                    continue
+                done, rest, at = rest + held[:last], held[last:], part[-1]
+            v = np.sort(np.frombuffer(b"".join(done), np.int64))
+            v = v[1:][v[1:] == v[:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(v[np.concatenate([np.ones(min(1, len(v)), bool), v[1:] != v[:-1]])])], names=["value"])
+
+    dealt = table.select(column, *([again] if again else [])).mapInArrow(deal, "part long, held binary")
+    return cut(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(count, "value long"))
 
 
 def _members(table: DataFrame, keys: Bits) -> DataFrame:

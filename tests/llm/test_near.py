@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from quillon.llm import minhash as mh
 from quillon.llm.common import components
@@ -140,3 +141,37 @@ def test_ids_of_any_type_and_repeated_ids(spark):
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in mh.near_groups(table).collect())
     assert got == [("k1", 3, "k1", True), ("k2", 3, "k1", False), ("k3", 4, "k3", True), ("k3", 15, "k3", True), ("k4", 0, "k4", True)]
     assert sorted(r["doc_id"] for r in mh.drop_near_copies(table).collect()) == ["k1", "k3", "k3", "k4"]
+
+
+def test_block_pairs_compared_together_equal_each_alone():
+    r = np.random.default_rng(8)
+    rows, want, at = [], set(), 0
+    base = r.integers(0, 2**63, 40).astype(np.uint64)
+    for group in range(120):
+        size, two = int(r.integers(1, 9)), group % 3 == 0  # a block with itself, or two blocks
+        band = int(r.integers(4))
+        own = []
+        for i in range(size):
+            s = np.unique(np.where(r.random(40) < 0.12, r.integers(0, 2**63, 40).astype(np.uint64), base))
+            keys = r.integers(0, 3, 4)
+            keys[band] = 9
+            own.append({"group": group, "id": at + i, "c": int(r.integers(6)), "side": int(r.integers(2)) if two else -1, "band": band, "bands": keys, "s": s})
+        at += size
+        for i, p in enumerate(own):
+            for j, q in enumerate(own):
+                meet = i < j if not two else p["side"] < q["side"]
+                both, first = len(np.intersect1d(p["s"], q["s"])), (p["bands"] == q["bands"]).argmax() == band
+                if meet and p["c"] != q["c"] and first and 100 * both >= 75 * (len(p["s"]) + len(q["s"]) - both):
+                    want.add(tuple(sorted((p["id"], q["id"]))))
+        rows += own
+    n, _, _, _, _, masks = mh.sketch_columns([x["s"] for x in rows], 32, 2, 2, 256)
+    sig = mh.sketches([x["s"] for x in rows], 256).astype(np.uint8)
+    held = {c: np.array([x[c] for x in rows]) for c in ("group", "id", "c", "side", "band", "bands")}
+    held |= {"n": n.to_numpy(), "sig": sig, "mask": np.frombuffer(b"".join(masks.to_pylist()), np.uint8).reshape(len(rows), -1)}
+    for most in (1 << 16, 10):
+        found = [(int(i), int(j)) for a, b in mh._likely(held, 75, 0.6, most) for i, j in zip(a, b)]
+        pairs = {tuple(sorted((rows[i]["id"], rows[j]["id"]))) for i, j in found if held["group"][i] == held["group"][j]}
+        assert len(found) == len(pairs) and want <= pairs and len(want) > 20
+        sets = pa.array([x["s"].tobytes() for x in rows], pa.binary())
+        links = list(mh._enough(mh._likely(held, 75, 0.6, most), held["c"], sets, 75))
+        assert all(tuple(sorted((rows[i]["id"], rows[j]["id"]))) in want for i, j in links) and len(links) == 5

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from quillon.llm.paragraphs import drop_repeats, numbers, repeated_paragraphs
+from quillon.llm.paragraphs import PART_BITS, _repeated, drop_repeats, numbers, repeated_paragraphs
 
 SCHEMA = "doc_id long, text string, start long, id string"
 
@@ -185,3 +185,30 @@ def test_removals_belong_to_an_id_with_its_text(spark):
     got = sorted((x["doc_id"] or 0, x["text"]) for x in drop_repeats(docs(spark, rows)).collect())
     # The place without an id comes first and stays.
     assert got == sorted([(1, ""), (2, "a\n"), (2, other), (0, "b\n" + para), (0, "c " + other[:40])])
+
+
+def test_repeats_are_counted_without_a_row_for_each_value(spark):
+    r = np.random.default_rng(5)
+    common = r.integers(-(2**63), 2**63 - 1, 300)  # in every row
+    rows, seen = [], Counter()
+    for _ in range(40):
+        v = np.concatenate([common, r.integers(-(2**63), 2**63 - 1, 2000)])
+        again = np.where(np.arange(len(v)) % 500 == 499, 7, -1).astype(np.int32)
+        rows.append((bytearray(v.tobytes()), bytearray(again.tobytes())))
+        seen.update(v.tolist())
+        seen.update(v[again >= 0].tolist())
+    rows += [(None, None), (bytearray(), bytearray())]
+    table = spark.createDataFrame(rows, "held binary, again binary").repartition(2).localCheckpoint()
+    jvm = spark._jvm
+
+    def moved():
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = spark._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = moved()
+    got = [x["value"] for x in _repeated(table, "held", "again").collect()]
+    rows_moved = sum(n for k, n in moved().items() if k not in before)
+    assert len(got) == len(set(got)) and set(got) == {v for v, m in seen.items() if m > 1}
+    assert 0 < rows_moved <= 2 << PART_BITS < 20_000  # 80,000 values
+    assert _repeated(spark.createDataFrame([], table.schema), "held").count() == 0
