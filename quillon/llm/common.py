@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A broadcast is hinted only for tables counted to have at most this many rows.
 BROADCAST_ROWS = 50_000
-#: Between two collections of the driver's garbage.
-COLLECT_SECONDS = 3
-_collected = 0.0
+#: Between two collections of the driver's garbage: so many seconds, and so many times what the last one took. A heap
+#: that is collected for more of its time is enlarged by the JVM, up to its limit.
+COLLECT_SECONDS, COLLECT_SHARE = 3, 20
+_collect_after = 0.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,12 +45,14 @@ def _gone_at_exit(spark: SparkSession, at: str) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    global _collected
+    global _collect_after
     out = df.checkpoint(eager=True)
     # Shuffle files go when the driver collects its garbage; a long job must not wait until its heap is full.
-    if time.monotonic() - _collected > COLLECT_SECONDS:
+    began = time.monotonic()
+    if began >= _collect_after:
         df.sparkSession.sparkContext._jvm.System.gc()
-        _collected = time.monotonic()
+        now = time.monotonic()
+        _collect_after = now + max(COLLECT_SECONDS, COLLECT_SHARE * (now - began))
     return out
 
 

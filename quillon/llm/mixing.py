@@ -113,7 +113,7 @@ def _mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
     plan = plan.withColumn("passes", F.expr("if(source_size > 0, goal div source_size, 0L)"))
     plan = cut(plan.withColumn("needed", F.expr(f"cast(passes * blocks + ceil((goal - passes * source_size) / {block}) as long)")))
     slots = -(-total // block) + 16 if total else 0
-    ranks = schedule(plan.select("key", "low", "high"), slots, step)
+    ranks = cut(schedule(plan.select("key", "low", "high"), slots, step))
     made = ranks.groupBy("key").agg(F.count(F.lit(1)).alias("made"))
     short = plan.join(made, "key", "left").withColumn("made", F.coalesce("made", F.lit(0))).where("needed > made")
     ranks = ranks.unionByName(short.select("key", F.explode(F.sequence(F.col("made"), F.col("needed") - 1)).alias("rank"), F.lit(slots).cast("long").alias("slot")))
@@ -121,7 +121,7 @@ def _mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
     taken = ranks.join(few, "key").where("rank < needed")
     taken = taken.withColumn("block", F.expr("rank % blocks")).withColumn("whole", F.expr(f"least({block}L, source_size - block * {block}L)"))
     taken = taken.withColumn("words", F.expr(f"least(whole, goal - ((rank div blocks) * source_size + block * {block}L))"))
-    blocks = taken.groupBy("key", "block").agg(F.sum((F.col("words") == F.col("whole")).cast("long")).alias("times"), F.max(F.when(F.col("words") < F.col("whole"), F.col("words"))).alias("part"), F.array_sort(F.collect_list(F.when(F.col("words") > 0, F.col("slot")))).alias("slots"))
+    blocks = cut(taken.groupBy("key", "block").agg(F.sum((F.col("words") == F.col("whole")).cast("long")).alias("times"), F.max(F.when(F.col("words") < F.col("whole"), F.col("words"))).alias("part"), F.array_sort(F.collect_list(F.when(F.col("words") > 0, F.col("slot")))).alias("slots")))
 
     # Rows in those blocks.
     empty = laid.where("_size = 0")  # kept out of the join, where they would all be one key

@@ -26,7 +26,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Pieces, byte_symbols, vocabulary
@@ -104,6 +104,16 @@ def ids(path: str) -> Ids:
     return _IDS[path]
 
 
+def id_kind(spark: SparkSession, path: str) -> np.dtype:
+    """What holds an id, as a task says: the vocabulary is loaded by the workers alone, which keep it."""
+
+    def run(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([ids(path).kind.str])], names=["kind"])
+
+    return np.dtype(spark.range(0, 1, 1, 1).mapInArrow(run, "kind string").first()["kind"])
+
+
 def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
     """(id, ids): the ids of each document and the end id, as bytes."""
 
@@ -282,7 +292,7 @@ def pack(docs: list[np.ndarray], index: Index, window: int = WINDOW):
 def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS, shard_ids: int = SHARD_IDS) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = path or vocabulary()
-    kind = Ids(path).kind
+    kind = id_kind(docs.sparkSession, path)
     tokens = written(tokenised(docs, path, id_col, text_col), "tokens")
     df, n, total = document_frequencies(tokens, kind)
     mean = total / max(n, 1)

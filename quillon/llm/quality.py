@@ -84,7 +84,7 @@ def _blocks(raw: bytes, a: int = 0, z: int | None = None) -> tuple[np.ndarray, n
     exists, and their echoes."""
     z = len(raw) if z is None else min(z, len(raw))
     n = max(2, -(-(z - a) // STEP))
-    out, echo = np.full(n * STEP, PAD, np.int16), np.zeros(n * STEP, np.float32)
+    out, echo = np.full(n * STEP, PAD, np.int16), np.zeros(n * STEP, bool)
     back = max(0, a - ECHO - 4)
     own = np.frombuffer(raw, np.uint8)[back:z]
     out[: z - a], echo[: z - a] = own[a - back :], _echo(own)[a - back :]
@@ -198,7 +198,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     segment = F.col("t").substr(F.pmod(F.xxhash64("id", F.lit("segment")), room).cast("int") + 1, F.lit(most_bytes))
     texts = docs.select(F.col(id_col).alias("id"), raw.cast("binary").alias("t")).withColumn("t", segment)
     sample = texts.join(F.broadcast(given), "id").orderBy("h", "id", "t").limit(rows).select("t", "y").collect()
-    return train([bytes(r["t"]) for r in sample], [r["y"] for r in sample])
+    texts, y = [r["t"] for r in sample], [r["y"] for r in sample]
+    del sample  # its rows are not held twice
+    return train(texts, y)
 
 
 def score_quality(docs: DataFrame, net: Network, text_col: str = "text", to: str = "score") -> DataFrame:
