@@ -21,7 +21,8 @@ the term, else ``generalise``.
 
 Which words the workers look for is told by a bit sieve that grows with their
 number, up to 2**MOST_BITS bits; what passes it by chance is dropped by an exact
-join, so no vocabulary is broadcast or collected. No text is shuffled.
+join. Only FEW words at most are sent to the workers themselves, so no vocabulary
+is broadcast or collected. No text is shuffled.
 
 Defined cases: null text counts as empty; empty texts and tables have no spans;
 repeated rows have the same spans; other columns are not touched, whatever they
@@ -32,8 +33,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from hashlib import md5
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +51,7 @@ VALUE_ALPHA, VALUE_Z = 0.9, 3.0
 LEAST_BITS, MOST_BITS = 16, 27
 KEPT_COUNTS = 100_000
 KEPT_WORDS = 300_000
+FEW = 10_000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -60,7 +64,11 @@ _TERM = re.compile(r"[^\W\d_]{3,}")
 _RUN = re.compile(r"[^\W_]{8,}")
 _MIXED = re.compile(r"(?=.*[0-9])(?=.*[^\W\d_])")
 _HEX = re.compile(r"[0-9a-f]+")
-_LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_LOCAL_CHARS = frozenset(_LETTERS + "0123456789._%+-")
+# Of UTF-8: all but letters and bytes beyond ASCII as spaces; and letters and those bytes as a, digits as 0.
+_WORD_BYTES = bytes(c if c >= 128 or chr(c) in _LETTERS else 32 for c in range(256))
+_RUN_BYTES = bytes(97 if c >= 128 or chr(c) in _LETTERS else 48 if 48 <= c < 58 else 32 for c in range(256))
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -134,9 +142,17 @@ def shape(run: str) -> str:
 
 
 def terms_of(text: str) -> set[str]:
-    """The different terms of a lower-cased text."""
-    found = set(_TERM.findall(text))
-    if _DIGIT.search(text):
+    """The different terms of a lower-cased text. Its bytes are split where ASCII
+    has no letter; the patterns read only what other characters may cut, and texts
+    with a digit beside a letter."""
+    raw = text.encode("utf-8", "surrogatepass")
+    found = set(raw.translate(_WORD_BYTES).decode("utf-8", "surrogatepass").split())
+    if len(raw) > len(text) and (odd := [w for w in found if not w.isalpha()]):
+        found.difference_update(odd)
+        found.update(_TERM.findall(" ".join(odd)))
+    found = {w for w in found if len(w) > 2}
+    runs = raw.translate(_RUN_BYTES)
+    if b"a0" in runs or b"0a" in runs:
         found.update(shape(r) for r in _RUN.findall(text) if _MIXED.match(r))
     return found
 
@@ -155,10 +171,16 @@ def words_of(text: str, spans: list[tuple[int, int, str]]) -> set[str]:
 
 class Sieve:
     """Bits for the words looked for, 16 for each on average and more: a word sets
-    four of one block of 64, so that few others (under 1 %) pass by chance."""
+    four of one block of 64, so that few others (under 1 %) pass by chance. Up to
+    FEW words are held themselves, and nothing else passes."""
 
     def __init__(self, words: DataFrame):
-        self.bits_of = bits_of = min(MOST_BITS, max(LEAST_BITS, (16 * words.count()).bit_length()))
+        n = words.count()
+        if n <= FEW:
+            self.bits_of, self.empty = 0, n == 0
+            self.shared = words.sparkSession.sparkContext.broadcast(frozenset(r["word"] for r in words.select("word").collect()))
+            return
+        self.bits_of = bits_of = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
         hashed = F.md5(F.col("word").cast("binary"))
         digits = lambda start, n: F.conv(F.substring(hashed, start, n), 16, 10).cast("long")
         rows = words.select(digits(1, 8).bitwiseAND(F.lit((1 << bits_of - 6) - 1)).alias("at"), digits(9, 6).alias("m"))
@@ -171,6 +193,8 @@ class Sieve:
 
     def picker(self):
         """A test of words that remembers its answers, for one task."""
+        if not self.bits_of:
+            return self.shared.value.__contains__
         bits, last, known = self.shared.value, (1 << self.bits_of - 6) - 1, {}
 
         def holds(word: str) -> bool:
@@ -186,6 +210,18 @@ class Sieve:
 
         return holds
 
+    def passing(self, words: list[str]) -> list[str]:
+        """Those of many words that pass, tested together."""
+        if not self.bits_of:
+            return list(filter(self.shared.value.__contains__, words))
+        hashed = b"".join([md5(w.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for w in words])
+        h = np.frombuffer(hashed, ">u4").reshape(-1, 4).astype(np.uint64)
+        block, m = np.frombuffer(self.shared.value, "<u8")[h[:, 0] & np.uint64((1 << self.bits_of - 6) - 1)], h[:, 1] >> np.uint64(8)
+        got = np.ones(len(words), np.uint64)
+        for i in range(4):
+            got &= block >> (m >> np.uint64(6 * i) & np.uint64(63))
+        return [words[i] for i in np.flatnonzero(got)]
+
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_of(text_col).alias("text"))
@@ -228,8 +264,12 @@ def document_counts(docs: DataFrame, words: DataFrame, text_col: str = "text") -
         return words.select("word", F.lit(0).cast("long").alias("n_t"))
 
     def count(batches):
-        seen: dict[str, int] = {}
-        holds = sieve.picker()
+        fresh, seen = Counter(), Counter()  # of all words, and of those that have passed
+
+        def sift():
+            for w in sieve.passing(list(fresh)):
+                seen[w] += fresh[w]
+            fresh.clear()
 
         def out():
             batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
@@ -238,11 +278,12 @@ def document_counts(docs: DataFrame, words: DataFrame, text_col: str = "text") -
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                for w in terms_of(folded(t)):
-                    if holds(w):
-                        seen[w] = seen.get(w, 0) + 1
+                fresh.update(terms_of(folded(t)))
+                if len(fresh) >= KEPT_WORDS:
+                    sift()
                 if len(seen) >= KEPT_WORDS:  # each time they are given out costs a row a word
                     yield out()
+        sift()
         yield out()
 
     got = _texts(docs, text_col).mapInArrow(count, "word string, n long")

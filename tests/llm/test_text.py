@@ -11,6 +11,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -78,6 +79,38 @@ def test_the_sieve_holds_its_words_and_few_others(spark):
     assert all(map(holds, words)) and sum(holds(f"other{i}") for i in range(50_000)) < 500
 
 
+def test_few_words_are_held_themselves_and_many_tested_together(spark):
+    some, more = ([f"word{i}é" for i in range(n)] for n in (5_000, 20_000))
+    few, many = (Sieve(spark.createDataFrame([(w,) for w in ws], "word string")) for ws in (some, more))
+    others = [f"other{i}" for i in range(50_000)]
+    assert all(map(few.picker(), some)) and not any(map(few.picker(), others)) and few.passing(others + some) == some
+    assert many.passing(more + others) == list(filter(many.picker(), more + others)) and many.passing([]) == []
+
+
+def test_patterns_read_little_of_a_text_and_find_the_same_terms(sf, monkeypatch):
+    from quillon.llm import pii
+
+    texts = [pii.folded(t or "") for t in pq.read_table(f"{sf.replace('0.001', '0.01')}/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    r, bits = random.Random(2), ["ab", "xyz", "é", "straße", "—", "“", "7", "12345678", "deadbeef", "_", " ", ".", "²", "٣", "ﬁ", "日本語", "e\u0301", "\u3000", "\x85", "\xa0", "\x1c", "\n", "😀", "\ud800", "i̇"]
+    odd = ["".join(r.choice(bits) for _ in range(r.randint(0, 12))) for _ in range(20_000)]
+    assert all(pii.terms_of(t) == {w for _, _, w in pii.terms(t)} for t in texts + odd)
+    read = []
+
+    class Watched:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def findall(self, text):
+            read.append(len(text))
+            return self.pattern.findall(text)
+
+    for name in ("_TERM", "_RUN"):
+        monkeypatch.setattr(pii, name, Watched(getattr(pii, name)))
+    for t in texts:
+        pii.terms_of(t)
+    assert sum(read) < 0.25 * sum(map(len, texts))
+
+
 def test_rare_pairs_are_not_written_and_no_term_is_lost(spark, sf, monkeypatch):
     from quillon.llm import pii
 
